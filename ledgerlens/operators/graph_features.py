@@ -183,9 +183,9 @@ def _label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
                  .union(labels.select("account_id", "label"))
                  .groupBy("account_id", "label").agg(F.count(F.lit(1)).alias("n")))
         new = cut_lineage(votes.groupBy("account_id").agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "was"), "account_id").where("label <> was").isEmpty()
+        settled = new.join(labels.withColumnRenamed("label", "was"), "account_id").where("label <> was").isEmpty()
         labels = new
-        if changed:
+        if settled:
             break
     return labels
 
