@@ -114,4 +114,5 @@ def degree_band(degree: Column) -> Column:
 
 
 def clip(col: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), col))
+    # least and greatest skip nulls, so a missing value must be kept apart
+    return F.when(col.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), col)))

@@ -14,6 +14,7 @@ from ledgerlens.operators.scans import HOUR, global_index, running, time_slot
 
 WEEK = 7 * 86_400.0
 EGO_SLOTS = 16
+LOGIT = 4.0
 
 
 def edge_time_delta(edges: DataFrame, slot_seconds: int = HOUR) -> DataFrame:
@@ -82,17 +83,20 @@ def message_mean_aggregate(messages: DataFrame, dims: int, message: str = "messa
 def account_embeddings(edges: DataFrame, dim: int = 64, iterations: int = 10, seed: int = 42) -> DataFrame:
     """account_id, out_embedding, in_embedding from factorising the payment counts.
 
-    Accounts that often pay each other get a high product of the payer's out
-    vector and the payee's in vector. The factoriser indexes accounts by int.
+    The factors approximate the preference (0..1) of a payer for a payee; a bias
+    dimension maps it to a link logit of -LOGIT..LOGIT, so that usual pairs score
+    near 1 and unseen ones near 0. The factoriser indexes accounts by int.
     """
     ids = global_index(accounts(edges), ["account_id"], "i").withColumn("i", F.col("i").cast("int"))
     side = lambda key, name: ids.select(F.col("account_id").alias(key), F.col("i").alias(name))
     counts = (edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("float").alias("n"))
               .join(side("src", "u"), "src").join(side("dst", "v"), "dst").select("u", "v", "n"))
-    model = ALS(rank=dim, maxIter=iterations, implicitPrefs=True, userCol="u", itemCol="v", ratingCol="n", seed=seed).fit(counts)
-    factor = lambda f, name: f.select(F.col("id").alias("i"), F.col("features").alias(name))
-    return (ids.join(factor(model.userFactors, "out_embedding"), "i", "left")
-            .join(factor(model.itemFactors, "in_embedding"), "i", "left").drop("i"))
+    model = ALS(rank=dim - 1, maxIter=iterations, implicitPrefs=True, userCol="u", itemCol="v", ratingCol="n", seed=seed).fit(counts)
+    grown = lambda c: F.transform(c, lambda x: (x * 2 * LOGIT).cast("float"))
+    tail = lambda v: F.array(F.lit(v).cast("float"))
+    out = model.userFactors.select(F.col("id").alias("i"), F.concat(grown(F.col("features")), tail(-LOGIT)).alias("out_embedding"))
+    into = model.itemFactors.select(F.col("id").alias("i"), F.concat(F.col("features"), tail(1.0)).alias("in_embedding"))
+    return ids.join(out, "i", "left").join(into, "i", "left").drop("i")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -160,7 +160,7 @@ def finish(parts: DataFrame, cfg: FeatureConfig) -> DataFrame:
         "tx_velocity_1h": c("_n1"), "tx_velocity_6h": c("_n6"),
         "tx_velocity_24h": c("_n24"), "tx_velocity_7d": c("_n7"),
         "avg_amount_7d": avg7, "std_amount_7d": std7,
-        "tx_gap_seconds": F.coalesce(F.greatest(gap, lit(0.0)), lit(86_400.0)),
+        "tx_gap_seconds": F.when(c("_prev_ts").isNull(), 86_400.0).otherwise(F.greatest(gap, lit(0.0))),
         "night_tx_ratio": zero(c("_night")), "weekend_tx_ratio": zero(c("_weekend")),
         "hour_of_day": hour, "day_of_week": dow,
         "beneficiary_count_7d": c("_ben7"), "beneficiary_count_30d": c("_ben30"),
