@@ -211,12 +211,17 @@ def earliest_returns(edges: DataFrame) -> DataFrame:
     return hop1.union(hop2).union(hop3).groupBy("src", "dst").agg(at(1), at(2), at(3))
 
 
-def cycle_closure(edges: DataFrame, max_depth: int = 3) -> DataFrame:
+def cycle_closure(edges: DataFrame, max_depth: int = 3, earlier: DataFrame | None = None) -> DataFrame:
     """Per transaction: does its edge close a path of at most ``max_depth`` earlier
-    edges, and the cycle length (hops + 1; 1 for a self-transfer; 0 for none)."""
+    edges, and the cycle length (hops + 1; 1 for a self-transfer; 0 for none).
+
+    ``earlier`` adds edges of the past that may lie on the path.
+    """
     if not 1 <= max_depth <= 3:
         raise ValueError("max_depth must be 1, 2 or 3")
-    j = edges.select("transaction_id", "timestamp", "src", "dst").join(earliest_returns(edges), ["src", "dst"], "left")
+    cols = ["transaction_id", "timestamp", "src", "dst"]
+    known = edges.select(*cols) if earlier is None else edges.select(*cols).unionByName(earlier.select(*cols))
+    j = edges.select(*cols).join(earliest_returns(known), ["src", "dst"], "left")
     length = F.when(F.col("src") == F.col("dst"), 1)
     for h in range(1, max_depth + 1):
         length = length.when(F.col(f"t{h}") < _key(), h + 1)
@@ -224,10 +229,16 @@ def cycle_closure(edges: DataFrame, max_depth: int = 3) -> DataFrame:
     return j.select("transaction_id", (length > 0).alias("edge_creates_cycle"), length.alias("cycle_length"))
 
 
-def as_of_degrees(edges: DataFrame, slot_seconds: int = HOUR) -> DataFrame:
-    """Degrees of both ends right after each transaction is added."""
-    first = (edges.groupBy("src", "dst").agg(F.min(_key()).alias("f"))
-             .select(F.col("f.transaction_id").alias("transaction_id"), F.lit(1).alias("fresh")))
+def as_of_degrees(edges: DataFrame, slot_seconds: int = HOUR, earlier: DataFrame | None = None) -> DataFrame:
+    """Degrees of both ends right after each transaction is added.
+
+    ``earlier`` holds the collapsed pairs (src, dst, n_edges) of the past, whose
+    degrees are added and whose pairs are no longer new.
+    """
+    first = edges.groupBy("src", "dst").agg(F.min(_key()).alias("f"))
+    if earlier is not None:
+        first = first.join(earlier.select("src", "dst"), ["src", "dst"], "left_anti")
+    first = first.select(F.col("f.transaction_id").alias("transaction_id"), F.lit(1).alias("fresh"))
     seen = (edges.select("transaction_id", "timestamp", "src", "dst").join(first, "transaction_id", "left")
             .withColumn("fresh", F.coalesce("fresh", F.lit(0))))
     role = lambda key, r: F.struct(F.col(key).alias("account_id"), F.lit(r).alias("role"))
@@ -238,6 +249,13 @@ def as_of_degrees(edges: DataFrame, slot_seconds: int = HOUR) -> DataFrame:
                   time_slot(F.col("timestamp"), slot_seconds),
                   {"i": ("sum", is_in), "o": ("sum", is_out),
                    "iu": ("sum", is_in * F.col("fresh")), "ou": ("sum", is_out * F.col("fresh"))}, store=True)
+    if earlier is not None:
+        side = lambda key, i, o: earlier.select(F.col(key).alias("account_id"), (F.col("n_edges") * i).alias("pi"),
+                                                (F.col("n_edges") * o).alias("po"), F.lit(i).alias("piu"), F.lit(o).alias("pou"))
+        past = side("dst", 1, 0).unionByName(side("src", 0, 1)).groupBy("account_id").agg(
+            *[F.sum(c).alias(c) for c in ("pi", "po", "piu", "pou")])
+        plus = lambda c: F.col(c) + F.coalesce(F.col(f"p{c}"), F.lit(0))
+        run = run.join(past, "account_id", "left").withColumns({c: plus(c) for c in ("i", "o", "iu", "ou")})
     s = lambda v: F.max(F.when(F.col("role") == 0, v))
     r = lambda v: F.max(F.when(F.col("role") == 1, v))
     loop, fresh = F.col("loop"), F.col("fresh")
@@ -257,8 +275,13 @@ def live_graph_vector(txn: DataFrame, graph_features: DataFrame | None = None,
     unknown account when absent.
     """
     edges = build_edges(txn)
+    return look_up_graph(edges, as_of_degrees(edges), cycle_closure(edges), graph_features, community_risk)
+
+
+def look_up_graph(edges: DataFrame, degrees_now: DataFrame, cycles: DataFrame, graph_features: DataFrame | None,
+                  community_risk: DataFrame | None) -> DataFrame:
     base = (edges.select("transaction_id", F.col("src").alias("sender_account"), F.col("dst").alias("receiver_account"))
-            .join(as_of_degrees(edges), "transaction_id").join(cycle_closure(edges), "transaction_id"))
+            .join(degrees_now, "transaction_id").join(cycles, "transaction_id"))
     total = F.col("sender_in_degree") + F.col("sender_out_degree")
     base = base.withColumns({
         "sender_fan_in_score": F.when(total > 0, F.col("sender_in_degree") / total).otherwise(0.0),

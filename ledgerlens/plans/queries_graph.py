@@ -360,11 +360,12 @@ def _profiles(spark, d):
     return e, gf, C.community_profiles(e, gf)
 
 
-@register("community_profiles", with_ctes(PROF, """SELECT c AS community_id, size, round(density, 6) AS density, pattern AS dominant_pattern, round(vol, 2) AS total_volume, round(av, 2) AS avg_amount, nf AS num_fraud_nodes,
+@register("community_profiles", with_ctes(PROF, """SELECT c AS community_id, size, round(density, 6) AS density, pattern AS dominant_pattern, round(vol, 2) AS total_volume, nf AS num_fraud_nodes,
  round(risk, 2) AS risk_score, cyc AS has_cycle, fi >= 0.6 AS has_fan_in, fo >= 0.6 AS has_fan_out, round(chi, 4) AS avg_benford_chi2, round(pr, 8) AS avg_pagerank, round(bt, 8) AS avg_betweenness FROM risk""", PAY),
-          density=6, total_volume=2, avg_amount=2, risk_score=2, avg_pagerank=8, avg_betweenness=8)
+          density=6, total_volume=2, risk_score=2, avg_pagerank=8, avg_betweenness=8)
 def _community_profiles(spark, d):
-    return _profiles(spark, d)[2].drop("top_accounts")
+    # the mean amount and the top accounts have their own entries
+    return _profiles(spark, d)[2].drop("top_accounts", "avg_amount")
 
 
 @register("top_accounts", with_ctes(["ledger", "edges", *PR, "und", "reach", "comm"], """SELECT c AS community_id, string_agg(a, '|' ORDER BY k) AS top_accounts FROM (
@@ -382,7 +383,7 @@ def _chain(spark, d):
     return C.max_chain_length(e, GF.communities(e))
 
 
-@register("community_avg_amount", with_ctes(["ledger", "edges", *CC, "cavg"], "SELECT c AS community_id, round(av, 2) AS avg_amount FROM cavg", PAY), avg_amount=2)
+@register("community_avg_amount", with_ctes(["ledger", "edges", *CC, "cavg"], "SELECT c AS community_id, round(av + 1e-5, 2) AS avg_amount FROM cavg", PAY), nudge=True, avg_amount=2)
 def _avg_amount(spark, d):
     e = payments(spark, d)
     return C.community_avg_amount(e, GF.communities(e))

@@ -69,26 +69,24 @@ def behavioural_scores(features: DataFrame, art: Artefacts) -> DataFrame:
                       ae.alias("autoencoder_score"), anomaly.ensemble_score(iso, F.lit(0.0), ae).alias("ensemble_anomaly_score"))
 
 
-def score_transactions(txn: DataFrame, art: Artefacts, cfg: FeatureConfig = FeatureConfig(),
-                       only: DataFrame | None = None) -> DataFrame:
-    """Features, graph vector, rules, detectors, pair score and fused risk per row.
-
-    ``txn`` supplies the state (history included); ``only`` restricts the scored
-    rows to the given transaction ids.
-    """
-    keep = (lambda df: df.join(only.select("transaction_id"), "transaction_id", "left_semi")) if only is not None else (lambda df: df)
-    feats = keep(rolling_features(txn, cfg))
-    vector = keep(graph.live_graph_vector(txn, art.graph_features, art.community_risk)).drop("sender_account", "receiver_account")
-    scored = (rules.evaluate_rules(feats.join(vector, "transaction_id"))
+def score_rows(txn: DataFrame, feats: DataFrame, vector: DataFrame, art: Artefacts) -> DataFrame:
+    """Rules, detectors, pair score and fusion for rows whose state is computed."""
+    names = ("sender_account", "receiver_account")
+    scored = (rules.evaluate_rules(feats.join(vector.drop(*names), "transaction_id"))
               .join(behavioural_scores(feats, art), "transaction_id")
-              .join(pairs.score_pairs(keep(txn), art.embeddings).drop("sender_account", "receiver_account"), "transaction_id"))
-    out = fusion.fuse(scored)
-    return out.withColumns({
+              .join(pairs.score_pairs(txn, art.embeddings).drop(*names), "transaction_id"))
+    c = F.col
+    return fusion.fuse(scored).withColumns({
         "structural_anomaly_explanations": pairs.structural_explanations(
-            F.col("edge_creates_cycle"), F.col("cycle_length"), F.col("src_known"), F.col("dst_known"), F.col("gnn_anomaly_score")),
-        "community_anomaly_flag": pairs.community_anomaly_flag(
-            F.col("sender_community_risk_score"), F.col("sender_benford_chi2_community")),
-        "community_id": F.col("sender_community_id")})
+            c("edge_creates_cycle"), c("cycle_length"), c("src_known"), c("dst_known"), c("gnn_anomaly_score")),
+        "community_anomaly_flag": pairs.community_anomaly_flag(c("sender_community_risk_score"), c("sender_benford_chi2_community")),
+        "community_id": c("sender_community_id")})
+
+
+def score_transactions(txn: DataFrame, art: Artefacts, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """The whole chain in batch: state of every row as of its own time."""
+    vector = graph.live_graph_vector(txn, art.graph_features, art.community_risk)
+    return score_rows(txn, rolling_features(txn, cfg), vector, art)
 
 
 def alerts_of(scored: DataFrame) -> DataFrame:
