@@ -189,7 +189,7 @@ def overall_detection_rate(frame: DataFrame) -> DataFrame:
 def pattern_list(col: Column) -> Column:
     """Fired patterns from pipe-joined text or a list literal."""
     text = F.trim(col)
-    return (F.when(text.contains("|"), F.transform(F.split(text, r"\|"), F.trim))
+    return (F.when(text.contains("|"), F.transform(F.split(text, r"\|"), lambda x: F.trim(x)))
             .when(text.startswith("["), F.coalesce(F.from_json(text, "array<string>"), F.array(text)))
             .otherwise(F.array(text)))
 
