@@ -48,30 +48,30 @@ def fraud_node_counts(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def max_chain_length(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """Nodes on the longest path inside each community, 8 when it has a cycle.
+    """Accounts on the longest path inside each community, 8 when it has a cycle.
 
-    Accounts without remaining incoming edges are peeled off round by round; an
-    account peeled in round i ends a longest path of i accounts, and a community
-    that cannot be peeled completely is cyclic.
+    Round by round the links leaving accounts without incoming links are removed.
+    A community whose last link goes in round i has a longest path of i + 1
+    accounts; one that keeps links when nothing can be removed any more is cyclic.
     """
     inside = _label(_label(edges.select("src", "dst").distinct(), members, "src", "cs"), members, "dst", "cd")
-    links = cut_lineage(inside.where("cs = cd").select("src", "dst"))
-    left = cut_lineage(members.select("account_id", "community_id"))
-    peeled, depth = [], 0
-    while True:
+    links = cut_lineage(inside.where("cs = cd").select("src", "dst", F.col("cs").alias("community_id")))
+    alive, depth, size = [], 0, links.count()
+    while size:
         depth += 1
-        free = cut_lineage(left.join(links, F.col("account_id") == F.col("dst"), "left_anti"))
-        if free.isEmpty():
+        alive.append(links.select("community_id", F.lit(depth).alias("d")).distinct())
+        entered = links.select(F.col("dst").alias("src")).distinct()
+        links = cut_lineage(links.join(entered, "src", "left_semi").select("src", "dst", "community_id"))
+        size, last = links.count(), size
+        if size == last:
             break
-        peeled.append(free.select("community_id", F.lit(depth).alias("d")).distinct())
-        left = cut_lineage(left.join(free, "account_id", "left_anti"))
-        links = cut_lineage(links.join(free, F.col("src") == F.col("account_id"), "left_anti"))
-    stuck = left.select("community_id", F.lit(True).alias("cyclic")).distinct()
-    longest = (reduce(DataFrame.union, peeled).groupBy("community_id").agg(F.max("d").alias("d")) if peeled
-               else left.select("community_id", F.lit(1).alias("d")).limit(0))
-    value = F.when(F.col("cyclic"), CHAIN_IF_CYCLIC).otherwise(F.coalesce("d", F.lit(1)))
-    return (members.select("community_id").distinct().join(longest, "community_id", "left")
-            .join(stuck, "community_id", "left").select("community_id", value.alias("max_chain_length")))
+    stuck = links.select("community_id", F.lit(True).alias("cyclic")).distinct()
+    every = members.select("community_id").distinct()
+    rounds = reduce(DataFrame.union, alive) if alive else every.select("community_id", F.lit(0).alias("d"))
+    longest = rounds.groupBy("community_id").agg(F.max("d").alias("d"))
+    value = F.when(F.col("cyclic"), CHAIN_IF_CYCLIC).otherwise(F.coalesce("d", F.lit(0)) + 1)
+    return (every.join(longest, "community_id", "left").join(stuck, "community_id", "left")
+            .select("community_id", value.alias("max_chain_length")))
 
 
 def dominant_pattern(has_cycle: Column, size: Column, fan_in: Column, fan_out: Column, chain: Column) -> Column:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import anomaly, fusion, graph, pairs, profiles
-from ledgerlens.operators.graph_features import communities, graph_features
+from ledgerlens.operators.graph_features import accounts, communities, graph_features
 from ledgerlens.operators.rolling import rolling_features
 from ledgerlens.plans import scoring, views
 from ledgerlens.plans.queries_accounts import FEAT
 from ledgerlens.plans.queries_graph import CYCLE, E, GFEAT, PROF, _profiles, edges, payments
 from ledgerlens.plans.registry import CTES, register, with_ctes
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import cut_lineage, shared_dir
+from ledgerlens.sources import readers, sinks
 
 # ---------------------------------------------------------------- detectors
 
@@ -32,16 +35,14 @@ def _knn(spark, d):
     return anomaly.knn(v, v, 20, skip_self=True).select("id", "rank", "dist")
 
 
-@register("lof_scores", with_ctes(["dd"], """, q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS r FROM dd WHERE id % 4 = 0 AND nb % 4 <> 0),
-rr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS r FROM dd WHERE id % 4 <> 0 AND nb % 4 <> 0 AND id <> nb),
+@register("lof_scores", with_ctes(["dd"], """, q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS r FROM dd),
+rr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS r FROM dd WHERE id <> nb),
 kd AS (SELECT id AS nb, max(dist) AS k FROM rr WHERE r <= 50 GROUP BY 1),
 den AS (SELECT id AS nb, 1 / (avg(greatest(k, dist)) + 1e-10) AS lrd FROM rr JOIN kd USING (nb) WHERE r <= 50 GROUP BY 1)
 SELECT id, round(-avg(lrd) / (1 / (avg(greatest(k, dist)) + 1e-10)), 4) AS lof_raw FROM q JOIN kd USING (nb) JOIN den USING (nb) WHERE r <= 50 GROUP BY id"""))
 def _lof(spark, d):
     v = vectors(spark, d)
-    # three quarters of the vectors are the reference, the others are scored as unseen
-    model = anomaly.fit_lof(v.where("id % 4 <> 0"), 50)
-    return anomaly.lof_score_samples(v.where("id % 4 = 0"), model)
+    return anomaly.lof_score_samples(v, anomaly.fit_lof(v, 50))
 
 
 @register("calibration_percentiles", """SELECT round(quantile_cont(value, 0.05), 4) AS p05, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95,
@@ -138,7 +139,6 @@ def _ports(spark, d):
 
 @register("ego_ids", with_ctes(E + ["accts"], "SELECT a AS account_id, CAST('0x' || right(sha256(a), 1) AS INTEGER) AS ego_id, 1.0::DOUBLE AS own FROM accts"))
 def _ego(spark, d):
-    from ledgerlens.operators.graph_features import accounts
     a = F.col("account_id")
     return accounts(edges(spark, d)).select("account_id", pairs.ego_id(a).alias("ego_id"), pairs.ego_vector(a)[pairs.ego_id(a)].alias("own"))
 
@@ -305,9 +305,46 @@ def _score(spark, d):
     return scored.select("transaction_id", "rule_score", "ensemble_anomaly_score", "gnn_anomaly_score", "transaction_risk_score", "risk_level", "triggered_patterns")
 
 
+def _scratch(spark) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@register("scored_jsonl", with_ctes(FUSED, """SELECT transaction_id, round(raw, 2) AS y_score, round(rule, 2) AS rule, round(behavioral, 2) AS behavioral, round(gnn, 2) AS gnn, round(boost, 2) AS graph_boost FROM fused"""), digits=2)
+def _jsonl(spark, d):
+    """Scored records written as JSON lines and read back."""
+    path = _scratch(spark)
+    sinks.write_scored_jsonl(fused(spark, d), path)
+    return readers.score_components(readers.read_scored_jsonl(spark, path))
+
+
+@register("alerts_table", with_ctes(ALERTED, """SELECT alert_id, transaction_id, score AS transaction_risk_score, '["' || replace(patterns, '|', '","') || '"]' AS triggered_patterns FROM alerted"""), transaction_risk_score=2)
+def _table(spark, d):
+    """Relational alert rows written twice under one batch and read back once."""
+    path = _scratch(spark)
+    rows = alerted(spark, d).drop("timestamp")
+    for _ in range(2):
+        sinks.write_alerts_table(rows, path, 7)
+    return spark.read.parquet(path).select("alert_id", "transaction_id", "transaction_risk_score", "triggered_patterns")
+
+
+@register("read_csv", with_ctes(["txn"], """SELECT transaction_id, epoch_us(timestamp) AS timestamp, sender_account, round(amount, 4) AS amount, transaction_type, payment_channel, kyc_level,
+ sender_country <> receiver_country AS is_international FROM txn"""))
+def _csv_file(spark, d):
+    """Transactions written as CSV with header and read back into the contract."""
+    path = _scratch(spark)
+    t = views.txn(spark, d)
+    t.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).write.option("header", True).csv(path)
+    return readers.read_transactions(spark, path, "csv").select("transaction_id", "timestamp", "sender_account", "amount", "transaction_type",
+                                                               "payment_channel", "kyc_level", "is_international")
+
+
+@register("replay_batch", with_ctes(["txn"], "SELECT transaction_id, epoch_us(timestamp) AS timestamp FROM txn ORDER BY timestamp, transaction_id LIMIT 2500"))
+def _replay(spark, d):
+    return readers.replay_batch(views.txn(spark, d), 2500).select("transaction_id", "timestamp")
+
+
 @register("alert_file_rows", with_ctes(ALERTED, f"""SELECT alert_id, transaction_id, community_id, score AS transaction_risk_score, level AS risk_level, patterns AS triggered_patterns, 'R01: first text' AS rule_explanations, status AS alert_status FROM alerted"""), transaction_risk_score=2)
 def _csv(spark, d):
-    from ledgerlens.sources.sinks import alerts_csv_rows
     none = F.array().cast("array<string>")
     rows = fusion.group_risk(alerted(spark, d)).withColumns({"anomaly_drivers": none, "structural_anomaly_explanations": none})
-    return alerts_csv_rows(rows).select("alert_id", "transaction_id", "community_id", "transaction_risk_score", "risk_level", "triggered_patterns", "rule_explanations", "alert_status")
+    return sinks.alerts_csv_rows(rows).select("alert_id", "transaction_id", "community_id", "transaction_risk_score", "risk_level", "triggered_patterns", "rule_explanations", "alert_status")

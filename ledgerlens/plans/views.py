@@ -64,6 +64,8 @@ FROM (SELECT t.*, CAST(substr(transaction_id, 2) AS BIGINT) AS event_id FROM txn
 WHERE event_id % 29 = 0
 """
 
+# A third of the transactions has no stored score, so that every case of the
+# evaluation's outer join (unscored label, scored normal, alert) occurs.
 SCORED_SQL = """
 SELECT transaction_id,
        round(CAST((event_id * 37) % 1000 AS DOUBLE) / 20.0

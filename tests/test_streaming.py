@@ -8,7 +8,7 @@ from ledgerlens.operators.rolling import rolling_features
 from ledgerlens.plans import scoring
 from ledgerlens.schemas import FEATURES
 from ledgerlens.sources.readers import replay_stream
-from ledgerlens.streaming.jobs import StreamingScorer
+from ledgerlens.streaming.jobs import StreamingScorer, ordered_stream, result_feed
 from ledgerlens.streaming.state import retained
 from make import frame, tx
 from test_rolling import mixed_rows
@@ -82,3 +82,16 @@ def test_retention_keeps_what_features_need(spark):
     cols = [f for f in FEATURES if f != "benford_chi2_score"]
     both = lambda past: rolling_features(past.unionByName(later)).join(later.select("transaction_id"), "transaction_id", "left_semi")
     close(both(kept.select(*later.columns)), both(frame(spark, rows[:150])), cols)
+
+
+def test_repeats_are_dropped_and_results_can_be_followed(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for i, rows in enumerate(([tx(0, 0), tx(1, 60)], [tx(1, 60), tx(2, 120)])):
+        frame(spark, rows).coalesce(1).write.parquet(f"{src}/part={i}")
+    schema = frame(spark, [tx(0)]).schema
+    job = StreamingScorer(spark, str(tmp_path / "out"))
+    job.start(ordered_stream(replay_stream(spark, f"{src}/*", schema=schema)), available_now=True).awaitTermination()
+    feed = result_feed(spark, job.root, "features", job.results("features").schema)
+    q = feed.select("transaction_id").writeStream.format("memory").queryName("feed").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r[0] for r in spark.table("feed").collect()) == ["T00000", "T00001", "T00002"]
