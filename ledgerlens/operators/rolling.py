@@ -199,11 +199,20 @@ def finish(parts: DataFrame, cfg: FeatureConfig) -> DataFrame:
         *[values[name].cast("double").alias(name) for name in FEATURES])
 
 
-def rolling_features(txn: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """transaction_id, timestamp, sender, receiver, amount + the 45 features."""
+def rolling_features(txn: DataFrame, cfg: FeatureConfig = FeatureConfig(), only: DataFrame | None = None) -> DataFrame:
+    """transaction_id, timestamp, sender, receiver, amount + the 45 features.
+
+    ``only`` (transaction_id) restricts the result; windows are then computed for
+    the senders of those rows alone, over their full history.
+    """
     from ledgerlens.operators.rolling_busy import busy_window_parts
 
-    base = with_defaults(txn)
+    everyone = with_defaults(txn)
+    base = everyone
+    if only is not None:
+        wanted = only.select("transaction_id").distinct()
+        senders = everyone.join(wanted, "transaction_id", "left_semi").select("sender_account").distinct()
+        base = everyone.join(senders, "sender_account", "left_semi")
     busy = busy_senders(base, cfg.busy_rows)
     n_busy = busy.limit(cfg.broadcast_limit + 1).count()
     if n_busy == 0:
@@ -213,13 +222,14 @@ def rolling_features(txn: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> Da
         calm = window_parts(base.join(marked, "sender_account", "left_anti"))
         hot = busy_window_parts(base.join(marked, "sender_account", "left_semi"), cfg.slot_seconds)
         parts = calm.unionByName(hot.select(*calm.columns))
-    return finish(parts.join(device_usage(base, cfg.slot_seconds), "transaction_id"), cfg)
+    if only is not None:
+        parts = parts.join(wanted, "transaction_id", "left_semi")
+    return finish(parts.join(device_usage(everyone, cfg.slot_seconds), "transaction_id"), cfg)
 
 
 def rolling_features_after(history: DataFrame, stream: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
     """Features of the stream rows, warm-started with the history rows."""
-    both = history.unionByName(stream, allowMissingColumns=True)
-    return rolling_features(both, cfg).join(stream.select("transaction_id"), "transaction_id", "left_semi")
+    return rolling_features(history.unionByName(stream, allowMissingColumns=True), cfg, only=stream)
 
 
 def feature_vector(features: DataFrame) -> DataFrame:

@@ -39,12 +39,11 @@ def fit_artefacts(history: DataFrame, cfg: FeatureConfig = FeatureConfig(), *, s
     edges = graph.build_edges(history)
     gf = cut_lineage(graph_features(edges))
     prof = cut_lineage(communities.community_profiles(edges, gf))
-    feats = rolling_features(history, cfg)
-    normal = feats
-    if "is_fraud" in history.columns:
-        normal = feats.join(history.where("is_fraud").select("transaction_id"), "transaction_id", "left_anti")
+    # rows are drawn before their features are computed: only their senders are replayed
+    normal = history.where(~F.coalesce("is_fraud", F.lit(False))) if "is_fraud" in history.columns else history
+    drawn = cut_lineage(profiles.sample_transactions(normal.select("transaction_id"), sample_rows))
     matrix = cut_lineage(profiles.finite_rows(
-        profiles.training_matrix(profiles.sample_transactions(normal, sample_rows), gf), profiles.MODEL_COLUMNS))
+        profiles.training_matrix(rolling_features(history, cfg, only=drawn), gf), profiles.MODEL_COLUMNS))
     scaler = profiles.fit_scaler(matrix, profiles.MODEL_COLUMNS)
     train, held_out = profiles.train_val_split(model_rows(matrix, scaler))
     train, held_out = cut_lineage(train), cut_lineage(held_out)

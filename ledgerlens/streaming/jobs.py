@@ -77,13 +77,21 @@ class StreamingScorer:
         return rows.where(~late), rows.where(late)
 
     def features(self, rows: DataFrame, batch_id: int) -> DataFrame:
-        """Rolling features of the new rows from the state of their senders and devices."""
+        """Rolling features of the new rows from the state of their senders and devices.
+
+        Of the other users of a device only the first use counts, so a hot device
+        brings in one row per sender.
+        """
         past = self.history.before(batch_id)
-        touched = (past.join(rows.select("sender_account").distinct(), "sender_account", "left_semi")
-                   .unionByName(past.join(rows.where("device_id <> ''").select("device_id").distinct(), "device_id", "left_semi"))
+        mine = past.join(rows.select("sender_account").distinct(), "sender_account", "left_semi")
+        devices = rows.where("device_id <> ''").select("device_id").distinct()
+        first = (past.join(devices, "device_id", "left_semi").groupBy("sender_account", "device_id")
+                 .agg(F.min(F.struct("timestamp", "transaction_id")).alias("f"))
+                 .select(F.col("f.transaction_id").alias("transaction_id")))
+        touched = (mine.unionByName(past.join(first, "transaction_id", "left_semi"))
                    .dropDuplicates(["transaction_id"]))
         both = cut_lineage(touched.select(*rows.columns).unionByName(rows))
-        return rolling_features(both, self.cfg).join(rows.select("transaction_id"), "transaction_id", "left_semi")
+        return rolling_features(both, self.cfg, only=rows)
 
     def graph_vectors(self, rows: DataFrame, batch_id: int) -> DataFrame:
         """Degrees and cycles of the new edges from the collapsed pairs of the past."""
