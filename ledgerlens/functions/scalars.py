@@ -98,7 +98,7 @@ def entropy_bits(values: Column) -> Column:
             F.when(same | (acc["run"] == 0), acc["acc"]).otherwise(acc["acc"] + term(acc["run"])).alias("acc"),
         )
 
-    total = F.aggregate(F.array_sort(values), start, step, lambda a: a["acc"] + term(a["run"]))
+    total = F.aggregate(F.sort_array(values), start, step, lambda a: a["acc"] + term(a["run"]))
     return F.when(F.size(values) > 0, -total).otherwise(F.lit(0.0))
 
 

@@ -177,6 +177,10 @@ def list_communities(profiles: DataFrame, min_risk: float = 0.0, limit: int = 50
     return profiles.where(F.col("risk_score") >= min_risk).orderBy(F.col("risk_score").desc(), "community_id").limit(limit)
 
 
+def community(profiles: DataFrame, community_id: int) -> DataFrame:
+    return profiles.where(F.col("community_id") == community_id)
+
+
 def paths_of(paths: DataFrame, community_id: int | None = None, limit: int = 50) -> DataFrame:
     chosen = paths if community_id is None else paths.where(F.col("community_id") == community_id)
     return chosen.orderBy("path_id").limit(limit)

@@ -37,6 +37,11 @@ def account_profiles(txn: DataFrame) -> DataFrame:
     ).withColumn("risk_tier", tier)
 
 
+def account_profile(profiles: DataFrame, account: str) -> DataFrame:
+    """Point lookup; on a stored table the filter reaches the scan."""
+    return profiles.where(F.col("account_id") == account)
+
+
 def hash_order(col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(col)))
 

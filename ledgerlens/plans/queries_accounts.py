@@ -311,6 +311,13 @@ def _order_profiles(spark, d):
     return profiles.account_profiles(t).select("account_id", "tx_count", "total_sent", "std_amount", "sub_threshold_count")
 
 
+@register("account_profile_lookup", with_ctes(["txn"], f"SELECT account_id, tx_count, total_sent, unique_receivers FROM ({_PROFILE}) WHERE account_id = (SELECT max(sender_account) FROM txn)"), total_sent=2)
+def _profile_lookup(spark, d):
+    t = views.txn(spark, d)
+    last = t.agg(F.max("sender_account")).first()[0]
+    return profiles.account_profile(profiles.account_profiles(t), last).select("account_id", "tx_count", "total_sent", "unique_receivers")
+
+
 _H = "md5('{seed}:' || transaction_id)"
 
 

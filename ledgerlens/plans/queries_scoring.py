@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import anomaly, fusion, graph, pairs, profiles
+from ledgerlens.operators import communities as C
 from ledgerlens.operators.graph_features import accounts, communities, graph_features
 from ledgerlens.operators.rolling import rolling_features
 from ledgerlens.plans import scoring, views
@@ -294,7 +295,7 @@ def _refuse(spark, d):
 @register("community_lookup", with_ctes(PROF, "SELECT c AS community_id, size, pattern AS dominant_pattern FROM risk WHERE c = 3",
                                         {"edges": CTES["pay"]}))
 def _community(spark, d):
-    return _profiles(spark, d)[2].where("community_id = 3").select("community_id", "size", "dominant_pattern")
+    return C.community(_profiles(spark, d)[2], 3).select("community_id", "size", "dominant_pattern")
 
 
 @register("score_transactions")
