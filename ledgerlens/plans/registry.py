@@ -15,6 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 @dataclass(frozen=True)
 class Entry:
+    """``plan`` is the operator's own result, ``query`` its comparable form."""
+    plan: Query
     query: Query
     sql: str | None
 
@@ -49,7 +51,7 @@ def register(name: str, sql: str | None = None, digits: int = 4, nudge: bool = F
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return present(fn(spark, sf_dir), digits, nudge, **special)
         run.__doc__ = fn.__doc__
-        REGISTRY[name] = Entry(run, sql)
+        REGISTRY[name] = Entry(fn, run, sql)
         return fn
     return wrap
 
