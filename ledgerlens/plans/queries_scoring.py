@@ -12,7 +12,7 @@ from ledgerlens.operators.graph_features import accounts, communities, graph_fea
 from ledgerlens.operators.rolling import rolling_features
 from ledgerlens.plans import scoring, views
 from ledgerlens.plans.queries_accounts import FEAT
-from ledgerlens.plans.queries_graph import CYCLE, E, GFEAT, PROF, _profiles, edges, payments
+from ledgerlens.plans.queries_graph import CYCLE, E, GFEAT, PROF, _profiles, edges
 from ledgerlens.plans.registry import CTES, register, with_ctes
 from ledgerlens.session import cut_lineage, shared_dir
 from ledgerlens.sources import readers, sinks

@@ -19,7 +19,6 @@ from ledgerlens.plans.scoring import Artefacts, score_rows
 from ledgerlens.session import cut_lineage
 from ledgerlens.streaming.state import BatchTable, fold_max, fold_pairs, retained
 
-_S, _D = "string", "double"
 _HISTORY = ("transaction_id string, timestamp timestamp, amount double, sender_account string, receiver_account string, "
             "device_id string, ip_address string, sender_country string, receiver_country string, sender_bank string, "
             "receiver_bank string, transaction_type string, payment_channel string, transaction_status string, "
@@ -30,7 +29,7 @@ _MARK = "newest timestamp"
 
 
 def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(ddl)
+    return T.StructType.fromDDL(ddl)
 
 
 @dataclass

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerlens.operators import graph
 from ledgerlens.operators.rolling import rolling_features
