@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe
+from ledgerlens.llm import bpe, tokencount
 
 WORD_VOCABULARY = "word_bpe_49k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
+#: A document over this many tokens is marked.
+TOKEN_LIMIT = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +34,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    path = public_tokenizers.path(PIECE_VOCABULARY)
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.octet_length(whole()).cast("long").alias("n_bytes"), tokencount.count_tokens(whole(), path).alias("n_tokens"))
+    return docs.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op5_token_counts": op5_token_counts}
 
 #: Equivalent DuckDB SQL where there is one.
 SQL: dict[str, str] = {}
