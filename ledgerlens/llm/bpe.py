@@ -7,23 +7,28 @@ strings as the vocabulary file asks for: without a decoder section, by one space
 
 Null and empty texts have no ids; no ids decode to the empty text. Texts are never
 cut. Work is one narrow Arrow step per partition, so a lost executor costs only
-its partitions. A worker remembers at most ``CACHE_WORDS`` words.
+its partitions. A worker remembers at most ``CACHE_RUNS`` runs between white space.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
+import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words a worker remembers; further words are encoded anew each time they occur.
-CACHE_WORDS = 250_000
+#: Runs without white space that a worker remembers; others are encoded anew each time they occur.
+CACHE_RUNS = 250_000
+SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 #: White space as the vocabulary's split pattern understands it (fixed values).
 SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
@@ -82,11 +87,17 @@ class Codec:
                 heapq.heappush(heap, (found[0], h, found[1]))
         return [x for x, on in zip(ids, alive, strict=True) if on]
 
-    def word(self, word: str) -> list[int]:
-        data = word.encode()
-        out = self.merge([*map(self.letter_ids.__getitem__, data[:-1]), self.end_ids[data[-1]]])
-        if len(self.known) < CACHE_WORDS and len(word) <= 64:
-            self.known[word] = out
+    def run(self, run: str) -> list[int]:
+        """Ids of a run of characters without white space."""
+        words, out = self.words.findall(run), []
+        for w in words:
+            ids = self.known.get(w) if len(words) > 1 else None
+            if ids is None:
+                data = w.encode()
+                ids = self.merge([*map(self.letter_ids.__getitem__, data[:-1]), self.end_ids[data[-1]]])
+            out += ids
+        if len(self.known) < CACHE_RUNS and len(run) <= 64:
+            self.known[run] = out
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -104,10 +115,12 @@ class Codec:
     def plain(self, text: str) -> list[int]:
         # lower-casing goes character by character: a capital sigma has one small form
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        get, out = self.known.get, []
-        for w in self.words.findall(text):
-            out += get(w) or self.word(w)
-        return out
+        # no match holds white space; Python also splits at the four separators below, the vocabulary doesn't
+        runs = [text] if SEPARATORS.search(text) else text.split()
+        ids = [*map(self.known.get, runs)]
+        if None in ids:
+            ids = [known if known is not None else self.run(r) for known, r in zip(ids, runs, strict=True)]
+        return [*itertools.chain.from_iterable(ids)]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
@@ -138,7 +151,8 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def texts(rows: pa.Array) -> pa.Array:
-        c = codec(path)
-        return pa.array([c.decode(r.as_py() or []) for r in rows], pa.string())
+        c, flat = codec(path), rows.flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))))
+        return pa.array((c.decode(flat[a:b].tolist()) for a, b in itertools.pairwise(ends.tolist())), pa.string())
 
     return texts(ids)
