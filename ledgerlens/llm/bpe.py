@@ -27,8 +27,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Runs without white space that a worker remembers; others are encoded anew each time they occur.
-CACHE_RUNS = 250_000
+CACHE_RUNS = 300_000
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: A stop or comma next to another symbol (or to a quote, which may start a match).
+SIDE_BY_SIDE = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
 
 #: White space as the vocabulary's split pattern understands it (fixed values).
 SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
@@ -62,7 +64,7 @@ class Codec:
         self.strings = [""] * (1 + max([*vocab.values(), *special.values()]))
         for text, i in [*vocab.items(), *special.items()]:
             self.strings[i] = text
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply all merges to one word's symbols, lowest rank first, leftmost on ties."""
@@ -97,7 +99,7 @@ class Codec:
                 ids = self.merge([*map(self.letter_ids.__getitem__, data[:-1]), self.end_ids[data[-1]]])
             out += ids
         if len(self.known) < CACHE_RUNS and len(run) <= 64:
-            self.known[run] = out
+            self.known[run] = tuple(out)
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -116,7 +118,12 @@ class Codec:
         # lower-casing goes character by character: a capital sigma has one small form
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         # no match holds white space; Python also splits at the four separators below, the vocabulary doesn't
-        runs = [text] if SEPARATORS.search(text) else text.split()
+        if SEPARATORS.search(text):
+            runs = [text]
+        else:
+            if not SIDE_BY_SIDE.search(text):  # then each stop and comma is a match of its own
+                text = text.replace(",", " , ").replace(".", " . ")
+            runs = text.split()
         ids = [*map(self.known.get, runs)]
         if None in ids:
             ids = [known if known is not None else self.run(r) for known, r in zip(ids, runs, strict=True)]
