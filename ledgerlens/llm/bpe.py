@@ -27,7 +27,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Runs without white space that a worker remembers; others are encoded anew each time they occur.
-CACHE_RUNS = 300_000
+CACHE_RUNS = 500_000
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: A stop or comma next to another symbol (or to a quote, which may start a match).
 SIDE_BY_SIDE = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
@@ -56,7 +56,10 @@ class Codec:
         self.end = model["end_of_word_suffix"] or ""
         self.letter_ids = [vocab[c] for c in byte_letters()]
         self.end_ids = [vocab[c + self.end] for c in byte_letters()]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(map(tuple, model["merges"]))}
+        pairs = [*map(tuple, model["merges"])]
+        #: Rank of a pair of ids, packed into one number; the id that the merge of a rank makes.
+        self.ranks = {vocab[a] << 20 | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [vocab[a + b] for a, b in pairs]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -68,30 +71,33 @@ class Codec:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply all merges to one word's symbols, lowest rank first, leftmost on ties."""
-        n, merges = len(ids), self.merges
-        before, after, alive = [i - 1 for i in range(n)], [*range(1, n), -1], [True] * n
-        heap = []
-        for i in range(n - 1):
-            if found := merges.get((ids[i], ids[i + 1])):
-                heap.append((found[0], i, found[1]))
+        n, rank, made = len(ids), self.ranks.get, self.made
+        heap = [r << 32 | i for i, pair in enumerate(itertools.pairwise(ids)) if (r := rank(pair[0] << 20 | pair[1])) is not None]
+        if not heap:
+            return ids
         heapq.heapify(heap)
+        before, after = [*range(-1, n - 1)], [*range(1, n + 1)]
         while heap:
-            _, i, to = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            r, i = entry >> 32, entry & 0xFFFFFFFF
             j = after[i]
-            if not alive[i] or j < 0 or merges.get((ids[i], ids[j]), (0, -1))[1] != to:
+            if ids[i] < 0 or j == n or rank(ids[i] << 20 | ids[j]) != r:
                 continue  # stale
-            ids[i], alive[j], after[i] = to, False, after[j]
-            if (k := after[j]) >= 0:
+            new = ids[i] = made[r]
+            ids[j] = -1
+            k = after[i] = after[j]
+            h = before[i]
+            if k < n:
                 before[k] = i
-                if found := merges.get((to, ids[k])):
-                    heapq.heappush(heap, (found[0], i, found[1]))
-            if (h := before[i]) >= 0 and (found := merges.get((ids[h], to))):
-                heapq.heappush(heap, (found[0], h, found[1]))
-        return [x for x, on in zip(ids, alive, strict=True) if on]
+                if (q := rank(new << 20 | ids[k])) is not None:
+                    heapq.heappush(heap, q << 32 | i)
+            if h >= 0 and (q := rank(ids[h] << 20 | new)) is not None:
+                heapq.heappush(heap, q << 32 | h)
+        return [x for x in ids if x >= 0]
 
     def run(self, run: str) -> list[int]:
         """Ids of a run of characters without white space."""
-        words, out = self.words.findall(run), []
+        words, out = [run] if run.isalpha() else self.words.findall(run), []
         for w in words:
             ids = self.known.get(w) if len(words) > 1 else None
             if ids is None:

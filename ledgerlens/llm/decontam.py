@@ -19,6 +19,7 @@ columns are left as they are.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -178,28 +179,25 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_built: dict[int, Automaton] = {}
+_built: dict[tuple[str, int], Automaton] = {}
 
 
-def automaton(block: Broadcast, window: int) -> Automaton:
-    """The automaton of one block of items, built once per worker."""
-    key = (block._jid if hasattr(block, "_jid") else id(block), window)
-    if key not in _built:
+def automaton(digest: str, block: Broadcast, window: int) -> Automaton:
+    """The automaton of one block of items, built once per worker; ``digest`` names the block's content."""
+    if (digest, window) not in _built:
         if len(_built) >= 4:
             _built.clear()
-        _built[key] = Automaton(block.value, window)
-    return _built[key]
+        _built[digest, window] = Automaton(block.value, window)
+    return _built[digest, window]
 
 
 FOUND = "struct<n_words: bigint, spans: array<struct<a: bigint, b: bigint>>, items: array<string>>"
 
 
-def scan_block(text: Column, block: Broadcast, window: int) -> Column:
-    number = block.id if hasattr(block, "id") else None
-
+def scan_block(text: Column, digest: str, block: Broadcast, window: int) -> Column:
     @F.arrow_udf(FOUND)
     def scan(texts: pa.Array) -> pa.Array:
-        found = automaton(block, window)
+        found = automaton(digest, block, window)
         rows = []
         for t in texts:
             n, spans, items = found.scan(t.as_py() or "")
@@ -221,8 +219,9 @@ def find(docs: DataFrame, items: DataFrame, out: str, text: str = "text", item_i
     block = F.pmod(F.xxhash64("name", "words"), F.lit(n_blocks))
     parts = []
     for k in range(n_blocks):
-        rows = items.filter(block == k).collect()  # bounded by block_words
-        parts.append(scan_block(F.col(text), spark.sparkContext.broadcast([(r[0], r[1]) for r in rows]), window))
+        rows = sorted((r[0], r[1]) for r in items.filter(block == k).collect())  # bounded by block_words
+        digest = hashlib.sha256(repr(rows).encode()).hexdigest()
+        parts.append(scan_block(F.col(text), digest, spark.sparkContext.broadcast(rows), window))
     if len(parts) == 1:
         return docs.withColumn(out, parts[0])
     return docs.withColumn(out, F.struct(
