@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontam, html, secrets, tokencount
+from ledgerlens.llm import bpe, chat, decontam, dedup, html, secrets, tokencount
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -34,6 +34,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: three-word shingles, similarity 0.85."""
+    found = dedup.groups(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", F.equal_null("doc_id", "component_id").alias("kept"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of every document lie in a passage of the benchmark."""
     docs = table(spark, sf_dir, "documents").select("doc_id", whole().alias("text"))
@@ -79,7 +85,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_bpe": op1_bpe, "op3_decontamination": op3_decontamination, "op5_token_counts": op5_token_counts,
+    "op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op5_token_counts": op5_token_counts,
     "op7_chat": op7_chat, "op8_secrets": op8_secrets, "op9_main_text": op9_main_text,
 }
 
