@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontam, dedup, html, kdshards, secrets, tokencount
+from ledgerlens.llm import bpe, chat, decontam, dedup, fingerprint, html, kdshards, secrets, tokencount
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -91,9 +91,15 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_sharding": op4_sharding, "op5_token_counts": op5_token_counts,
     "op7_chat": op7_chat, "op8_secrets": op8_secrets, "op9_main_text": op9_main_text,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 #: Equivalent DuckDB SQL where there is one.
