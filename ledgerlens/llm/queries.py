@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontam, dedup, fingerprint, html, kdshards, secrets, tokencount
+from ledgerlens.llm import bpe, chat, decontam, dedup, fingerprint, html, kdshards, secrets, tokencount, toxicity
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -66,6 +66,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of both categories for every document, and which documents are toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    p = toxicity.scored(docs, table(spark, sf_dir, "labels"), "p")
+    return p.select("doc_id", F.get("p", 0).alias("p_quality"), F.get("p", 1).alias("p_toxic"),
+                    F.coalesce(F.get("p", 1) >= toxicity.THRESHOLD, F.lit(False)).alias("toxic"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that tries to forge turns, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -98,7 +106,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_sharding": op4_sharding, "op5_token_counts": op5_token_counts,
-    "op7_chat": op7_chat, "op8_secrets": op8_secrets, "op9_main_text": op9_main_text,
+    "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_secrets": op8_secrets, "op9_main_text": op9_main_text,
     "op10_fingerprints": op10_fingerprints,
 }
 
