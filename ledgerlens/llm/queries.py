@@ -23,10 +23,9 @@ def whole(name: str = "text") -> F.Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of every document, as digests."""
-    path = public_tokenizers.path(WORD_VOCABULARY)
-    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(whole(), path).alias("ids"))
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """Ids and decoded text of every document, as counts and digests."""
+    docs = docs.select("doc_id", bpe.encode(whole(), path).alias("ids"))
     docs = docs.select("doc_id", "ids", bpe.decode(F.col("ids"), path).alias("decoded"))
     return docs.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -34,6 +33,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: three-word shingles, similarity 0.85."""
     found = dedup.groups(table(spark, sf_dir, "documents"), words=3, percent=85)
