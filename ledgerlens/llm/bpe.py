@@ -26,8 +26,10 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.batches import arrow_udf
+
 #: Runs without white space that a worker remembers; others are encoded anew each time they occur.
-CACHE_RUNS = 500_000
+CACHE_RUNS = 300_000
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: A stop or comma next to another symbol (or to a quote, which may start a match).
 SIDE_BY_SIDE = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
@@ -67,7 +69,8 @@ class Codec:
         self.strings = [""] * (1 + max([*vocab.values(), *special.values()]))
         for text, i in [*vocab.items(), *special.items()]:
             self.strings[i] = text
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Ids of a run, one code point each: compact, and quick to join.
+        self.known: dict[str, str] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply all merges to one word's symbols, lowest rank first, leftmost on ties."""
@@ -95,32 +98,27 @@ class Codec:
                 heapq.heappush(heap, q << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def run(self, run: str) -> list[int]:
-        """Ids of a run of characters without white space."""
-        words, out = [run] if run.isalpha() else self.words.findall(run), []
+    def run(self, run: str) -> str:
+        """Ids of a run of characters without white space, as code points."""
+        words, parts = [run] if run.isalpha() else self.words.findall(run), []
         for w in words:
             ids = self.known.get(w) if len(words) > 1 else None
             if ids is None:
                 data = w.encode()
-                ids = self.merge([*map(self.letter_ids.__getitem__, data[:-1]), self.end_ids[data[-1]]])
-            out += ids
+                ids = "".join(map(chr, self.merge([*map(self.letter_ids.__getitem__, data[:-1]), self.end_ids[data[-1]]])))
+            parts.append(ids)
+        out = "".join(parts)
         if len(self.known) < CACHE_RUNS and len(run) <= 64:
-            self.known[run] = tuple(out)
+            self.known[run] = out
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; special strings inside it become their own id."""
-        if self.cut is None:
-            return self.plain(text)
-        parts = self.cut.split(text)
-        if len(parts) == 1:
-            return self.plain(text)
-        out: list[int] = []
-        for k, part in enumerate(parts):
-            out += [self.special[part]] if k % 2 else self.plain(part)
-        return out
+        parts = [text] if self.cut is None else self.cut.split(text)
+        ids = "".join([chr(self.special[part]) if k % 2 else self.plain(part) for k, part in enumerate(parts)])
+        return np.frombuffer(ids.encode("utf-32-le", "surrogatepass"), np.int32)
 
-    def plain(self, text: str) -> list[int]:
+    def plain(self, text: str) -> str:
         # lower-casing goes character by character: a capital sigma has one small form
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         # no match holds white space; Python also splits at the four separators below, the vocabulary doesn't
@@ -133,10 +131,10 @@ class Codec:
         ids = [*map(self.known.get, runs)]
         if None in ids:
             ids = [known if known is not None else self.run(r) for known, r in zip(ids, runs, strict=True)]
-        return [*itertools.chain.from_iterable(ids)]
+        return "".join(ids)
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.strings.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> str:
+        return " ".join(map(self.strings.__getitem__, ids.tolist()))
 
 
 @functools.lru_cache(maxsize=2)
@@ -148,11 +146,11 @@ def codec(path: str) -> Codec:
 def encode(text: Column, path: str) -> Column:
     """Token ids, array<int>, of a text column."""
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         c, flat, ends = codec(path), [], [0]
         for t in texts:
-            flat.append(pa.array(c.encode(t.as_py() or ""), pa.int32()))
+            flat.append(pa.array(c.encode(t.as_py() or "")))
             ends.append(ends[-1] + len(flat[-1]))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(flat) if flat else pa.array([], pa.int32()))
 
@@ -162,10 +160,10 @@ def encode(text: Column, path: str) -> Column:
 def decode(ids: Column, path: str) -> Column:
     """Text of an array<int> column of token ids; null ids decode to the empty text."""
 
-    @F.arrow_udf("string")
+    @arrow_udf("string")
     def texts(rows: pa.Array) -> pa.Array:
         c, flat = codec(path), rows.flatten().to_numpy(zero_copy_only=False)
         ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))))
-        return pa.array((c.decode(flat[a:b].tolist()) for a, b in itertools.pairwise(ends.tolist())), pa.string())
+        return pa.array((c.decode(flat[a:b]) for a, b in itertools.pairwise(ends.tolist())), pa.string())
 
     return texts(ids)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.batches import arrow_udf
+
 #: Fixed values of the template.
 START, END, ASSISTANT = "<|im_start|>", "<|im_end|>", "assistant"
 HIDE, SHOW = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -100,7 +102,7 @@ def format_turns(role: Column, parts: Column) -> Column:
     kind = pa.struct([("formatted", pa.string()), ("loss_from", pa.int32()), ("loss_to", pa.int32()),
                       ("attachments", pa.list_(pa.struct([("ref", pa.string()), ("kind", pa.string()), ("tokens", pa.int64())])))])
 
-    @F.arrow_udf(TURN)
+    @arrow_udf(TURN)
     def pieces(roles: pa.Array, rows: pa.Array) -> pa.Array:
         return pa.array([format_turn(r, p) for r, p in zip(roles.to_pylist(), rows.to_pylist(), strict=True)], kind)
 

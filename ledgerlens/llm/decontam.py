@@ -28,6 +28,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.batches import arrow_udf
+
 WINDOW = 10
 #: Most words of items in one automaton; about 60 MB a worker.
 BLOCK_WORDS = 100_000
@@ -195,7 +197,7 @@ FOUND = "struct<n_words: bigint, spans: array<struct<a: bigint, b: bigint>>, ite
 
 
 def scan_block(text: Column, digest: str, block: Broadcast, window: int) -> Column:
-    @F.arrow_udf(FOUND)
+    @arrow_udf(FOUND)
     def scan(texts: pa.Array) -> pa.Array:
         found = automaton(digest, block, window)
         rows = []
@@ -241,7 +243,7 @@ def hit_words(spans: Column) -> Column:
 def without(text: Column, spans: Column) -> Column:
     """The text without the words of the spans and what stands between them."""
 
-    @F.arrow_udf("string")
+    @arrow_udf("string")
     def cut(texts: pa.Array, rows: pa.Array) -> pa.Array:
         out = []
         for t, r in zip(texts.to_pylist(), rows.to_pylist(), strict=True):

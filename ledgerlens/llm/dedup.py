@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import minhash
+from ledgerlens.llm.batches import arrow_udf
 from ledgerlens.llm.components import components
 from ledgerlens.llm.stored import stored
 
@@ -45,7 +46,7 @@ def marks(text: Column, words: int) -> Column:
     """Set size, digest of the set, and bucket keys of each whole text."""
     kind = pa.struct([("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
-    @F.arrow_udf(MARKS)
+    @arrow_udf(MARKS)
     def of(texts: pa.Array) -> pa.Array:
         n, nodes, keys = [], [], []
         for t in texts:
@@ -61,7 +62,7 @@ def marks(text: Column, words: int) -> Column:
 def shingles(text: Column, words: int) -> Column:
     """The set of each whole text, sorted."""
 
-    @F.arrow_udf("array<bigint>")
+    @arrow_udf("array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array([minhash.shingle_set(t.as_py() or "", words).view(np.int64) for t in texts], pa.list_(pa.int64()))
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.batches import arrow_udf
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>|</?[a-zA-Z][^>]*\Z|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
@@ -220,7 +222,7 @@ def extract(page: str) -> str:
 def main_text(page: Column) -> Column:
     """The main text of each whole page."""
 
-    @F.arrow_udf("string")
+    @arrow_udf("string")
     def texts(pages: pa.Array) -> pa.Array:
         return pa.array([extract(p.as_py() or "") for p in pages], pa.string())
 

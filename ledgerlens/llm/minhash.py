@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -43,27 +44,37 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def _hashes(data: np.ndarray, gap: np.ndarray) -> np.ndarray:
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
-    starts, stops = edge[::2], edge[1::2]
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; equal bytes have equal hashes wherever they stand."""
     up, down = powers(1 << max(16, len(data).bit_length()))
     total = np.zeros(len(data) + 1, _U)
     np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=total[1:])
     return mixed((total[stops] - total[starts]) * down[starts])
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of every word of a text, A-Z lower-cased; words stand between ASCII white space."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    gap, parts, at = IS_SPACE[data], [np.empty(0, _U)], 0
-    while at < len(data):  # long texts piece by piece, cut at white space
-        stop = len(data)
+def words_between(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs between gaps."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def pieces(gap: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cut long texts at gaps, into pieces of about ``PIECE`` bytes."""
+    at = 0
+    while at < len(gap):
+        stop = len(gap)
         if stop - at > PIECE:
             gaps = np.flatnonzero(gap[at + PIECE :])
             stop = at + PIECE + int(gaps[0]) if len(gaps) else stop
-        parts.append(_hashes(data[at:stop], gap[at:stop]))
+        yield at, stop
         at = stop
-    return np.concatenate(parts)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of every word of a text, A-Z lower-cased; words stand between ASCII white space."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    gap = IS_SPACE[data]
+    return np.concatenate([np.empty(0, _U), *[span_hashes(data[a:b], *words_between(gap[a:b])) for a, b in pieces(gap)]])
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:

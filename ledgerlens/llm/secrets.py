@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.batches import arrow_udf
+
 #: The base kinds in their order, their patterns and least lengths.
 KINDS = ["assign", "access", "hex", "format"]
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -190,7 +192,7 @@ def examples(text: str) -> list[tuple[str, str]]:
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Formats:
     """Infer the formats from at most ``sample`` distinct values of each kind, those with the smallest hashes."""
-    @F.arrow_udf("array<struct<kind: string, word: string>>")
+    @arrow_udf("array<struct<kind: string, word: string>>")
     def found_in(texts: pa.Array) -> pa.Array:
         rows = [[{"kind": k, "word": w} for k, w in examples(t.as_py() or "")] for t in texts]
         return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("word", pa.string())])))
@@ -211,7 +213,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Formats:
 def scan(text: Column, formats: Formats) -> Column:
     """array<struct<kind, a, b>> of all secrets of each whole text, by start, then kind."""
 
-    @F.arrow_udf("array<struct<kind: string, a: bigint, b: bigint>>")
+    @arrow_udf("array<struct<kind: string, a: bigint, b: bigint>>")
     def spans(texts: pa.Array) -> pa.Array:
         rows = [[{"kind": k, "a": a, "b": b} for k, a, b in formats.spans(t.as_py() or "")] for t in texts]
         return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64())])))
@@ -227,10 +229,10 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, formats: Formats, text: str = "text", put: str = "[SECRET]") -> DataFrame:
     """Documents with every secret replaced by ``put``, same columns; a column n_chars follows the text."""
 
-    @F.arrow_udf("string")
+    @arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
         out = []
-        for t in texts.to_pylist():
+        for t in (x.as_py() for x in texts):
             at, left = 0, []
             for _, a, b in formats.spans(t or ""):
                 if b > at:

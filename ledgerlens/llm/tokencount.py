@@ -32,6 +32,8 @@ import sentencepiece
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.batches import arrow_udf
+
 CHUNK = 8_192
 MAX_STATES = 150_000
 MAX_WORDS = 400_000
@@ -188,7 +190,7 @@ def machine(path: str) -> Machine:
 def count_tokens(text: Column, path: str) -> Column:
     """Number of tokens, long, of each whole text."""
 
-    @F.arrow_udf("long")
+    @arrow_udf("long")
     def counts(texts: pa.Array) -> pa.Array:
         m = machine(path)
         return pa.array([m.count(t.as_py() or "") for t in texts], pa.int64())

@@ -19,7 +19,6 @@ nothing is known: all probabilities are null and no document is rejected.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -28,13 +27,16 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.decontam import words_of
+from ledgerlens.llm.batches import arrow_udf
+from ledgerlens.llm.decontam import TO_WORDS
+from ledgerlens.llm.minhash import mixed, pieces, span_hashes, words_between
 
 CATEGORIES = ("quality", "toxic")
 #: Labelled documents of each value of the last category that the fit looks at.
 SAMPLE = 4_000
 FOLDS = 3
-SLOTS = 1 << 18
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
 #: Lengths in bytes of the beginnings of words.
 BEGINNINGS = (4, 5)
 #: A feature in fewer of the sample's documents has no weight.
@@ -43,23 +45,21 @@ LEAST_DOCUMENTS = 3
 LEAST_Z = 3.0
 STEPS, RIDGE = 300, 0.1
 THRESHOLD = 0.4
-CACHE_WORDS = 300_000
 
-_known: dict[bytes, tuple[int, ...]] = {}
-
-
-def _of_word(word: bytes) -> tuple[int, ...]:
-    out = (zlib.crc32(word) % SLOTS, *(zlib.crc32(b"^%d " % k + word[:k]) % SLOTS for k in BEGINNINGS if len(word) >= k))
-    if len(_known) < CACHE_WORDS and len(word) <= 64:
-        _known[word] = out
-    return out
+IS_GAP = np.frombuffer(TO_WORDS, np.uint8) == 32
 
 
 def features(text: str) -> np.ndarray:
-    """Slots of the distinct features of a text."""
-    get = _known.get
-    slots = set().union(*[get(w) or _of_word(w) for w in set(words_of(text))])
-    return np.fromiter(slots, np.int32, len(slots))
+    """Slots of the distinct words, without case, and of their beginnings."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    gap, out = IS_GAP[data], [np.empty(0, np.uint64)]
+    for a, b in pieces(gap):
+        starts, stops = words_between(gap[a:b])
+        for k in (0, *BEGINNINGS):
+            long = stops - starts >= k
+            ends = starts[long] + k if k else stops
+            out.append(mixed(span_hashes(data[a:b], starts[long], ends) + np.uint64(k)))
+    return np.unique(np.concatenate(out) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
 
 
 class Rows:
@@ -163,9 +163,9 @@ def _fit_task(categories: tuple[str, ...], shift: float) -> Callable:
 def feature_slots(text: Column) -> Column:
     """array<int> of the feature slots of each whole text."""
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([np.sort(features(t.as_py() or "")) for t in texts], pa.list_(pa.int32()))
+        return pa.array([features(t.as_py() or "") for t in texts], pa.list_(pa.int32()))
 
     return of(text)
 
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGO
 def probabilities(text: Column, model: Broadcast) -> Column:
     """array<double> of the categories' probabilities for each whole text."""
 
-    @F.arrow_udf("array<double>")
+    @arrow_udf("array<double>")
     def score(texts: pa.Array) -> pa.Array:
         chain = model.value
         return pa.array([chain.probabilities(t.as_py() or "") for t in texts], pa.list_(pa.float64()))
