@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontam, dedup, fingerprint, html, kdshards, secrets, tokencount, toxicity
+from ledgerlens.llm import bpe, chat, decontam, dedup, fingerprint, html, kdshards, secrets, sql, tokencount, toxicity
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -115,4 +115,4 @@ QUERIES = {
 }
 
 #: Equivalent DuckDB SQL where there is one.
-SQL: dict[str, str] = {}
+SQL = {"op2_near_duplicates": sql.NEAR_DUPLICATES, "op3_decontamination": sql.DECONTAMINATION, "op7_chat": sql.CHAT}
