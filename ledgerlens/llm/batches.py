@@ -7,15 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-#: Upper limits of a batch; a session's own lower limits stay. One row may be larger.
-LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+#: Rows of a batch at most; a session's own lower limit stays.
+ROWS = 500
+KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def arrow_udf(kind: str) -> Callable:
     """``F.arrow_udf`` whose session deals rows out in small batches: texts may be long, and workers are reused."""
     conf = SparkSession.active().conf
-    for key, most in LIMITS.items():
-        now = int("".join(c for c in conf.get(key) if c.isdigit() or c == "-"))
-        if now <= 0 or now > most:
-            conf.set(key, str(most))
+    if not 0 < int(conf.get(KEY)) <= ROWS:
+        conf.set(KEY, str(ROWS))
     return F.arrow_udf(kind)

@@ -193,7 +193,8 @@ def automaton(digest: str, block: Broadcast, window: int) -> Automaton:
     return _built[digest, window]
 
 
-FOUND = "struct<n_words: bigint, spans: array<struct<a: bigint, b: bigint>>, items: array<string>>"
+#: Spans in words (a, b) and in characters (c, d), ends exclusive.
+FOUND = "struct<n_words: bigint, spans: array<struct<a: bigint, b: bigint, c: bigint, d: bigint>>, items: array<string>>"
 
 
 def scan_block(text: Column, digest: str, block: Broadcast, window: int) -> Column:
@@ -202,12 +203,15 @@ def scan_block(text: Column, digest: str, block: Broadcast, window: int) -> Colu
         found = automaton(digest, block, window)
         rows = []
         for t in texts:
-            n, spans, items = found.scan(t.as_py() or "")
-            rows.append({"n_words": n, "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(items)})
-        kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
-        return pa.array(rows, kind)
+            text = t.as_py() or ""
+            n, spans, items = found.scan(text)
+            at = [m.span() for m in WORD.finditer(text)] if spans else []
+            rows.append({"n_words": n, "spans": [{"a": a, "b": b, "c": at[a][0], "d": at[b - 1][1]} for a, b in spans], "items": sorted(items)})
+        span = pa.struct([(x, pa.int64()) for x in "abcd"])
+        return pa.array(rows, pa.struct([("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.string()))]))
 
-    return scan(text)
+    # deterministic in truth; said otherwise so that a filter on its result does not make Spark run it twice
+    return scan.asNondeterministic()(text)
 
 
 def find(docs: DataFrame, items: DataFrame, out: str, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -242,21 +246,13 @@ def hit_words(spans: Column) -> Column:
 
 def without(text: Column, spans: Column) -> Column:
     """The text without the words of the spans and what stands between them."""
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
 
-    @arrow_udf("string")
-    def cut(texts: pa.Array, rows: pa.Array) -> pa.Array:
-        out = []
-        for t, r in zip(texts.to_pylist(), rows.to_pylist(), strict=True):
-            if r:
-                at, left, words = 0, [], [m.span() for m in WORD.finditer(t)]
-                for a, b in joined([(x["a"], x["b"]) for x in r]):
-                    left.append(t[at : words[a][0]])
-                    at = words[b - 1][1]
-                t = "".join([*left, t[at:]])
-            out.append(t)
-        return pa.array(out, pa.string())
-
-    return cut(text, spans)
+    def skip(s: Column, x: Column) -> Column:
+        before = F.substring(text, s["at"].cast("int") + 1, F.greatest(F.lit(0).cast("long"), x["c"] - s["at"]).cast("int"))
+        return F.struct(F.concat(s["kept"], before).alias("kept"), F.greatest(s["at"], x["d"]).alias("at"))
+
+    return F.aggregate(F.array_sort(spans), start, skip, lambda s: F.concat(s["kept"], F.substring(text, s["at"].cast("int") + 1, F.length(text))))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = MAX_COVERAGE, **names: str) -> DataFrame:

@@ -33,7 +33,7 @@ from ledgerlens.llm.minhash import mixed, pieces, span_hashes, words_between
 
 CATEGORIES = ("quality", "toxic")
 #: Labelled documents of each value of the last category that the fit looks at.
-SAMPLE = 4_000
+SAMPLE = 3_000
 FOLDS = 3
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
@@ -63,11 +63,10 @@ def features(text: str) -> np.ndarray:
 
 
 class Rows:
-    """Sparse 0/1 rows."""
+    """Sparse 0/1 rows: the slots of all features, and the row of each."""
 
-    def __init__(self, slots: list[np.ndarray], n_slots: int):
-        self.flat, self.n_slots, self.n = np.concatenate([*slots, np.empty(0, np.int64)]).astype(np.int64), n_slots, len(slots)
-        self.row = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
+    def __init__(self, flat: np.ndarray, row: np.ndarray, n: int, n_slots: int):
+        self.flat, self.row, self.n, self.n_slots = flat, row, n, n_slots
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.flat], self.n)
@@ -75,25 +74,37 @@ class Rows:
     def gradient(self, per_row: np.ndarray) -> np.ndarray:
         return np.bincount(self.flat, per_row[self.row], self.n_slots)
 
+    def of(self, rows: np.ndarray) -> Rows:
+        """The rows marked, numbered anew."""
+        on, number = rows[self.row], (np.cumsum(rows) - 1).astype(np.int32)
+        return Rows(self.flat[on], number[self.row[on]], int(rows.sum()), self.n_slots)
+
+    def only(self, slots: np.ndarray) -> Rows:
+        """The features with these slots, numbered anew."""
+        place = np.full(self.n_slots, -1, np.int32)
+        place[slots] = np.arange(len(slots), dtype=np.int32)
+        flat = place[self.flat]
+        on = flat >= 0
+        return Rows(flat[on], self.row[on], self.n, len(slots))
+
 
 def telling(rows: Rows, y: np.ndarray) -> np.ndarray:
-    """Which slots differ clearly between the two values: log odds ratio over its standard error."""
+    """Slots in enough rows that differ clearly between the two values: log odds ratio over its standard error."""
     n1, n0 = y.sum(), (1 - y).sum()
     a, b = rows.gradient(y) + 0.5, rows.gradient(1 - y) + 0.5
     ratio = np.log(a / (n1 - a + 1)) - np.log(b / (n0 - b + 1))
-    return np.abs(ratio) / np.sqrt(1 / a + 1 / b + 1 / (n1 - a + 1) + 1 / (n0 - b + 1)) >= LEAST_Z
+    clear = np.abs(ratio) / np.sqrt(1 / a + 1 / b + 1 / (n1 - a + 1) + 1 / (n0 - b + 1)) >= LEAST_Z
+    return np.flatnonzero(clear & (a + b - 1 >= LEAST_DOCUMENTS))
 
 
-def logistic(slots: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n_slots: int) -> tuple[np.ndarray, np.ndarray, float]:
+def logistic(rows: Rows, dense: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Slot weights, dense weights and intercept of a ridge-penalised logistic model on the telling slots.
 
     Accelerated gradient steps; the step follows from the largest eigenvalue of the features' products.
     """
-    chosen = np.flatnonzero(telling(Rows(slots, n_slots), y))
-    place = np.full(n_slots, -1)
-    place[chosen] = np.arange(len(chosen))
-    rows = Rows([q[q >= 0] for q in (place[s] for s in slots)], len(chosen))
-    k, n = len(chosen), max(1, len(y))
+    chosen, weights = telling(rows, y), np.zeros(rows.n_slots)
+    rows = rows.only(chosen)
+    k = len(chosen)
 
     def times(t: np.ndarray) -> np.ndarray:
         return rows.sums(t[:k]) + dense @ t[k:-1] + t[-1]
@@ -111,7 +122,6 @@ def logistic(slots: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n_slots:
     for t in range(STEPS):
         new = ahead - step * (back(probability(times(ahead)) - y) + ridge * ahead)
         ahead, theta = new + t / (t + 3) * (new - theta), new
-    weights = np.zeros(n_slots)
     weights[chosen] = theta[:k]
     return weights, theta[k:-1], float(theta[-1])
 
@@ -120,28 +130,22 @@ def probability(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_chain(slots: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(slots used, slot weights, earlier-category weights, intercepts) of the chain; one column of ``labels`` per category."""
-    seen = np.bincount(np.concatenate([*slots, np.empty(0, np.int64)]).astype(np.int64), minlength=SLOTS)
-    used = np.flatnonzero(seen >= LEAST_DOCUMENTS)
-    place = np.full(SLOTS, -1)
-    place[used] = np.arange(len(used))
-    kept = [p[p >= 0] for p in (place[s] for s in slots)]
-    fold = np.arange(len(kept)) % FOLDS
-    n, m = labels.shape
-    before = np.zeros((n, 0))
-    weights, chain, intercepts = np.zeros((m, len(used))), np.zeros((m, m)), np.zeros(m)
+def fit_chain(rows: Rows, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slot weights, earlier-category weights and intercepts of the chain; one column of ``labels`` per category."""
+    fold = np.arange(rows.n) % FOLDS
+    m = labels.shape[1]
+    before = np.zeros((rows.n, 0))
+    weights, chain, intercepts = np.zeros((m, rows.n_slots)), np.zeros((m, m)), np.zeros(m)
     for c in range(m):
         y = labels[:, c].astype(float)
-        weights[c], chain[c, :c], intercepts[c] = logistic(kept, before, y, len(used))
-        out = np.zeros(n)
+        weights[c], chain[c, :c], intercepts[c] = logistic(rows, before, y)
+        out = np.zeros(rows.n)
         for f in range(FOLDS if c + 1 < m else 0):
             on = fold != f
-            w, d, b = logistic([k for k, o in zip(kept, on, strict=True) if o], before[on], y[on], len(used))
-            part = Rows([k for k, o in zip(kept, on, strict=True) if not o], len(used))
-            out[~on] = probability(part.sums(w) + before[~on] @ d + b)
+            w, d, b = logistic(rows.of(on), before[on], y[on])
+            out[~on] = probability(rows.of(~on).sums(w) + before[~on] @ d + b)
         before = np.column_stack((before, out))
-    return used, weights, chain, intercepts
+    return weights, chain, intercepts
 
 
 MODEL = "used array<int>, weights array<array<double>>, chain array<array<double>>, intercepts array<double>"
@@ -150,9 +154,12 @@ MODEL = "used array<int>, weights array<array<double>>, chain array<array<double
 def _fit_task(categories: tuple[str, ...], shift: float) -> Callable:
     def fit(sample: pa.Table) -> pa.Table:
         sample = sample.sort_by([("h", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-        slots = [np.asarray(s.values) for s in sample.column("slots")]
-        labels = np.column_stack([sample.column(c).to_numpy() for c in categories])
-        used, weights, chain, intercepts = fit_chain(slots, labels)
+        slots, labels = sample.column("slots").chunk(0) if sample.num_rows else pa.array([], pa.list_(pa.int32())), np.column_stack([sample.column(c).to_numpy() for c in categories])
+        flat = slots.flatten().to_numpy()
+        row = np.repeat(np.arange(len(slots), dtype=np.int32), np.diff(slots.offsets.to_numpy()))
+        weights, chain, intercepts = fit_chain(Rows(flat, row, len(slots), SLOTS), labels)
+        used = np.flatnonzero(weights.any(axis=0))
+        weights = weights[:, used]
         intercepts[-1] += shift  # only the last category's values were thinned out
         return pa.table({"used": pa.array([used.astype(np.int32)], pa.list_(pa.int32())), "weights": pa.array([weights.tolist()], pa.list_(pa.list_(pa.float64()))),
                          "chain": pa.array([chain.tolist()], pa.list_(pa.list_(pa.float64()))), "intercepts": pa.array([intercepts.tolist()], pa.list_(pa.float64()))})
