@@ -162,4 +162,5 @@ def near_duplicates_removed(docs: DataFrame, words: int = 5, percent: int = 80,
     found = groups(docs, words, percent, doc_id, text)
     gone = stored(found.filter(~F.equal_null("doc_id", "component_id")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
     same = F.equal_null(docs[doc_id], gone["gone_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == gone["gone_hash"])
-    return docs.join(gone, same, "left_anti")
+    # the list grows with the documents: one plan at every size, never a broadcast
+    return docs.join(gone.hint("merge"), same, "left_anti")
