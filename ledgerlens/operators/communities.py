@@ -87,7 +87,11 @@ def community_risk_score(density: Column, has_cycle: Column, fan_in: Column, fan
         + F.least(chi2 / 20.0, F.lit(1.0)) * 15.0 + F.when(size > 0, fraud / size * 20.0).otherwise(0.0)))
 
 
-def top_accounts(features: DataFrame, k: int = 5) -> DataFrame:
+# A community row names so many accounts.
+TOP_ACCOUNTS = 5
+
+
+def top_accounts(features: DataFrame, k: int = TOP_ACCOUNTS) -> DataFrame:
     w = Window.partitionBy("community_id").orderBy(F.col("pagerank").desc(), "account_id")
     best = features.select("community_id", "account_id", "pagerank").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     return best.groupBy("community_id").agg(
@@ -120,9 +124,9 @@ def community_profiles(edges: DataFrame, features: DataFrame) -> DataFrame:
         r("avg_benford_chi2", "avg_benford_chi2", 4), "top_accounts")
 
 
-def suspicious_paths(edges: DataFrame, members: DataFrame, profiles: DataFrame, *, max_paths: int = 20,
-                     entry_nodes: int = 5, max_hops: int = 8, min_risk: float = 40.0) -> DataFrame:
-    """First ``max_paths`` simple paths of 2..8 hops per risky community.
+def suspicious_paths(edges: DataFrame, members: DataFrame, profiles: DataFrame, *, max_paths: int | None = None,
+                     entry_nodes: int | None = None, max_hops: int = 8, min_risk: float = 40.0) -> DataFrame:
+    """Simple paths of 2..8 hops per risky community; with ``max_paths`` the first so many of each.
 
     Paths are listed entry by entry (highest out-degree first), depth first, in
     id order. Every prefix of two or more hops is itself listed before its
@@ -139,10 +143,12 @@ def suspicious_paths(edges: DataFrame, members: DataFrame, profiles: DataFrame,
 
     out_deg = links.groupBy("community_id", "src").agg(F.count(F.lit(1)).alias("deg"))
     by_deg = Window.partitionBy("community_id").orderBy(F.col("deg").desc(), "src")
-    seeds = out_deg.withColumn("entry", F.row_number().over(by_deg)).where(F.col("entry") <= entry_nodes)
+    seeds = out_deg.withColumn("entry", F.row_number().over(by_deg))
+    if entry_nodes is not None:
+        seeds = seeds.where(F.col("entry") <= entry_nodes)
     step = links.where("src <> dst")
     listed = Window.partitionBy("community_id").orderBy("entry", "path")
-    first = lambda df: df.withColumn("_r", F.row_number().over(listed)).where(F.col("_r") <= max_paths).drop("_r")
+    first = lambda df: df if max_paths is None else df.withColumn("_r", F.row_number().over(listed)).where(F.col("_r") <= max_paths).drop("_r")
 
     paths = seeds.select("community_id", "entry", F.array("src").alias("path"), F.lit(0.0).alias("total_amount"))
     found = []
@@ -173,14 +179,15 @@ def normalised_community_risk(profiles: DataFrame) -> DataFrame:
     return profiles.select("community_id", "risk_score", clip(z * 33.0).alias("normalised_risk"))
 
 
-def list_communities(profiles: DataFrame, min_risk: float = 0.0, limit: int = 50) -> DataFrame:
-    return profiles.where(F.col("risk_score") >= min_risk).orderBy(F.col("risk_score").desc(), "community_id").limit(limit)
+def list_communities(profiles: DataFrame, min_risk: float = 0.0, limit: int | None = None) -> DataFrame:
+    found = profiles.where(F.col("risk_score") >= min_risk).orderBy(F.col("risk_score").desc(), "community_id")
+    return found if limit is None else found.limit(limit)
 
 
 def community(profiles: DataFrame, community_id: int) -> DataFrame:
     return profiles.where(F.col("community_id") == community_id)
 
 
-def paths_of(paths: DataFrame, community_id: int | None = None, limit: int = 50) -> DataFrame:
-    chosen = paths if community_id is None else paths.where(F.col("community_id") == community_id)
-    return chosen.orderBy("path_id").limit(limit)
+def paths_of(paths: DataFrame, community_id: int | None = None, limit: int | None = None) -> DataFrame:
+    chosen = (paths if community_id is None else paths.where(F.col("community_id") == community_id)).orderBy("path_id")
+    return chosen if limit is None else chosen.limit(limit)

@@ -83,13 +83,15 @@ def group_risk(alerts: DataFrame, community: str = "community_id", score: str =
 
 
 def get_alerts(alerts: DataFrame, level: str | None = None, status: str | None = None,
-               limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page of alerts, newest first."""
+               limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Alerts, newest first; with ``limit`` one page."""
     if level:
         alerts = alerts.where(F.col("risk_level") == level)
     if status:
         alerts = alerts.where(F.col("alert_status") == status)
-    return alerts.orderBy(F.col("created_at").desc(), "alert_id").offset(offset).limit(limit)
+    found = alerts.orderBy(F.col("created_at").desc(), "alert_id")
+    found = found.offset(offset) if offset else found
+    return found if limit is None else found.limit(limit)
 
 
 def update_status(alerts: DataFrame, events: DataFrame) -> DataFrame:
@@ -117,10 +119,10 @@ def closed_rate(alerts: DataFrame) -> DataFrame:
     return alerts.agg(F.when(n > 0, closed / n * 100.0).otherwise(0.0).alias("closed_pct"))
 
 
-def risk_trend(alerts: DataFrame, last: int = 60) -> DataFrame:
-    """The latest ``last`` scores."""
-    return (alerts.orderBy(F.col("created_at").desc(), "alert_id").limit(last)
-            .select("alert_id", "created_at", "transaction_risk_score"))
+def risk_trend(alerts: DataFrame, last: int | None = None) -> DataFrame:
+    """Scores, newest first; with ``last`` the latest so many."""
+    found = alerts.orderBy(F.col("created_at").desc(), "alert_id").select("alert_id", "created_at", "transaction_risk_score")
+    return found if last is None else found.limit(last)
 
 
 def pattern_histogram(alerts: DataFrame) -> DataFrame:

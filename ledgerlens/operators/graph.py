@@ -96,11 +96,11 @@ def undirected_pairs(edges: DataFrame) -> DataFrame:
             .where("node <> nb").distinct())
 
 
-def neighbors(edges: DataFrame, account: str, cap: int = 50) -> DataFrame:
-    """Up to ``cap`` successors and ``cap`` predecessors in id order."""
+def neighbors(edges: DataFrame, account: str, cap: int | None = None) -> DataFrame:
+    """Successors and predecessors; with ``cap`` so many of each, in id order."""
     def side(here: str, there: str, label: str) -> DataFrame:
-        return (edges.where(F.col(here) == account).select(F.lit(label).alias("direction"), F.col(there).alias("account_id"))
-                .distinct().orderBy("account_id").limit(cap))
+        found = edges.where(F.col(here) == account).select(F.lit(label).alias("direction"), F.col(there).alias("account_id")).distinct()
+        return found if cap is None else found.orderBy("account_id").limit(cap)
     return side("src", "dst", "successor").unionByName(side("dst", "src", "predecessor"))
 
 
@@ -112,7 +112,7 @@ def two_hop_neighborhood(edges: DataFrame, account: str) -> DataFrame:
     return one.union(two).where(F.col("account_id") != account).distinct()
 
 
-def two_hop_capped(edges: DataFrame, cap: int = 20) -> DataFrame:
+def two_hop_capped(edges: DataFrame, cap: int) -> DataFrame:
     """For every account the ``cap`` smallest ids within two hops.
 
     The smallest ids of a union are among the smallest ids of its parts, so each
@@ -130,14 +130,19 @@ def two_hop_capped(edges: DataFrame, cap: int = 20) -> DataFrame:
         F.sort_array(F.collect_list("nb")).alias("two_hop_neighborhood"))
 
 
-def one_hop_edge_list(edges: DataFrame, cap: int = 30) -> DataFrame:
-    """Per account up to ``cap`` touching edges, outgoing first, in time order."""
+def one_hop_edge_list(edges: DataFrame, cap: int | None = None) -> DataFrame:
+    """Per account its touching edges, outgoing first, in time order; with ``cap`` the first so many.
+
+    Without a cap a hub's list is as long as its history; ask for single accounts then.
+    """
     e = F.struct(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("timestamp").alias("ts"), "amount")
     side = lambda key, d: edges.select(F.col(key).alias("account_id"), F.lit(d).alias("dir"),
                                        "timestamp", "transaction_id", e.alias("e"))
     w = Window.partitionBy("account_id").orderBy("dir", "timestamp", "transaction_id")
     ranked = (side("src", 0).unionByName(side("dst", 1))
-              .withColumn("r", F.row_number().over(w)).where(F.col("r") <= cap))
+              .withColumn("r", F.row_number().over(w)))
+    if cap is not None:
+        ranked = ranked.where(F.col("r") <= cap)
     items = F.sort_array(F.collect_list(F.struct("r", "e")))
     return ranked.groupBy("account_id").agg(F.transform(items, lambda x: x["e"]).alias("two_hop_edge_list"))
 
@@ -232,15 +237,16 @@ def cycle_closure(edges: DataFrame, max_depth: int = 3, earlier: DataFrame | Non
 def as_of_degrees(edges: DataFrame, slot_seconds: int = HOUR, earlier: DataFrame | None = None) -> DataFrame:
     """Degrees of both ends right after each transaction is added.
 
-    ``earlier`` holds the collapsed pairs (src, dst, n_edges) of the past, whose
-    degrees are added and whose pairs are no longer new.
+    ``earlier`` holds edges known from before (same four columns); each counts only for
+    transactions after it, so a row that comes late sees what preceded it and no more.
     """
-    first = edges.groupBy("src", "dst").agg(F.min(_key()).alias("f"))
+    cols = ["transaction_id", "timestamp", "src", "dst"]
+    known = edges.select(*cols)
     if earlier is not None:
-        first = first.join(earlier.select("src", "dst"), ["src", "dst"], "left_anti")
+        known = known.unionByName(earlier.select(*cols).join(known.select("transaction_id"), "transaction_id", "left_anti"))
+    first = known.groupBy("src", "dst").agg(F.min(_key()).alias("f"))
     first = first.select(F.col("f.transaction_id").alias("transaction_id"), F.lit(1).alias("fresh"))
-    seen = (edges.select("transaction_id", "timestamp", "src", "dst").join(first, "transaction_id", "left")
-            .withColumn("fresh", F.coalesce("fresh", F.lit(0))))
+    seen = known.join(first, "transaction_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(0)))
     role = lambda key, r: F.struct(F.col(key).alias("account_id"), F.lit(r).alias("role"))
     rows = seen.select("transaction_id", "timestamp", "fresh", (F.col("src") == F.col("dst")).cast("int").alias("loop"),
                        F.explode(F.array(role("src", 0), role("dst", 1))).alias("x")).select("*", "x.*").drop("x")
@@ -250,12 +256,7 @@ def as_of_degrees(edges: DataFrame, slot_seconds: int = HOUR, earlier: DataFrame
                   {"i": ("sum", is_in), "o": ("sum", is_out),
                    "iu": ("sum", is_in * F.col("fresh")), "ou": ("sum", is_out * F.col("fresh"))}, store=True)
     if earlier is not None:
-        side = lambda key, i, o: earlier.select(F.col(key).alias("account_id"), (F.col("n_edges") * i).alias("pi"),
-                                                (F.col("n_edges") * o).alias("po"), F.lit(i).alias("piu"), F.lit(o).alias("pou"))
-        past = side("dst", 1, 0).unionByName(side("src", 0, 1)).groupBy("account_id").agg(
-            *[F.sum(c).alias(c) for c in ("pi", "po", "piu", "pou")])
-        plus = lambda c: F.col(c) + F.coalesce(F.col(f"p{c}"), F.lit(0))
-        run = run.join(past, "account_id", "left").withColumns({c: plus(c) for c in ("i", "o", "iu", "ou")})
+        run = run.join(edges.select("transaction_id"), "transaction_id", "left_semi")
     s = lambda v: F.max(F.when(F.col("role") == 0, v))
     r = lambda v: F.max(F.when(F.col("role") == 1, v))
     loop, fresh = F.col("loop"), F.col("fresh")
@@ -344,7 +345,7 @@ def shortest_path_nodes(edges: DataFrame, start: str, goal: str, max_hops: int |
     return 0
 
 
-def ego_nodes(edges: DataFrame, account: str, hops: int = 2, cap: int | None = 500) -> DataFrame:
+def ego_nodes(edges: DataFrame, account: str, hops: int = 2, cap: int | None = None) -> DataFrame:
     """Accounts within ``hops`` (1 or 2) of the centre with their full degrees."""
     if hops not in (1, 2):
         raise ValueError("hops must be 1 or 2")
@@ -357,7 +358,7 @@ def ego_nodes(edges: DataFrame, account: str, hops: int = 2, cap: int | None = 5
     return out if cap is None else out.orderBy(F.col("is_center").desc(), "account_id").limit(cap)
 
 
-def ego_edges(edges: DataFrame, account: str, hops: int = 2, cap: int | None = 2000,
+def ego_edges(edges: DataFrame, account: str, hops: int = 2, cap: int | None = None,
               multiplicity: bool = False) -> DataFrame:
     """Collapsed edges inside the ego set; weight 1, or the number of parallel edges."""
     ids = ego_nodes(edges, account, hops, cap=None).select("account_id")

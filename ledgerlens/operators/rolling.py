@@ -38,6 +38,11 @@ class FeatureConfig:
     # busy senders are broadcast only below this many; beyond it Spark joins by shuffle
     broadcast_limit: int = 100_000
 
+    def __post_init__(self) -> None:
+        # ordinary senders' ties must fit into the spread of the composite key
+        if not 0 <= self.busy_rows <= _SPREAD // 2 - 1:
+            raise ValueError(f"busy_rows must be 0 to {_SPREAD // 2 - 1}")
+
 
 def with_defaults(txn: DataFrame) -> DataFrame:
     """Fill the optional event columns the features read."""

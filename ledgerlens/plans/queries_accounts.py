@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 from ledgerlens import schemas
 from ledgerlens.functions import scalars as S
 from ledgerlens.operators import ingest, profiles, rules
-from ledgerlens.operators.rolling import feature_vector, rolling_features, rolling_features_after
+from ledgerlens.operators.rolling import FeatureConfig, feature_vector, rolling_features, rolling_features_after
 from ledgerlens.plans import views
 from ledgerlens.plans.registry import CTES, register, with_ctes
+from ledgerlens.session import shared_dir
+from ledgerlens.sources.readers import read_transactions
+from ledgerlens.sources.sinks import write_table
 
 START = datetime(2024, 1, 1)
 
@@ -26,7 +30,9 @@ _US = "(epoch_us({a}) - epoch_us({b}))"
 SELECT transaction_id, epoch_us(timestamp) AS timestamp, sender_account, receiver_account, round(amount, 4) AS amount,
        transaction_type, payment_channel, transaction_status, kyc_level FROM txn"""))
 def _read(spark, d):
-    return views.txn(spark, d).select("transaction_id", "timestamp", "sender_account", "receiver_account", "amount",
+    path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    write_table(views.txn(spark, d), path)
+    return read_transactions(spark, path).select("transaction_id", "timestamp", "sender_account", "receiver_account", "amount",
                                       "transaction_type", "payment_channel", "transaction_status", "kyc_level")
 
 
@@ -271,15 +277,36 @@ def _rules(spark, d):
     return rules.evaluate_rules(rolling_features(views.txn(spark, d))).select("transaction_id", "rule_score", "triggered_rules", "rule_count")
 
 
+_BURSTS = {"txn": views.BURSTS_SQL}
+
+
+@register("rolling_features_busy", with_ctes(FEAT, f"SELECT transaction_id, {_ROUNDED} FROM feat", _BURSTS), nudge=True)
+def _features_busy(spark, d):
+    """Senders with over a thousand rows a month, so that the running plan is used."""
+    return rolling_features(views.bursts(spark, d)).select("transaction_id", *schemas.FEATURES)
+
+
+@register("rolling_features_one_plan", with_ctes(FEAT, f"SELECT transaction_id, {_ROUNDED} FROM feat"), nudge=True)
+def _features_one_plan(spark, d):
+    """The same rows as ``rolling_features``, all by the running plan."""
+    return rolling_features(views.txn(spark, d), FeatureConfig(busy_rows=1)).select("transaction_id", *schemas.FEATURES)
+
+
+@register("rules_busy", with_ctes(FEAT, rules_sql("feat", False), _BURSTS))
+def _rules_busy(spark, d):
+    """Bursts, dispersion and dormant accounts: R02, R03, R04 and R09 fire here."""
+    return rules.evaluate_rules(rolling_features(views.bursts(spark, d))).select("transaction_id", "rule_score", "triggered_rules", "rule_count")
+
+
 @register("riskiest_accounts", with_ctes(FEAT, f"""
 SELECT sender_account, round(max(rule_score), 4) AS top_score, sum(rule_count)::BIGINT AS fired, count(*) AS n FROM ({rules_sql('feat', False, 'sender_account')})
-GROUP BY sender_account ORDER BY fired DESC, sender_account LIMIT 20"""))
+GROUP BY sender_account"""))
 def riskiest_accounts(spark, d):
-    """Which accounts fire most rules (top 20)."""
+    """Which accounts fire most rules, in that order."""
     scored = rules.evaluate_rules(rolling_features(views.txn(spark, d)))
     return scored.groupBy("sender_account").agg(
         F.max("rule_score").alias("top_score"), F.sum(F.col("rule_count").cast("bigint")).alias("fired"), F.count(F.lit(1)).alias("n")
-    ).orderBy(F.col("fired").desc(), "sender_account").limit(20)
+    ).orderBy(F.col("fired").desc(), "sender_account")
 
 
 # ---------------------------------------------------------------- profiles and samples

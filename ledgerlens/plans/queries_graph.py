@@ -89,8 +89,8 @@ def _stats(spark, d):
     return G.graph_stats(edges(spark, d))
 
 
-@register("neighbors", with_ctes(E + ["busiest"], """SELECT * FROM (SELECT DISTINCT 'successor' AS direction, dst AS account_id FROM edges WHERE src = (SELECT a FROM busiest) ORDER BY 2 LIMIT 50)
-UNION ALL SELECT * FROM (SELECT DISTINCT 'predecessor', src FROM edges WHERE dst = (SELECT a FROM busiest) ORDER BY 2 LIMIT 50)"""))
+@register("neighbors", with_ctes(E + ["busiest"], """SELECT * FROM (SELECT DISTINCT 'successor' AS direction, dst AS account_id FROM edges WHERE src = (SELECT a FROM busiest))
+UNION ALL SELECT * FROM (SELECT DISTINCT 'predecessor', src FROM edges WHERE dst = (SELECT a FROM busiest))"""))
 def _neighbors(spark, d):
     e = edges(spark, d)
     return G.neighbors(e, busiest(e))
@@ -108,11 +108,11 @@ def _two_hop(spark, d):
 @register("two_hop_capped", with_ctes(E + ["und"], """SELECT node AS account_id, string_agg(nb, '|' ORDER BY nb) AS two_hop_neighborhood FROM (SELECT node, nb, row_number() OVER (PARTITION BY node ORDER BY nb) AS r FROM (
  SELECT node, nb FROM und UNION SELECT a.node, b.nb FROM und a JOIN und b ON a.nb = b.node WHERE a.node <> b.nb)) WHERE r <= 20 GROUP BY node"""))
 def _two_hop_capped(spark, d):
-    return G.two_hop_capped(edges(spark, d))
+    return G.two_hop_capped(edges(spark, d), cap=20)
 
 
 @register("one_hop_edge_list", with_ctes(E, """SELECT account_id, count(*) AS n, round(sum(amount), 2) AS total, min(r_src) AS first_src FROM (SELECT *, first_value(src) OVER (PARTITION BY account_id ORDER BY r) AS r_src FROM (
- SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY k, timestamp, transaction_id) AS r FROM (SELECT src AS account_id, 0 AS k, * FROM edges UNION ALL SELECT dst, 1, * FROM edges)) WHERE r <= 30) GROUP BY account_id"""), total=2)
+ SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY k, timestamp, transaction_id) AS r FROM (SELECT src AS account_id, 0 AS k, * FROM edges UNION ALL SELECT dst, 1, * FROM edges))) GROUP BY account_id"""), total=2)
 def _edge_list(spark, d):
     e = G.one_hop_edge_list(edges(spark, d))
     return e.select("account_id", F.size("two_hop_edge_list").cast("bigint").alias("n"),
@@ -125,13 +125,13 @@ def _two_hop_edges(spark, d):
     return G.two_hop_edges(e, busiest(e)).select("src", "dst", "transaction_id")
 
 
-@register("ego_nodes", with_ctes(E + ["busiest", "und", "deg"], f"SELECT account_id, in_degree, out_degree, account_id = (SELECT a FROM busiest) AS is_center FROM deg WHERE account_id IN ({_TWO}) OR account_id = (SELECT a FROM busiest) ORDER BY 4 DESC, 1 LIMIT 500"))
+@register("ego_nodes", with_ctes(E + ["busiest", "und", "deg"], f"SELECT account_id, in_degree, out_degree, account_id = (SELECT a FROM busiest) AS is_center FROM deg WHERE account_id IN ({_TWO}) OR account_id = (SELECT a FROM busiest)"))
 def _ego_nodes(spark, d):
     e = edges(spark, d)
     return G.ego_nodes(e, busiest(e))
 
 
-@register("ego_edges", with_ctes(E + ["busiest", "und"], f", ids AS ({_TWO} UNION SELECT a FROM busiest) SELECT DISTINCT src AS source, dst AS target, 1::BIGINT AS weight FROM edges WHERE src IN (SELECT account_id FROM ids) AND dst IN (SELECT account_id FROM ids) ORDER BY 1, 2 LIMIT 2000"))
+@register("ego_edges", with_ctes(E + ["busiest", "und"], f", ids AS ({_TWO} UNION SELECT a FROM busiest) SELECT DISTINCT src AS source, dst AS target, 1::BIGINT AS weight FROM edges WHERE src IN (SELECT account_id FROM ids) AND dst IN (SELECT account_id FROM ids)"))
 def _ego_edges(spark, d):
     e = edges(spark, d)
     return G.ego_edges(e, busiest(e))
@@ -401,16 +401,16 @@ def _normalised(spark, d):
     return C.normalised_community_risk(_profiles(spark, d)[2])
 
 
-@register("list_communities", with_ctes(PROF, "SELECT c AS community_id, round(risk, 2) AS risk_score, pattern AS dominant_pattern FROM risk WHERE round(risk, 2) >= 40 ORDER BY 2 DESC, 1 LIMIT 25", PAY), risk_score=2)
+@register("list_communities", with_ctes(PROF, "SELECT c AS community_id, round(risk, 2) AS risk_score, pattern AS dominant_pattern FROM risk WHERE round(risk, 2) >= 40", PAY), risk_score=2)
 def _list(spark, d):
-    return C.list_communities(_profiles(spark, d)[2], 40.0, 25).select("community_id", "risk_score", "dominant_pattern")
+    return C.list_communities(_profiles(spark, d)[2], 40.0).select("community_id", "risk_score", "dominant_pattern")
 
 
 @register("suspicious_paths")
 def _paths(spark, d):
     """Path enumeration in SQL is too slow on whole tables; tested by brute force."""
     e, gf, profiles = _profiles(spark, d)
-    return C.suspicious_paths(e, gf, profiles)
+    return C.suspicious_paths(e, gf, profiles, max_paths=20, entry_nodes=5)
 
 
 @register("paths_of_riskiest_community")
@@ -418,5 +418,5 @@ def _paths_of(spark, d):
     e, gf, profiles = _profiles(spark, d)
     profiles = cut_lineage(profiles)
     top = C.list_communities(profiles, 40.0, 1).first()
-    found = C.suspicious_paths(e, gf, profiles)
+    found = C.suspicious_paths(e, gf, profiles, max_paths=20, entry_nodes=5)
     return C.paths_of(found, top["community_id"] if top else None)

@@ -238,9 +238,9 @@ def _group(spark, d):
     return fusion.group_risk(alerted(spark, d)).select("alert_id", "group_risk_score", "risk_level_group")
 
 
-@register("get_alerts", with_ctes(ALERTED, "SELECT alert_id, score AS transaction_risk_score FROM alerted WHERE level = 'Critical' AND status = 'Open' ORDER BY timestamp DESC, alert_id LIMIT 50 OFFSET 50"), transaction_risk_score=2)
+@register("get_alerts", with_ctes(ALERTED, "SELECT alert_id, score AS transaction_risk_score FROM alerted WHERE level = 'Critical' AND status = 'Open'"), transaction_risk_score=2)
 def _get(spark, d):
-    return fusion.get_alerts(alerted(spark, d), "Critical", "Open", 50, 50).select("alert_id", "transaction_risk_score")
+    return fusion.get_alerts(alerted(spark, d), "Critical", "Open").select("alert_id", "transaction_risk_score")
 
 
 @register("update_status", with_ctes(ALERTED, """SELECT alert_id, CASE WHEN CAST(substr(transaction_id, 2) AS BIGINT) % 2 = 0 THEN 'SAR_Filed' ELSE status END AS alert_status,
@@ -276,7 +276,7 @@ def _closed(spark, d):
     return fusion.closed_rate(alerted(spark, d))
 
 
-@register("risk_trend", with_ctes(ALERTED, "SELECT alert_id, epoch_us(timestamp) AS created_at, score AS transaction_risk_score FROM alerted ORDER BY timestamp DESC, alert_id LIMIT 60"), transaction_risk_score=2)
+@register("risk_trend", with_ctes(ALERTED, "SELECT alert_id, epoch_us(timestamp) AS created_at, score AS transaction_risk_score FROM alerted"), transaction_risk_score=2)
 def _trend(spark, d):
     return fusion.risk_trend(alerted(spark, d))
 

@@ -33,15 +33,21 @@ def model_rows(matrix: DataFrame, scaler: profiles.Scaler) -> DataFrame:
     return scaled.withColumn("features", F.array(*profiles.MODEL_COLUMNS))
 
 
-def fit_artefacts(history: DataFrame, cfg: FeatureConfig = FeatureConfig(), *, sample_rows: int = 20_000, trees: int = 200,
+def fit_artefacts(history: DataFrame, cfg: FeatureConfig = FeatureConfig(), *, sample_rows: int | None = None, trees: int = 200,
                   dim: int = 64, als_iterations: int = 10) -> Artefacts:
-    """Offline pass over the history: graph tables, detectors and account vectors."""
+    """Offline pass over the history: graph tables, detectors and account vectors.
+
+    Scaler, projection and percentiles are fitted on all normal rows, or with ``sample_rows`` on so many of
+    them, drawn by hash; the forest's trees draw their own small samples in either case.
+    """
     edges = graph.build_edges(history)
     gf = cut_lineage(graph_features(edges))
     prof = cut_lineage(communities.community_profiles(edges, gf))
     # rows are drawn before their features are computed: only their senders are replayed
     normal = history.where(~F.coalesce("is_fraud", F.lit(False))) if "is_fraud" in history.columns else history
-    drawn = cut_lineage(profiles.sample_transactions(normal.select("transaction_id"), sample_rows))
+    drawn = normal.select("transaction_id")
+    if sample_rows is not None:
+        drawn = cut_lineage(profiles.sample_transactions(drawn, sample_rows))
     matrix = cut_lineage(profiles.finite_rows(
         profiles.training_matrix(rolling_features(history, cfg, only=drawn), gf), profiles.MODEL_COLUMNS))
     scaler = profiles.fit_scaler(matrix, profiles.MODEL_COLUMNS)

@@ -12,7 +12,16 @@ from pyspark.sql import functions as F
 from ledgerlens.session import use_utc
 
 _V = "VARCHAR(20)"
-_RECEIVER = "((user_id * 17 + (event_id % 11) * 13 + 1) % 97)"
+# Receivers grow with the senders: groups of 97, joined by every eleventh payment.
+_RECEIVER = ("((user_id * 17 + (event_id % 11) * 13 + 1) % 97"
+             " + CASE WHEN event_id % 11 = 0 THEN 0 ELSE user_id - user_id % 97 END)")
+COUNTRIES = ["NL", "AE", "BR", "CH", "KE", "MU", "FI", "PK", "CA", "AT"]
+
+
+def _country(number: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{code}'" for i, code in enumerate(COUNTRIES))
+    return f"CASE CAST({number} % {len(COUNTRIES)} AS INT) {cases} END"
+
 
 TXN_SQL = f"""
 SELECT concat('T', lpad(CAST(event_id AS {_V}), 10, '0')) AS transaction_id,
@@ -21,8 +30,8 @@ SELECT concat('T', lpad(CAST(event_id AS {_V}), 10, '0')) AS transaction_id,
        concat('A', lpad(CAST({_RECEIVER} AS {_V}), 6, '0')) AS receiver_account,
        concat('B', CAST(user_id % 8 AS {_V})) AS sender_bank,
        concat('B', CAST({_RECEIVER} % 8 AS {_V})) AS receiver_bank,
-       substr('INUSAESGGBCNMUNGPKCH', CAST(1 + 2 * (user_id % 10) AS INT), 2) AS sender_country,
-       substr('INUSAESGGBCNMUNGPKCH', CAST(1 + 2 * ({_RECEIVER} % 10) AS INT), 2) AS receiver_country,
+       {_country("user_id")} AS sender_country,
+       {_country(_RECEIVER)} AS receiver_country,
        CASE WHEN event_id % 9 = 0 THEN ceil(value / 5.0) * 100000.0 ELSE round(value * 20000.0, 2) END AS amount,
        CASE event_type WHEN 'click' THEN 'NEFT' WHEN 'view' THEN 'UPI' WHEN 'error' THEN 'Wire' ELSE 'IMPS' END
            AS transaction_type,
@@ -54,6 +63,31 @@ SELECT concat('O', lpad(CAST(o_orderkey AS {_V}), 10, '0')) AS transaction_id,
 FROM orders
 """
 
+# Busy senders of 1,200 orders each: three payments at a time, fifteen an hour over some days, to forty
+# receivers, many just below the reporting threshold; then 200 days of silence, then hourly ones.
+_TURN = "(o_orderkey % 1200)"
+BURSTS_SQL = f"""
+SELECT concat('O', lpad(CAST(o_orderkey AS {_V}), 10, '0')) AS transaction_id,
+       TIMESTAMP '2023-01-01 00:00:00' + CAST(CASE WHEN {_TURN} < 1100 THEN ({_TURN} - {_TURN} % 3) * 240
+            ELSE 17280000 + {_TURN} * 3600 END AS INT) * INTERVAL '1' SECOND AS timestamp,
+       concat('L', lpad(CAST(o_orderkey - {_TURN} AS {_V}), 10, '0')) AS sender_account,
+       concat('P', CAST(o_custkey % 40 AS {_V})) AS receiver_account,
+       concat('B', CAST(o_orderkey % 8 AS {_V})) AS sender_bank,
+       concat('B', CAST(o_custkey % 8 AS {_V})) AS receiver_bank,
+       {_country("(o_orderkey - o_orderkey % 1200)")} AS sender_country,
+       {_country("o_custkey")} AS receiver_country,
+       CASE WHEN o_orderkey % 5 = 0 THEN 900000.0 + o_custkey ELSE round(CAST(o_totalprice AS DOUBLE) * 3.0, 2) END AS amount,
+       CASE o_orderkey % 3 WHEN 0 THEN 'NEFT' WHEN 1 THEN 'UPI' ELSE 'Wire' END AS transaction_type,
+       CASE o_orderkey % 2 WHEN 0 THEN 'Mobile' ELSE 'Branch' END AS payment_channel,
+       concat('D', CAST(o_custkey % 25 AS {_V})) AS device_id,
+       concat('10.0.1.', CAST(o_custkey % 9 AS {_V})) AS ip_address,
+       CAST(10.0 + (o_custkey % 6) * 8.0 AS DOUBLE) AS geo_latitude,
+       CAST(5.0 + (o_custkey % 6) * 11.0 AS DOUBLE) AS geo_longitude,
+       CASE WHEN o_orderkey % 11 = 0 THEN 'Failed' ELSE 'Success' END AS transaction_status,
+       CAST(o_orderkey % 4 AS INT) AS kyc_level
+FROM orders
+"""
+
 TRUTH_SQL = f"""
 SELECT transaction_id,
        concat('RING_', CAST(event_id % 13 AS {_V})) AS fraud_ring_id,
@@ -90,6 +124,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = _project(table(spark, sf_dir, "orders"), BURSTS_SQL, "orders")
+    return view.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withColumn("amount", F.col("amount").cast("double"))
+
+
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = _project(table(spark, sf_dir, "events"), TXN_SQL, "events")
     return view.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withColumn(

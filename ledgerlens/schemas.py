@@ -11,6 +11,7 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
 
+# Fixed values, as are the layouts below: the field names that feeds and stored tables use.
 TXN = _struct(
     ("transaction_id", _S), ("timestamp", T.TimestampType()),
     ("sender_account", _S), ("receiver_account", _S),
@@ -80,6 +81,7 @@ FEATURES = [
     "day_of_month", "success_rate_7d", "max_amount_7d", "min_amount_7d",
     "amount_to_max_ratio",
 ]
+# The graph columns a model row takes besides.
 GRAPH_FEATURES = [
     "pagerank", "betweenness", "fan_in_score", "fan_out_score",
     "community_density", "benford_chi2_community", "volume_asymmetry",

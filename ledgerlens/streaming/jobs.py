@@ -17,14 +17,14 @@ from ledgerlens.operators import fusion, graph
 from ledgerlens.operators.rolling import FeatureConfig, rolling_features, with_defaults
 from ledgerlens.plans.scoring import Artefacts, score_rows
 from ledgerlens.session import cut_lineage
-from ledgerlens.streaming.state import BatchTable, fold_max, fold_pairs, retained
+from ledgerlens.streaming.state import BatchTable, fold_pairs, record_scores, retained
 
 _HISTORY = ("transaction_id string, timestamp timestamp, amount double, sender_account string, receiver_account string, "
             "device_id string, ip_address string, sender_country string, receiver_country string, sender_bank string, "
             "receiver_bank string, transaction_type string, payment_channel string, transaction_status string, "
             "geo_latitude double, geo_longitude double, kyc_level int, sender_balance_before double, is_international boolean")
-_PAIRS = "src string, dst string, n_edges long, timestamp timestamp, transaction_id string"
-_MAX = "community_id long, top_score double"
+_PAIRS = "src string, dst string, timestamp timestamp, transaction_id string"
+_PEAKS = "community_id long, timestamp timestamp, transaction_id string, transaction_risk_score double"
 _MARK = "newest timestamp"
 
 
@@ -38,6 +38,9 @@ class StreamingScorer:
 
     Outputs are batch folders as well: ``features``, ``vectors``, ``scored``,
     ``alerts`` and ``late``. Other jobs follow the results by streaming from them.
+
+    A row older than the newest time of earlier batches (less ``lateness``) is listed in ``late`` as well;
+    it is scored like any other, as of its own time, from what is known of the time before it.
     """
     spark: SparkSession
     root: str
@@ -48,8 +51,8 @@ class StreamingScorer:
 
     def __post_init__(self) -> None:
         table = lambda name, ddl: BatchTable(self.spark, f"{self.root}/state/{name}", _schema(ddl))
-        self.history, self.pairs = table("history", _HISTORY), table("pairs", _PAIRS)
-        self.peaks, self.marks = table("peaks", _MAX), table("marks", _MARK)
+        self.history, self.pairs, self.edges = table("history", _HISTORY), table("pairs", _PAIRS), table("edges", _PAIRS)
+        self.peaks, self.marks = table("peaks", _PEAKS), table("marks", _MARK)
 
     def output(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -64,16 +67,16 @@ class StreamingScorer:
     def _remember(self, rows: DataFrame, batch_id: int) -> None:
         edges = graph.build_edges(rows)
         self.history.write(rows, batch_id)
-        self.pairs.write(fold_pairs(edges.withColumn("n_edges", F.lit(1).cast("long"))), batch_id)
+        self.edges.write(edges, batch_id)
+        self.pairs.write(fold_pairs(edges), batch_id)
         self.marks.write(rows.agg(F.max("timestamp").alias("newest")), batch_id)
 
-    def _split_late(self, rows: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    def _late(self, rows: DataFrame, batch_id: int) -> DataFrame:
         """Rows older than the newest time seen before, less the allowed lateness."""
         newest = self.marks.before(batch_id).agg(F.max("newest")).first()[0]
         if newest is None:
-            return rows, rows.limit(0)
-        late = F.col("timestamp") < F.lit(newest) - F.expr(f"INTERVAL {self.lateness}")
-        return rows.where(~late), rows.where(late)
+            return rows.limit(0)
+        return rows.where(F.col("timestamp") < F.lit(newest) - F.expr(f"INTERVAL {self.lateness}"))
 
     def features(self, rows: DataFrame, batch_id: int) -> DataFrame:
         """Rolling features of the new rows from the state of their senders and devices.
@@ -93,12 +96,13 @@ class StreamingScorer:
         return rolling_features(both, self.cfg, only=rows)
 
     def graph_vectors(self, rows: DataFrame, batch_id: int) -> DataFrame:
-        """Degrees and cycles of the new edges from the collapsed pairs of the past."""
+        """Degrees of the new edges from the dated edges of their ends, cycles from the earliest edge of each pair."""
         edges = graph.build_edges(rows)
         past = cut_lineage(fold_pairs(self.pairs.before(batch_id)))
         ends = edges.select(F.col("src").alias("a")).union(edges.select(F.col("dst").alias("a"))).distinct()
         at = lambda df, key, ids: df.join(ids, F.col(key) == F.col("a"), "left_semi")
-        near = at(past, "src", ends).union(at(past, "dst", ends)).distinct()
+        log = self.edges.before(batch_id)
+        near = at(log, "src", ends).union(at(log, "dst", ends)).distinct()
         # a return path of up to three edges starts at a receiver, ends at a sender,
         # and its middle edge joins the two neighbourhoods
         firsts = at(past, "src", edges.select(F.col("dst").alias("a")).distinct())
@@ -107,26 +111,25 @@ class StreamingScorer:
         heads = firsts.select(F.col("dst").alias("a")).union(edges.select(F.col("dst").alias("a"))).distinct()
         tails = lasts.select(F.col("src").alias("a")).union(edges.select(F.col("src").alias("a"))).distinct()
         middle = at(at(past, "src", heads), "dst", tails)
-        around = firsts.union(lasts).union(middle).union(near).distinct()
+        around = firsts.union(lasts).union(middle).union(at(past, "src", ends)).union(at(past, "dst", ends)).distinct()
         art = self.artefacts
         return graph.look_up_graph(
             edges, graph.as_of_degrees(edges, self.cfg.slot_seconds, near), graph.cycle_closure(edges, earlier=around),
             art.graph_features if art else None, art.community_risk if art else None)
 
     def _alerts(self, scored: DataFrame, batch_id: int) -> DataFrame:
-        """Alerts with the running community maximum carried across batches."""
-        alerts = fusion.group_risk(fusion.create_alerts(scored))
-        past = fold_max(self.peaks.before(batch_id))
-        best = F.greatest("group_risk_score", "top_score")
-        return (alerts.join(past, "community_id", "left").withColumn("group_risk_score", best).drop("top_score")
-                .withColumn("risk_level_group", fusion.risk_level(F.col("group_risk_score"))))
+        """Alerts with the running community maximum, over the alerts of earlier batches that precede each one."""
+        new = cut_lineage(fusion.create_alerts(scored))
+        past = self.peaks.before(batch_id).join(new.select("community_id").distinct(), "community_id", "left_semi")
+        every = fusion.group_risk(new.unionByName(past, allowMissingColumns=True))
+        return every.join(new.select("transaction_id"), "transaction_id", "left_semi")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch: dedupe, set late rows aside, score, emit, remember."""
+        """One micro-batch: dedupe, list late rows, score all, emit, remember."""
         unique = with_defaults(batch).dropDuplicates(["transaction_id"])
         fresh = unique.join(self.history.before(batch_id).select("transaction_id"), "transaction_id", "left_anti")
-        rows, late = self._split_late(cut_lineage(fresh), batch_id)
-        self._emit(late, "late", batch_id)
+        rows = cut_lineage(fresh)
+        self._emit(self._late(rows, batch_id), "late", batch_id)
         feats = cut_lineage(self.features(rows, batch_id))
         vectors = cut_lineage(self.graph_vectors(rows, batch_id))
         self._emit(feats, "features", batch_id)
@@ -136,12 +139,13 @@ class StreamingScorer:
             self._emit(scored, "scored", batch_id)
             alerts = cut_lineage(self._alerts(scored, batch_id))
             self._emit(alerts, "alerts", batch_id)
-            self.peaks.write(alerts.groupBy("community_id").agg(F.max("transaction_risk_score").alias("top_score")), batch_id)
+            self.peaks.write(alerts, batch_id)
         self._remember(rows, batch_id)
         if self.compact_every and batch_id % self.compact_every == self.compact_every - 1:
             self.history.compact(batch_id, retained)
             self.pairs.compact(batch_id, fold_pairs)
-            self.peaks.compact(batch_id, fold_max)
+            self.peaks.compact(batch_id, record_scores)
+            self.marks.compact(batch_id, lambda marks: marks.agg(F.max("newest").alias("newest")))
 
     def start(self, stream: DataFrame, *, available_now: bool = False, every: str = "5 seconds") -> StreamingQuery:
         writer = (stream.writeStream.foreachBatch(self.process)

@@ -204,7 +204,7 @@ def test_suspicious_paths_equal_dfs(spark):
     e = edge_frame(spark, dense + thin + short)
     m = GF.communities(e)
     p = m.groupBy("community_id").agg(F.count(F.lit(1)).alias("size")).withColumns({"risk_score": F.lit(50.0), "dominant_pattern": F.lit("mixed")})
-    rows = C.suspicious_paths(e, m, p).collect()
+    rows = C.suspicious_paths(e, m, p, max_paths=20, entry_nodes=5).collect()
     members = defaultdict(set)
     for a, c in asdict(m, "account_id", "community_id").items():
         members[c].add(a)

@@ -34,7 +34,7 @@ def check(got, want):
             assert r[f] == pytest.approx(want[r["transaction_id"]][f], rel=1e-6, abs=1e-6), (r["transaction_id"], f)
 
 
-@pytest.mark.parametrize("busy_rows", [10**9, 0, 60], ids=["frames", "scans", "mixed"])
+@pytest.mark.parametrize("busy_rows", [1000, 0, 60], ids=["frames", "scans", "mixed"])
 def test_both_plans_equal_the_replay(spark, busy_rows):
     rows = mixed_rows()
     cfg = FeatureConfig(busy_rows=busy_rows)
@@ -50,7 +50,7 @@ def test_shuffled_senders_beyond_the_broadcast_limit(spark):
 def test_last_200_amounts(spark):
     rows = [tx(i, i * 60, amount=(i * 37) % 900 + 1) for i in range(450)]
     want = replay(rows)
-    for busy in (10**9, 0):
+    for busy in (1000, 0):
         got = rolling_features(frame(spark, rows), FeatureConfig(busy_rows=busy)).select("transaction_id", "benford_chi2_score").collect()
         for r in got:
             assert r["benford_chi2_score"] == pytest.approx(want[r["transaction_id"]]["benford_chi2_score"], rel=1e-9)

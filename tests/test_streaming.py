@@ -70,7 +70,17 @@ def test_late_and_repeated_rows(spark, tmp_path):
     job.warm_start(frame(spark, [tx(0, 0), tx(1, 3600)]))
     job.process(frame(spark, [tx(1, 3600), tx(2, 100), tx(3, 3300), tx(4, 4000), tx(4, 4000)]), 0)
     assert {r["transaction_id"] for r in job.results("late").collect()} == {"T00002"}
-    assert {r["transaction_id"]: r["tx_velocity_6h"] for r in job.results("features").collect()} == {"T00003": 1, "T00004": 3}
+    assert {r["transaction_id"]: r["tx_velocity_6h"] for r in job.results("features").collect()} == {"T00002": 1, "T00003": 2, "T00004": 4}
+
+
+def test_late_rows_see_only_what_precedes_them(spark, tmp_path):
+    job = StreamingScorer(spark, str(tmp_path / "d"))
+    edge = lambda i, s, a, b: tx(i, s, sender_account=a, receiver_account=b)
+    job.process(frame(spark, [edge(0, 0, "a", "b"), edge(1, 3600, "a", "c"), edge(2, 7200, "c", "a")]), 0)
+    job.process(frame(spark, [edge(3, 1800, "a", "d"), edge(4, 9000, "a", "b")]), 1)
+    got = {r["transaction_id"]: r for r in job.results("vectors").collect()}
+    assert (got["T00003"]["sender_out_degree"], got["T00003"]["sender_in_degree"], got["T00003"]["cycle_length"]) == (2, 0, 0)
+    assert (got["T00004"]["sender_out_degree"], got["T00004"]["sender_in_degree"], got["T00004"]["sender_out_degree_unique"]) == (4, 1, 3)
 
 
 def test_retention_keeps_what_features_need(spark):
