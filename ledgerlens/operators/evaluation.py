@@ -43,8 +43,9 @@ def eval_frame(truth: DataFrame, alerts: DataFrame, scored: DataFrame | None = N
     missing or 0; other rows prefer the stored score over the alert.
     """
     have = set(alerts.columns)
-    t = truth.dropDuplicates(["transaction_id"]).select(
-        "transaction_id", "fraud_ring_id", "synthetic_pattern_type", "scenario_severity", F.lit(1).alias("_t"))
+    # of repeated labels of one transaction the first in column order counts
+    facts = F.struct("fraud_ring_id", "synthetic_pattern_type", "scenario_severity")
+    t = truth.groupBy("transaction_id").agg(F.min(facts).alias("f")).select("transaction_id", "f.*", F.lit(1).alias("_t"))
     if "is_alerted" in have:
         alerts = alerts.where(F.col("is_alerted") == 1)
     score = F.col("transaction_risk_score") if "transaction_risk_score" in have else F.lit(50.0)

@@ -341,7 +341,7 @@ def shortest_path_nodes(edges: DataFrame, start: str, goal: str, max_hops: int |
             return 0
         if state["hit"]:
             return hops + 1
-        seen = cut_lineage(seen.union(frontier))
+        seen = seen.union(frontier)  # stored frontiers; nothing is written twice
     return 0
 
 

@@ -67,8 +67,9 @@ def betweenness(edges: DataFrame, pivots: int = 100, seed: int = 42) -> DataFram
     frontier = cut_lineage(chosen.select(F.col("account_id").alias("pivot"), F.col("account_id").alias("node"),
                                          F.lit(1.0).alias("sigma")))
     levels = [frontier]
-    seen = frontier.select("pivot", "node")
     while True:
+        # the levels are stored already: what has been met is their union
+        seen = reduce(DataFrame.union, [level.select("pivot", "node") for level in levels])
         step = (frontier.join(links, F.col("node") == F.col("src"))
                 .groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
                 .join(seen, ["pivot", "node"], "left_anti"))
@@ -76,7 +77,6 @@ def betweenness(edges: DataFrame, pivots: int = 100, seed: int = 42) -> DataFram
         if frontier.isEmpty():
             break
         levels.append(frontier)
-        seen = cut_lineage(seen.union(frontier.select("pivot", "node")))
 
     zero = F.lit(0.0)
     below = levels[-1].select("pivot", "node", "sigma", zero.alias("delta"))

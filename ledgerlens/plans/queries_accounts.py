@@ -13,7 +13,7 @@ from ledgerlens.operators import ingest, profiles, rules
 from ledgerlens.operators.rolling import FeatureConfig, feature_vector, rolling_features, rolling_features_after
 from ledgerlens.plans import views
 from ledgerlens.plans.registry import CTES, register, with_ctes
-from ledgerlens.session import shared_dir
+from ledgerlens.session import cut_lineage, shared_dir
 from ledgerlens.sources.readers import read_transactions
 from ledgerlens.sources.sinks import write_table
 
@@ -243,10 +243,13 @@ def _warm(spark, d):
     return rolling_features_after(t.where(F.col("timestamp") < cut), t.where(F.col("timestamp") >= cut)).select("transaction_id", *schemas.FEATURES)
 
 
-@register("feature_vector", with_ctes(FEAT, "SELECT transaction_id, 45 AS n, tx_velocity_7d AS v3, round(receiver_entropy + 1e-7, 4) AS v13, round(max_amount_7d + 1e-7, 4) AS v42, round(amount_to_max_ratio + 1e-7, 4) AS v44 FROM feat"), nudge=True)
+_POSITIONS = ", ".join(f"round({f} + 1e-7, 4) + 0.0 AS v{i}" for i, f in enumerate(schemas.FEATURES))
+
+
+@register("feature_vector", with_ctes(FEAT, f"SELECT transaction_id, 45 AS n, {_POSITIONS} FROM feat"), nudge=True)
 def _vector(spark, d):
     v = feature_vector(rolling_features(views.txn(spark, d)))
-    return v.select("transaction_id", F.size("features").alias("n"), *[F.col("features")[i].alias(f"v{i}") for i in (3, 13, 42, 44)])
+    return v.select("transaction_id", F.size("features").alias("n"), *[F.col("features")[i].alias(f"v{i}") for i in range(len(schemas.FEATURES))])
 
 
 # ---------------------------------------------------------------- rules
@@ -374,14 +377,14 @@ _STATS = "SELECT " + ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({
 
 @register("scaled_features", with_ctes(FEAT, f""", st AS ({_STATS}) SELECT transaction_id, {', '.join(f'round(({c} - m_{c}) / s_{c}, 4) + 0.0 AS {c}' for c in _SCALED)} FROM feat, st"""))
 def _scale(spark, d):
-    f = profiles.finite_rows(rolling_features(views.txn(spark, d)), _SCALED)
+    f = cut_lineage(profiles.finite_rows(rolling_features(views.txn(spark, d)), _SCALED))
     return profiles.apply_scaler(f, profiles.fit_scaler(f, _SCALED)).select("transaction_id", *_SCALED)
 
 
 @register("anomaly_drivers", with_ctes(FEAT, f""", st AS ({_STATS}), z AS (SELECT transaction_id, unnest([{', '.join(f"{{'a': abs(({c} - m_{c}) / s_{c}), 'i': {i}, 'n': '{c}'}}" for i, c in enumerate(_SCALED))}]) AS v FROM feat, st)
 SELECT transaction_id, string_agg(v.n, '|' ORDER BY r) AS drivers FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY v.a DESC, v.i DESC) AS r FROM z) WHERE r <= 3 GROUP BY transaction_id"""))
 def _drivers(spark, d):
-    f = rolling_features(views.txn(spark, d))
+    f = cut_lineage(rolling_features(views.txn(spark, d)))
     scaled = profiles.apply_scaler(f, profiles.fit_scaler(f, _SCALED))
     return scaled.select("transaction_id", profiles.top_drivers(_SCALED).alias("drivers"))
 
@@ -397,7 +400,7 @@ def _split_train(spark, d):
 SELECT feature, round(avg(v) FILTER (WHERE bucket = 'train'), 4) AS train, round(avg(v) FILTER (WHERE bucket = 'normal'), 4) AS normal, round(avg(v) FILTER (WHERE bucket = 'fraud'), 4) AS fraud,
  greatest(avg(v) FILTER (WHERE bucket = 'normal'), avg(v) FILTER (WHERE bucket = 'fraud')) > 5 AS blows_up FROM z GROUP BY feature"""))
 def _drift(spark, d):
-    f = rolling_features(views.txn(spark, d))
+    f = cut_lineage(rolling_features(views.txn(spark, d)))
     ids = views.truth(spark, d).select("transaction_id", F.lit(1).alias("_t"))
     bucket = F.when(F.col("_t") == 1, "fraud").when(F.col("timestamp") < F.lit("2024-01-21").cast("timestamp"), "train").otherwise("normal")
     scaled = profiles.apply_scaler(f, profiles.fit_scaler(f, _SCALED))

@@ -91,7 +91,8 @@ def score_rows(txn: DataFrame, feats: DataFrame, vector: DataFrame, art: Artefac
 def score_transactions(txn: DataFrame, art: Artefacts, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
     """The whole chain in batch: state of every row as of its own time."""
     vector = graph.live_graph_vector(txn, art.graph_features, art.community_risk)
-    return score_rows(txn, rolling_features(txn, cfg), vector, art)
+    # the features feed the rules and the detectors: computed once
+    return score_rows(txn, cut_lineage(rolling_features(txn, cfg)), vector, art)
 
 
 def alerts_of(scored: DataFrame) -> DataFrame:
