@@ -17,6 +17,8 @@ from ledgerlens.sources.readers import replay_stream
 from ledgerlens.streaming.jobs import StreamingScorer
 
 SLICES = 3
+# files of a slice, read by as many tasks in one batch
+FILES = 4
 
 
 def _replay(spark, d, artefacts=None, warm: bool = False) -> StreamingScorer:
@@ -32,8 +34,8 @@ def _replay(spark, d, artefacts=None, warm: bool = False) -> StreamingScorer:
         if i == 0 and warm:
             scorer.warm_start(part)
         else:
-            part.coalesce(1).write.parquet(f"{root}/in/part={i}")
-    stream = replay_stream(spark, f"{root}/in/*", schema=t.schema)
+            part.repartition(FILES).write.parquet(f"{root}/in/part={i}")
+    stream = replay_stream(spark, f"{root}/in/*", schema=t.schema, files_per_trigger=FILES)
     scorer.start(stream, available_now=True).awaitTermination()
     return scorer
 
