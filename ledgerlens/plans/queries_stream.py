@@ -21,16 +21,18 @@ SLICES = 3
 FILES = 4
 
 
-def _replay(spark, d, artefacts=None, warm: bool = False) -> StreamingScorer:
-    """Write the transactions in time slices, oldest first, and stream them."""
+def _replay(spark, d, artefacts=None, warm: bool = False, late: bool = False) -> StreamingScorer:
+    """Write the transactions in time slices, oldest first, and stream them; with ``late`` every 17th a slice late."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     t = views.txn(spark, d)
     lo, hi = t.agg(F.min("timestamp"), F.max("timestamp")).first()
     step = (hi - lo) / SLICES
     scorer = StreamingScorer(spark, root, artefacts)
+    number = F.substring("transaction_id", 2, 20).cast("bigint")
+    due = sum((F.when(F.col("timestamp") >= lo + step * i, 1).otherwise(0) for i in range(1, SLICES)), F.lit(0))
+    arrives = F.least(F.lit(SLICES - 1), due + F.when(number % 17 == 3, 1).otherwise(0)) if late else due
     for i in range(SLICES):
-        start = F.col("timestamp") >= lo + step * i
-        part = t.where(start if i == SLICES - 1 else start & (F.col("timestamp") < lo + step * (i + 1)))
+        part = t.where(arrives == i)
         if i == 0 and warm:
             scorer.warm_start(part)
         else:
@@ -55,6 +57,20 @@ def _vectors(spark, d):
     return _replay(spark, d).results("vectors").select("transaction_id", *_AS_OF, "cycle_length")
 
 
+@register("stream_late_rows", with_ctes(["txn"], f"""
+, b AS (SELECT min(timestamp) AS lo, (max(timestamp) - min(timestamp)) / {SLICES} AS step FROM txn),
+d AS (SELECT t.*, CASE WHEN timestamp >= lo + step * 2 THEN 2 WHEN timestamp >= lo + step THEN 1 ELSE 0 END AS due FROM txn t, b),
+a AS (SELECT *, least(2, due + CASE WHEN CAST(substr(transaction_id, 2) AS BIGINT) % 17 = 3 THEN 1 ELSE 0 END) AS slice FROM d)
+SELECT t.transaction_id, 1 + count(*) FILTER (WHERE p.sender_account = t.sender_account) AS sender_out_degree,
+       count(*) FILTER (WHERE p.receiver_account = t.sender_account) + CASE WHEN t.sender_account = t.receiver_account THEN 1 ELSE 0 END AS sender_in_degree
+FROM a t LEFT JOIN a p ON (p.sender_account = t.sender_account OR p.receiver_account = t.sender_account) AND p.slice <= t.slice
+ AND (p.timestamp < t.timestamp OR (p.timestamp = t.timestamp AND p.transaction_id < t.transaction_id))
+GROUP BY t.transaction_id, t.sender_account, t.receiver_account""".lstrip()))
+def _late(spark, d):
+    """A late row counts what precedes it and has arrived; later rows count it once it is there."""
+    return _replay(spark, d, late=True).results("vectors").select("transaction_id", "sender_out_degree", "sender_in_degree")
+
+
 @register("stream_scoring")
 def _scoring(spark, d):
     """Must equal the batch scores of the same rows; tested against them."""
