@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.batches import arrow_udf
 
 #: Runs without white space that a worker remembers; others are encoded anew each time they occur.
-CACHE_RUNS = 600_000
+CACHE_RUNS = 400_000
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: A stop or comma next to another symbol (or to a quote, which may start a match).
 SIDE_BY_SIDE = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
