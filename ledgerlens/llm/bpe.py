@@ -35,7 +35,7 @@ SEPARATORS = re.compile(r"[\x1c-\x1f]")
 SIDE_BY_SIDE = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
 
 #: White space as the vocabulary's split pattern understands it (fixed values).
-SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
+SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The vocabulary's split pattern (fixed value); white space between matches is dropped.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 

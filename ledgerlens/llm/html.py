@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.batches import arrow_udf
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>|</?[a-zA-Z][^>]*\Z|[^<]+|<""", re.S)
+# Possessive repeats: an unpaired quote must not make the match try all pairings.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|</?[a-zA-Z][^>]*+\Z|[^<]++|<""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 #: Fixed values of the HTML language.

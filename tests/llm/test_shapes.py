@@ -153,6 +153,11 @@ def test_main_text_never_fails():
         html.extract("".join(r.choice(parts) for _ in range(r.randint(0, 30))))
 
 
+def test_unpaired_quotes_take_linear_time():
+    assert html.extract("<p>text</p><a " + "\"' " * 20_000) == "text"
+    assert html.extract("<a title=\"x>" * 2_000 + "<p>text</p>") in ("text", "")
+
+
 def plain_edit(rows):
     """doc_id -> (text, edited text, next text), by walking the ids down."""
     order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0), reverse=True)
