@@ -13,7 +13,7 @@ small task; its result, at most ``SLOTS`` weights a category, is broadcast.
 
 A null or empty text has no features; its probabilities come from the intercepts. Label rows
 with a null are left out; of several label rows of one document the largest values hold. A
-document may be repeated and is then scored each time. Without labels of both values of the last category
+document may be repeated: it is scored each time, and counts once in the fit. Without labels of both values of the last category
 nothing is known: all probabilities are null and no document is rejected.
 """
 
@@ -205,6 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGO
     chosen = [known.filter(F.col(last) == v).orderBy("h", "doc_id").limit(sample) for v in (0, 1)]
     chosen = F.broadcast(chosen[0].unionAll(chosen[1]))  # at most 2 * sample small rows
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")).join(chosen, "doc_id")
+    # a document may be repeated any number of times; it counts once, with its smallest text
+    texts = texts.groupBy("doc_id", "h", *categories).agg(F.min("body").alias("body"))
     rows = texts.select("doc_id", "h", *categories, feature_slots(F.col("body")).alias("slots"))
     shift = float(np.log(n[1] / min(n[1], sample)) - np.log(n[0] / min(n[0], sample)))
     model = rows.groupBy().applyInArrow(_fit_task(categories, shift), MODEL).first()
