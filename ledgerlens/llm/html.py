@@ -26,7 +26,8 @@ from ledgerlens.llm.batches import arrow_udf
 
 # Possessive repeats: an unpaired quote must not make the match try all pairings.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|</?[a-zA-Z][^>]*+\Z|[^<]++|<""", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Attribute by attribute, so that a value is never read as an attribute; an unpaired quote reaches to the end.
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]++))?+""")
 
 #: Fixed values of the HTML language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())

@@ -153,6 +153,18 @@ def test_main_text_never_fails():
         html.extract("".join(r.choice(parts) for _ in range(r.randint(0, 30))))
 
 
+def test_values_are_not_attributes():
+    """A word inside a value hides nothing; the attribute itself does, wherever it stands."""
+    text = "<p>Some text, kept.</p>"
+    for attributes in ('style="overflow: hidden"', 'title="The hidden valley"', "title='a role=menu b'", 'data-x = "y class=ad z"', "data-hidden", 'title="no end hidden'):
+        assert html.is_chrome("div", " " + attributes) is False, attributes
+        if attributes.count('"') != 1:
+            assert html.extract(f"<div {attributes}>{text}</div>") == "Some text, kept."
+    for attributes in ("hidden", 'title="x"hidden', "HIDDEN=''", 'title="a b" hidden style="c d"', "aria-hidden = true", "role='menu'", "class=ad"):
+        assert html.is_chrome("div", " " + attributes) is True, attributes
+        assert html.extract(f"<div {attributes}><p>Other.</p></div>{text}") == "Some text, kept.", attributes
+
+
 def test_unpaired_quotes_take_linear_time():
     assert html.extract("<p>text</p><a " + "\"' " * 20_000) == "text"
     assert html.extract("<a title=\"x>" * 2_000 + "<p>text</p>") in ("text", "")
