@@ -96,12 +96,12 @@ def _links_within(percent: int) -> Callable:
     return links
 
 
-def _mixed(labelled: DataFrame) -> DataFrame:
-    """Rows of buckets with more than two members that are not in one component; of equal buckets only one."""
+def _mixed(labelled: DataFrame, least: int) -> DataFrame:
+    """Rows of buckets with at least ``least`` members that are not in one component; of equal buckets only one."""
     found = labelled.groupBy("bucket").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.min("n").alias("least_n"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"))
-    found = found.filter("size > 2 and lo <> hi").groupBy("content", "size", "least_n").agg(F.min("bucket").alias("bucket"))
+    found = found.filter((F.col("size") >= least) & (F.col("lo") != F.col("hi"))).groupBy("content", "size", "least_n").agg(F.min("bucket").alias("bucket"))
     return labelled.join(found.select("bucket", "size", "least_n"), "bucket")
 
 
@@ -134,14 +134,15 @@ def groups(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_id", te
 
     # what the stars may have missed
     labelled = shared.filter("size > 2").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    left = stored(_mixed(labelled))
+    left = stored(_mixed(labelled, 3))  # of two members one is the centre: compared
     again = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
     twice = again.groupBy("shingle").count().filter("count > 1")
     known = again.join(twice, "shingle").groupBy("node").agg(F.count("*").alias("known"))
     # the partner has at least known shingles and at least the fewest of the bucket
     able = left.join(known, "node").filter(
         F.lit(100) * F.col("known") >= F.lit(percent) * (F.col("n") + F.greatest("known", "least_n") - F.col("known")))
-    able = stored(_mixed(able.select("bucket", "node", "n", "root", "known")))
+    # two that are left of a larger bucket may both be no centre: not compared so far
+    able = stored(_mixed(able.select("bucket", "node", "n", "root", "known"), 2))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     cells = able.select("*", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     cells = cells.withColumns({"first": F.least("part", "other"), "second": F.greatest("part", "other")}).join(sets, "node")

@@ -78,6 +78,25 @@ def test_what_stars_miss_is_found(spark, sf_of, monkeypatch):
     assert {r.doc_id: r.component_id for r in queries.op2_near_duplicates(spark, sf).collect()} == want
 
 
+def test_last_pair_of_a_large_family_is_found(spark, sf_of):
+    """A shared template just below the threshold, and one pair above it that is no centre of its buckets."""
+    for seed in (2, 9):  # the hashes are fixed: here the pair's buckets all have other centres
+        r = random.Random(seed)
+        template = [f"t{r.randrange(10**6)}" for _ in range(180)]
+        rows = [(i, " ".join(template + [f"u{i}.{k}" for k in range(20)])) for i in range(100)]
+        rows += [(i, " ".join(template + [f"p{k}" for k in range(6)] + [f"u{i}.{k}" for k in range(14)])) for i in (100, 101)]
+        met = {}
+        for i, t in rows:
+            s = minhash.shingle_set(t, 3)
+            for k in minhash.bands(minhash.signature(s), dedup.ROWS):
+                met.setdefault(int(k), []).append((minhash.digest(s), i))
+        shared = [m for m in met.values() if {100, 101} <= {i for _, i in m}]
+        assert shared and all(len(m) > 2 and min(m)[1] < 100 for m in shared)
+        want = plain_groups(rows, 3, 85)
+        assert want == {i: i for i in range(101)} | {101: 100}
+        assert {x.doc_id: x.component_id for x in queries.op2_near_duplicates(spark, sf_of(documents=documents(rows))).collect()} == want
+
+
 def test_awkward_rows(spark, sf_of, awkward):
     sf = sf_of(documents=documents(awkward))
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in queries.op2_near_duplicates(spark, sf).collect()), key=str)
