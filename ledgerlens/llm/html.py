@@ -2,7 +2,10 @@
 
 A page is read into a tree of block and inline elements (unclosed and misplaced tags as
 browsers treat them, roughly). Chrome - scripts, styles, menus, headers, footers, sidebars, forms,
-notices, adverts, reader comments - is recognised by tag, role or class and left out. Each
+notices, adverts, reader comments - is recognised by tag, role or class and left out. A class or
+id is a hint only: an article, a main element and what holds most of the page's points (with no
+article's text outside) stay, and a name of several words must begin or end with a word of chrome,
+without has-, no- or the like, and its element have few points or many links. Each
 paragraph passes points, one and more for its length and commas, to its ancestors: all to the
 parent, less with each level; a container's points are discounted by the share of its
 text inside links. The best container is kept with those siblings that read like its text;
@@ -41,41 +44,69 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table",
 CHROME_TAGS = set("script style noscript template head title nav header footer aside form button select textarea input iframe svg canvas object dialog menu noembed noframes xmp".split())
 CHROME_ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
 CHROME_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent notice popup modal overlay subscribe newsletter signup login share sharing social related recommended widget comment comments commentlist disqus replies respond".split())
+#: A name with one of these speaks of chrome that is elsewhere or absent.
+ABOUT = set("has no not with without".split())
 WHOLE = ("article", "main")
 
 #: Points: each paragraph gives one, one per comma, one per so many characters up to a limit.
 PER_CHARS, MOST_FOR_LENGTH = 100, 3
+#: Blocks that give no points.
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "th", "dt")
 #: Share of the best container's points from which a sibling is kept.
 SIBLING_SHARE = 0.2
 MAX_LINK_SHARE = 0.5
+#: Share of the page's points over which a class does not make chrome, and points up to which a part of a name does: those of one long paragraph.
+MOST_SHARE, FEW = 0.5, 1 + MOST_FOR_LENGTH
 #: An ancestor gets half of what the one below gets, down to this part.
 MOST_LEVELS = 64
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chrome", "points", "chars", "linked", "article")
+    __slots__ = ("tag", "parent", "items", "chrome", "hint", "points", "chars", "linked", "article")
 
     def __init__(self, tag: str, parent: Node | None, chrome: bool):
-        self.tag, self.parent, self.chrome = tag, parent, chrome
+        self.tag, self.parent, self.chrome, self.hint = tag, parent, chrome, ""
         self.items: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
         self.article = tag if tag in WHOLE else None
 
 
-def is_chrome(tag: str, attributes: str) -> bool:
+def named_chrome(value: str) -> str:
+    """Whether a class or id has a word of chrome as a "whole" name, or as the first or last "part" of one."""
+    found = ""
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+        if not words or not ABOUT.isdisjoint(words):
+            continue
+        if len(words) == 1 and words[0] in CHROME_WORDS:
+            return "whole"
+        if words[0] in CHROME_WORDS or words[-1] in CHROME_WORDS:
+            found = "part"
+    return found
+
+
+def chrome_of(tag: str, attributes: str) -> tuple[bool, str]:
+    """Whether an element is chrome whatever it holds, and else what its names hint at."""
     if tag in CHROME_TAGS:
-        return True
+        return True, ""
     if tag in ("html", "body") or not attributes.strip():
-        return False
+        return False, ""
+    hint = ""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, ""
         if name == "role" and value in CHROME_ROLES:
-            return True
-        if name in ("class", "id") and not CHROME_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            return True, ""
+        if name in ("class", "id") and tag not in WHOLE:
+            hint = max(hint, named_chrome(value))  # "whole" is the greater
+    return False, hint
+
+
+def is_chrome(tag: str, attributes: str) -> bool:
+    """Whether an element's tag or attributes speak of chrome."""
+    sure, hint = chrome_of(tag, attributes)
+    return sure or hint != ""
 
 
 def parse(page: str) -> Node:
@@ -120,7 +151,9 @@ def parse(page: str) -> Node:
             if not here.chrome:
                 here.items.append(Node(tag, here, False) if tag == "hr" else " " if tag == "br" else "")
             continue
-        node = Node(tag, here, here.chrome or is_chrome(tag, m[3] or ""))
+        sure, hint = chrome_of(tag, m[3] or "")
+        node = Node(tag, here, here.chrome or sure)
+        node.hint = hint
         here.items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
@@ -131,8 +164,8 @@ def parse(page: str) -> Node:
     return root
 
 
-def blocks(root: Node) -> list[tuple[Node, str, int]]:
-    """(block element, text, its characters inside links) in page order."""
+def blocks(root: Node, apart: bool = False) -> list[tuple[Node, str, int]]:
+    """(block element, text, its characters inside links) in page order; with ``apart`` each hinted element is a block."""
     out: list[tuple[Node, str, int]] = []
     parts: list[str] = []
     linked = 0
@@ -150,7 +183,7 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
     while stack:
         node, i, block, links = stack.pop()
         if i == len(node.items):
-            if node.tag in BLOCKS:
+            if node.tag in BLOCKS or (apart and node.hint):
                 end(node)
             continue
         stack.append((node, i + 1, block, links))
@@ -159,9 +192,9 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
             parts.append(item)
             linked += len(item) if links else 0
         elif not item.chrome:
-            if item.tag in BLOCKS:
+            if item.tag in BLOCKS or (apart and item.hint):
                 end(block)
-                stack.append((item, 0, item, links))
+                stack.append((item, 0, item, links + (item.tag == "a")))
             else:
                 stack.append((item, 0, block, links + (item.tag == "a")))
     end(owner)
@@ -178,12 +211,45 @@ def below(tops: list[Node]) -> set[int]:
     return out
 
 
+def points_of(text: str) -> int:
+    return 1 + text.count(",") + min(MOST_FOR_LENGTH, len(text) // PER_CHARS)
+
+
+def settle(root: Node) -> None:
+    """Mark the elements that their names make chrome, as their points and links allow."""
+    sums: dict[int, list] = {}  # element, points, those in articles, characters, those inside links
+    above: dict[int, tuple[Node | None, bool]] = {}  # the next hinted element from here up, and whether an article is
+    total = in_articles = 0
+    for block, text, linked in blocks(root, apart=True):
+        points = 0 if block.tag in HEADINGS else points_of(text)
+        path, up = [], block
+        while up is not None and id(up) not in above:
+            path.append(up)
+            up = up.parent
+        hinted, article = above[id(up)] if up is not None else (None, False)
+        for node in reversed(path):
+            hinted, article = node if node.hint else hinted, article or node.article == "article"
+            above[id(node)] = hinted, article
+        total += points
+        in_articles += points if article else 0
+        while hinted is not None:
+            s = sums.setdefault(id(hinted), [hinted, 0, 0, 0, 0])
+            s[1:] = s[1] + points, s[2] + (points if article else 0), s[3] + len(text), s[4] + linked
+            hinted = above[id(hinted.parent)][0] if hinted.parent is not None else None
+    for node, points, inside, chars, linked in sums.values():
+        if points > total * MOST_SHARE and inside == in_articles:
+            continue
+        node.chrome = node.hint == "whole" or points <= FEW or linked > MAX_LINK_SHARE * chars
+
+
 def extract(page: str) -> str:
     """Main text of one page."""
-    found = blocks(parse(page))
+    root = parse(page)
+    settle(root)
+    found = blocks(root)
     scored: dict[int, Node] = {}
     for block, text, linked in found:
-        points = 1 + text.count(",") + min(MOST_FOR_LENGTH, len(text) // PER_CHARS)
+        points = points_of(text)
         # text directly in a container speaks for the container itself
         node, level = (block.parent if block.tag in ("p", "pre", "blockquote", "td", "li", "dd") and block.parent else block), 1
         up: Node | None = block
@@ -191,7 +257,7 @@ def extract(page: str) -> str:
             up.chars += len(text)
             up.linked += linked
             up = up.parent
-        if block.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "th", "dt"):
+        if block.tag in HEADINGS:
             continue
         while node is not None and level <= MOST_LEVELS:
             node.points += points / level

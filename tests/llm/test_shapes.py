@@ -165,6 +165,23 @@ def test_values_are_not_attributes():
         assert html.extract(f"<div {attributes}><p>Other.</p></div>{text}") == "Some text, kept.", attributes
 
 
+def test_layout_classes_keep_the_article():
+    """Class words drop chrome only, not the container that holds the text nor parts of an article."""
+    lines = [f"Line {i} of the text, with commas, and long enough to count for more than a word or two, as it is prose, not a menu." for i in range(4)]
+    text, body = "\n".join(lines), "".join(f"<p>{x}</p>" for x in lines)
+    menu = "<div class=sidebar><p>x, y, z</p></div><div class='site-footer'><a href=1>one</a> <a href=2>two</a></div>"
+    for opening in ('main class="content with-sidebar"', 'div class="no-sidebar"', 'article class="post has-comments"', 'div id="post-header-image"',
+                    'section class="related-work"', 'div class="sidebar"', 'main id=comments', 'article class=related', 'span class="notice"'):
+        page = f"<body>{menu}<{opening}>{body}</{opening.split()[0]}>{menu}"
+        assert html.extract(page) == text, opening
+    one = f"<p>{lines[0]}</p>"
+    assert html.extract(f"<article>{body}<section class='related-work'>{one}</section></article>") == text + "\n" + lines[0]
+    for chrome in ("<div class='newsletter-box'><p>Write to us, please</p></div>", f"<div class=comments>{body * 3}</div>", "<span class='share'>share</span>",
+                   f"<div class='related-links'><a href=1>{text}</a></div>"):
+        assert html.extract(f"<article>{body}{chrome}</article>") == text, chrome
+        assert html.extract(f"<article>{body}</article>{chrome}") == text, chrome
+
+
 def test_unpaired_quotes_take_linear_time():
     assert html.extract("<p>text</p><a " + "\"' " * 20_000) == "text"
     assert html.extract("<a title=\"x>" * 2_000 + "<p>text</p>") in ("text", "")
