@@ -11,8 +11,9 @@ per bin are summed where the rows are (a small combined aggregate), and the bin
 the half becomes the next interval, until it holds one group key. All nodes of a level
 take their rounds together. What comes to the driver is per node, never per row.
 
-A group larger than a shard makes its shard larger than the others, as groups stay whole. Fewer
-groups than shards leave shards empty. Repeated rows and null ids are rows like others; an empty table
+A group larger than an even share has a shard of its own, which is larger than the others, as groups
+stay whole; the tree deals the rest to the other shards. A group that is large for its node goes to the side that
+it leaves nearer to the target, and both sides get shards by their measured weights. Fewer groups than shards leave shards empty. Repeated rows and null ids are rows like others; an empty table
 gives no rows.
 """
 
@@ -30,15 +31,25 @@ from ledgerlens.llm.stored import stored
 BINS = 4_096
 #: Rows of one shard that are numbered in one task, about.
 RUN = 4_000
+#: From this part of a shard on, a group at a cut goes to the side that it leaves nearer to the target.
+LARGE = 0.1
 
 
 @dataclass
 class Cut:
-    """Rows at or before (value, key) along a dimension go left."""
+    """Rows at or before (value, key) along a dimension go left; the group there only if ``closed``."""
 
     dimension: str
     value: float
     key: int
+    before: int
+    group: int
+    closed: bool = True
+
+    @property
+    def left(self) -> int:
+        """The weight of the left side."""
+        return self.before + self.group * self.closed
 
 
 def _ranges(rows: DataFrame, dimensions: list[str], key: str, weight: str) -> dict[int, dict]:
@@ -105,7 +116,8 @@ def _medians(rows: DataFrame, ranges: dict[int, dict], share: dict[int, float],
                 klo[n] = khi[n] = a
             else:
                 klo[n], khi[n], before[n] = a, b, w
-    return {n: Cut(widest[n], found[n][0], klo[n]) for n in ends}
+    at = ties.filter(F.col(key) == _per_node(klo, "bigint")).groupBy("node").agg(F.sum(weight).alias("w"))
+    return {r["node"]: Cut(widest[r["node"]], found[r["node"]][0], klo[r["node"]], before[r["node"]], r["w"]) for r in at.collect()}
 
 
 def _route(cuts: dict[int, Cut], key: str, node: int, leaf: Callable[[int], int]) -> Column:
@@ -113,10 +125,22 @@ def _route(cuts: dict[int, Cut], key: str, node: int, leaf: Callable[[int], int]
     if node not in cuts:
         return F.lit(leaf(node))
     c = cuts[node]
-    left = (F.col(c.dimension) < c.value) | ((F.col(c.dimension) == c.value) & (F.col(key) <= c.key))
+    left = (F.col(c.dimension) < c.value) | ((F.col(c.dimension) == c.value) & (F.col(key) <= c.key if c.closed else F.col(key) < c.key))
     return F.when(left, _route(cuts, key, 2 * node + 1, leaf)).otherwise(_route(cuts, key, 2 * node + 2, leaf))
 
 
+def _alone(rows: DataFrame, shards: int, key: str, weight: str) -> list[int]:
+    """Keys of the groups that outweigh an even share of what is left without larger ones; fewer than shards."""
+    left = rows.agg(F.sum(weight)).first()[0] or 0
+    out = []
+    for k, w in rows.groupBy(key).agg(F.sum(weight).alias("w")).orderBy(F.desc("w"), key).limit(shards).collect():
+        if w * (shards - len(out)) <= left:
+            break
+        out.append(k)
+        left -= w
+    return out[: shards - 1]
+
+
 def assign(rows: DataFrame, shards: int, dimensions: list[str], key: str, weight: str) -> Column:
     """The shard, 0 to shards - 1, of each row, as a column expression over the rows' own columns.
 
@@ -124,7 +148,9 @@ def assign(rows: DataFrame, shards: int, dimensions: list[str], key: str, weight
     share the dimensions; ``weight`` is a long. The rows are read a few times per level of the tree,
     so give a stored table.
     """
-    spans = {0: (0, shards)}  # leaves so far and the shards below them
+    alone = _alone(rows, shards, key, weight)
+    rows = rows.filter(~F.col(key).isin(alone)) if alone else rows
+    spans = {0: (0, shards - len(alone))}  # leaves so far and the shards below them
     cuts: dict[int, Cut] = {}
     whole: dict[str, float] = {}
     while open_ := [n for n, (a, b) in spans.items() if b - a > 1]:
@@ -143,11 +169,18 @@ def assign(rows: DataFrame, shards: int, dimensions: list[str], key: str, weight
                 spans[n] = (a, a + 1)  # nothing, or one group: not to be split
         if widest:
             for n, cut in _medians(placed, ranges, share, widest, key, weight).items():
-                cuts[n] = cut
                 a, b = spans.pop(n)
-                middle = a + (b - a) // 2
+                total = ranges[n]["weight"]
+                target = share[n] * total
+                if cut.before and cut.group * (b - a) > LARGE * total and (target - cut.before < cut.left - target or cut.left == total):
+                    cut.closed = False
+                cuts[n] = cut
+                middle = a + min(max(round((b - a) * cut.left / total), 1), b - a - 1)
                 spans |= {2 * n + 1: (a, middle), 2 * n + 2: (middle, b)}
-    return _route(cuts, key, 0, lambda n: spans[n][0])
+    out = _route(cuts, key, 0, lambda n: spans[n][0])
+    for i, k in enumerate(alone):
+        out = F.when(F.col(key) == k, F.lit(shards - 1 - i)).otherwise(out)
+    return out
 
 
 def numbered(rows: DataFrame, shard: str, row: str, order: list[str], out: str, run: int = RUN) -> DataFrame:

@@ -58,6 +58,24 @@ def test_shards_of_one_group_and_none(spark, sf_of):
     assert shards_of(spark, sf_of()) == []
 
 
+def test_large_groups_make_no_other_shard_unequal(spark, sf_of):
+    """Copies of 30 % of the bytes in the middle of the lengths: the other seven shards stay near equal; so do two shards with a group at the cut."""
+    r = random.Random(2)
+    short = [(i, "".join(r.choice("abc") for _ in range(10 + i % 80))) for i in range(900)]
+    long = [(2000 + i, "".join(r.choice("abc") for _ in range(120 + i % 80))) for i in range(180)]
+    size = sum(len(t) + 1 for _, t in short + long)
+    rows = short + long + [(5000 + i, "c" * 99) for i in range(size * 3 // 700)]
+    weights = sorted(check_shards(rows, shards_of(spark, sf_of(documents=documents(rows)))).values())
+    assert len(weights) == 8 and weights[-1] == 100 * (size * 3 // 700)
+    assert weights[-2] - weights[0] <= 4 * 200
+    df = spark.createDataFrame([(float(i), i, 10) for i in range(100)] + [(48.5, 500, 900)], "d double, k bigint, w bigint")
+    df = df.withColumn("s", kdshards.assign(df, 2, ["d"], "k", "w")).groupBy("s").agg(F.sum("w").alias("w"))
+    assert sorted(x.w for x in df.collect()) == [510, 1390]
+    df = spark.createDataFrame([(float(i), i, 10) for i in range(80)] + [(78.5, 500, 800)], "d double, k bigint, w bigint")
+    df = df.withColumn("s", kdshards.assign(df, 2, ["d"], "k", "w")).groupBy("s").agg(F.sum("w").alias("w"))
+    assert sorted(x.w for x in df.collect()) == [790, 810]
+
+
 def test_weighted_cut_is_exact(spark):
     """The left side of the first cut is the shortest run of groups, in order, that reaches half."""
     r = random.Random(3)
