@@ -147,6 +147,17 @@ def one_hop_edge_list(edges: DataFrame, cap: int | None = None) -> DataFrame:
     return ranked.groupBy("account_id").agg(F.transform(items, lambda x: x["e"]).alias("two_hop_edge_list"))
 
 
+def one_hop_edge_rows(edges: DataFrame) -> DataFrame:
+    """All touching edges of every account, a row each, with their ``position`` from 1: outgoing first, in time order.
+
+    Positions are counted over time slots, so a hub's history is never one task or one row.
+    """
+    side = lambda key, d: edges.select(F.col(key).alias("account_id"), F.lit(d).alias("dir"), "src", "dst", "timestamp", "transaction_id", "amount")
+    slot = F.col("dir") * F.lit(1 << 40) + time_slot(F.col("timestamp"))
+    return running(side("src", 0).unionByName(side("dst", 1)), ["account_id"], ["dir", "timestamp", "transaction_id"], slot,
+                   {"position": ("sum", F.lit(1))}, inclusive=True)
+
+
 def two_hop_edges(edges: DataFrame, account: str) -> DataFrame:
     """Every edge touching the two-hop set of one account."""
     near = two_hop_neighborhood(edges, account)

@@ -114,9 +114,8 @@ def _two_hop_capped(spark, d):
 @register("one_hop_edge_list", with_ctes(E, """SELECT account_id, count(*) AS n, round(sum(amount), 2) AS total, min(r_src) AS first_src FROM (SELECT *, first_value(src) OVER (PARTITION BY account_id ORDER BY r) AS r_src FROM (
  SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY k, timestamp, transaction_id) AS r FROM (SELECT src AS account_id, 0 AS k, * FROM edges UNION ALL SELECT dst, 1, * FROM edges))) GROUP BY account_id"""), total=2)
 def _edge_list(spark, d):
-    e = G.one_hop_edge_list(edges(spark, d))
-    return e.select("account_id", F.size("two_hop_edge_list").cast("bigint").alias("n"),
-                    F.aggregate("two_hop_edge_list", F.lit(0.0), lambda s, x: s + x["amount"]).alias("total"), F.col("two_hop_edge_list")[0]["u"].alias("first_src"))
+    e = G.one_hop_edge_rows(edges(spark, d))
+    return e.groupBy("account_id").agg(F.count("*").alias("n"), F.sum("amount").alias("total"), F.min(F.when(F.col("position") == 1, F.col("src"))).alias("first_src"))
 
 
 @register("two_hop_edges", with_ctes(E + ["busiest", "und"], f", near AS ({_TWO}) SELECT src, dst, transaction_id FROM edges, busiest WHERE (src IN (SELECT account_id FROM near) AND src <> a) OR (dst IN (SELECT account_id FROM near) AND dst <> a)"))

@@ -231,3 +231,17 @@ def test_point_lookups(spark):
     assert {r["account_id"] for r in G.ego_nodes(e, "3", 1).collect()} == {"2", "3", "4"}
     assert asdict(G.ego_edges(e, "m", multiplicity=True), "source", "weight") == {"m": 2}
     assert G.graph_stats(e).first()["edges"] == len(SHAPES)
+
+
+def test_edge_rows_are_numbered_like_the_lists(spark):
+    """One row per account and edge, positions as in the lists, and no list of a whole history in the query."""
+    from ledgerlens.plans import catalog
+
+    edges = edge_frame(spark, random_pairs())
+    rows = defaultdict(list)
+    for r in G.one_hop_edge_rows(edges).collect():
+        rows[r.account_id].append((r.position, r.src, r.dst, r.timestamp, r.amount))
+    want = {a: [(i + 1, *e) for i, e in enumerate(x)] for a, x in asdict(G.one_hop_edge_list(edges), "account_id", "two_hop_edge_list").items()}
+    assert {a: sorted(x) for a, x in rows.items()} == want
+    plan = catalog.REGISTRY["one_hop_edge_list"].query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
