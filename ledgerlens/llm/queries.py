@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chat, decontam, dedup, fingerprint, html, kdshards, secrets, sql, tokencount, toxicity
+from ledgerlens.llm import ann, audit, bpe, chat, decontam, dedup, fingerprint, html, kdshards, secrets, spelling, sql, tokencount, toxicity
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -108,11 +108,31 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, after a misspelling of every 31st by checksum, with their more frequent forms."""
+    run, id_ = F.col("run"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    h = F.crc32(F.concat(id_, F.lit(":"), run))
+    at = F.pmod(h, F.length("run").cast("long")).cast("int")
+    without = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = spelling.runs(table(spark, sf_dir, "documents")).select(F.when(h % 31 == 0, without).otherwise(run).alias("word"))
+    return spelling.variants(spelling.counted(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents in each of their orders."""
+    return audit.audit(audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_sharding": op4_sharding, "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_secrets": op8_secrets, "op9_main_text": op9_main_text,
-    "op10_fingerprints": op10_fingerprints,
+    "op10_fingerprints": op10_fingerprints, "op11_nearest": op11_nearest, "op12_spelling": op12_spelling, "op13_filter_audit": op13_filter_audit,
 }
 
 #: Equivalent DuckDB SQL where there is one.
-SQL = {"op2_near_duplicates": sql.NEAR_DUPLICATES, "op3_decontamination": sql.DECONTAMINATION, "op7_chat": sql.CHAT}
+SQL = {"op2_near_duplicates": sql.NEAR_DUPLICATES, "op3_decontamination": sql.DECONTAMINATION, "op7_chat": sql.CHAT, "op12_spelling": sql.SPELLING, "op13_filter_audit": sql.FILTER_AUDIT}
