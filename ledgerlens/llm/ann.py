@@ -9,8 +9,9 @@
 * Lists are found by best-first search in a graph of the centroids that starts from one list of each cell.
 * A query reads the lists whose distance is within a ratio of the nearest one's, and enough of them to hold the rows asked for. The
   ratio is fitted on the first sample: the least with which ``FOUND`` of the sample's own nearest rows are read.
-* Lists and their queries meet in Spark by (list, part, query part), each of bounded size; scores are sums in double precision, component after
-  component, so that the same pair has the same score wherever it meets.
+* Lists that stand side by side are a shelf. Shelves and their queries meet in Spark by (shelf, part, query part), each of bounded
+  size; a query is sent once for all its lists of a shelf and gets one short answer. Scores are sums in double precision, component
+  after component, so that the same pair has the same score wherever it meets.
 
 Only the fit of lists and ratio looks at samples (``SAMPLE`` classes, ``CELL_SAMPLE`` a cell); every row is indexed.
 
@@ -40,8 +41,8 @@ SAMPLE, CELL_SAMPLE = 8_192, 8_192
 LINKS = 24
 COPIES, COPY_RATIO = 4, 1.03
 FOUND, TRIED = 0.95, 256
-#: Classes of a part of a list, and queries of a part, that one task compares at a time.
-PART, QUERY_PART = 2_048, 1_024
+#: Lists of a shelf; values of a shelf's part, and queries of a part, that one task holds; scores computed at a time.
+SHELF, PART_VALUES, QUERY_PART, SCORES = 16, 1 << 20, 1_024, 1 << 21
 #: Rows searched at once in the graph.
 ROWS = 512
 #: Classes scored exactly beyond those asked for, and values that one such step gathers.
@@ -235,7 +236,7 @@ def fit(found: DataFrame, dim: int) -> Lists:
 
 
 def postings(found: DataFrame, lists: Lists, dim: int) -> DataFrame:
-    """(list, first, rep, ids, v): every class in each of its lists; ``first`` marks the nearest."""
+    """(shelf, list, first, rep, ids, v): every class in each of its lists; ``first`` marks the nearest."""
     index = found.sparkSession.sparkContext.broadcast(lists)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,16 +245,17 @@ def postings(found: DataFrame, lists: Lists, dim: int) -> DataFrame:
                 part = batch.slice(i, ROWS)
                 homes, take = index.value.homes(lifted(_matrix(part["v"], dim), index.value.top))
                 row, copy = np.nonzero(take)
+                home = homes[row, copy]
                 yield pa.record_batch({
-                    "list": pa.array(homes[row, copy], pa.int32()), "first": pa.array(copy == 0),
+                    "shelf": pa.array(home // SHELF, pa.int32()), "list": pa.array(home, pa.int32()), "first": pa.array(copy == 0),
                     **{c: part[c].take(pa.array(row)) for c in ("rep", "ids", "v")}})
 
     kind = found.schema["v"].dataType.simpleString()
-    return found.select("rep", "ids", "v").mapInArrow(place, f"list int, first boolean, rep long, ids array<long>, v {kind}")
+    return found.select("rep", "ids", "v").mapInArrow(place, f"shelf int, list int, first boolean, rep long, ids array<long>, v {kind}")
 
 
 def probes(asked: DataFrame, lists: Lists, holds: np.ndarray, least: int, dim: int) -> DataFrame:
-    """(list, q, v): every distinct query vector with each list that it reads."""
+    """(shelf, q, lists, v): every distinct query vector with the lists that it reads of each shelf."""
     index = asked.sparkSession.sparkContext.broadcast((lists, holds))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,48 +264,69 @@ def probes(asked: DataFrame, lists: Lists, holds: np.ndarray, least: int, dim: i
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
                 v = _matrix(part["v"], dim)
-                read = list(own.lists_of(np.hstack([v, np.zeros((len(v), 1))]).astype(np.float32), held, least))
-                row = pa.array(np.repeat(np.arange(len(v)), [len(r) for r in read]))
-                yield pa.record_batch({"list": pa.array(np.concatenate(read), pa.int32()), "q": part["q"].take(row), "v": part["v"].take(row)})
+                read = [np.sort(r) for r in own.lists_of(np.hstack([v, np.zeros((len(v), 1))]).astype(np.float32), held, least)]
+                row, every = np.repeat(np.arange(len(v)), [len(r) for r in read]), np.concatenate(read).astype(np.int32)
+                shelf = every // SHELF
+                start = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(shelf, prepend=-1))
+                at = pa.array(row[start])
+                yield pa.record_batch({
+                    "shelf": pa.array(shelf[start], pa.int32()), "q": part["q"].take(at),
+                    "lists": pa.ListArray.from_arrays(np.append(start, len(every)).astype(np.int32), pa.array(every)), "v": part["v"].take(at)})
 
     kind = asked.schema["v"].dataType.simpleString()
-    return asked.select("q", "v").mapInArrow(look, f"list int, q long, v {kind}")
+    return asked.select("q", "v").mapInArrow(look, f"shelf int, q long, lists array<int>, v {kind}")
 
 
 def nearest_in_part(k: int, dim: int):
-    """Compare the queries and classes of one part: the best ``k`` classes of each query, with exact scores."""
+    """Compare the queries of a part with the classes of the lists that each reads: its best ``k`` classes, with exact scores."""
+
+    def best_of(q: np.ndarray, read: np.ndarray, v: np.ndarray, lists: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(query, row, score) of the best rows of each query; ``read`` (queries x lists of the shelf) says what it reads."""
+        scores = np.where(read[:, lists], q @ v.T, -np.inf)
+        # a class may stand in several lists of the shelf
+        width = min(k * COPIES + SPARE, len(v))
+        # the product's own rounding must not decide: what is within it is scored exactly
+        slack = 1e-12 * np.sqrt((q * q).sum(1) * (v * v).sum(1).max())
+        deep = min(k * COPIES, len(v))
+        bound = np.partition(scores, -deep, axis=1)[:, -deep] - slack
+        tied = ((scores >= bound[:, None]) & np.isfinite(scores)).sum(axis=1) > width
+        out = []
+        step = max(1, EXACT_VALUES // (width * dim))
+        plain = np.flatnonzero(~tied)
+        for i in [plain[j : j + step] for j in range(0, len(plain), step)] + [np.array([j]) for j in np.flatnonzero(tied)]:
+            at = np.argpartition(scores[i], -width, axis=1)[:, -width:] if not tied[i[0]] else np.flatnonzero(scores[i[0]] >= bound[i[0]])[None]
+            exact = np.zeros(at.shape)
+            for j in range(dim):
+                exact += q[i, j, None] * v[at, j]
+            exact[np.isneginf(np.take_along_axis(scores[i], at, 1))] = -np.inf
+            order = np.lexsort((rep[at], -exact))
+            at, exact = np.take_along_axis(at, order, 1), np.take_along_axis(exact, order, 1)
+            new = np.isfinite(exact)
+            new[:, 1:] &= rep[at[:, 1:]] != rep[at[:, :-1]]
+            row, col = np.nonzero(new & (new.cumsum(axis=1) <= k))
+            out.append((i[row], at[row, col], exact[row, col]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out_q, out_row, out_score = [], [], []
+        out = []
         if asked.num_rows and held.num_rows:
             q, v = (_matrix(t["v"].combine_chunks(), dim).astype(np.float64) for t in (asked, held))
-            rep, scores = held["rep"].to_numpy(), q @ v.T
-            width = min(k + SPARE, len(v))
-            # the product's own rounding must not decide: what is within it is scored exactly
-            slack = 1e-12 * np.sqrt((q * q).sum(1) * (v * v).sum(1).max())
-            bound = np.partition(scores, -k, axis=1)[:, -k] - slack if k < len(v) else np.full(len(q), -np.inf)
-            tied = (scores >= bound[:, None]).sum(axis=1) > width
-            step = max(1, EXACT_VALUES // (width * dim))
-            plain = np.flatnonzero(~tied)
-            some = [(plain[i : i + step], None) for i in range(0, len(plain), step)] + [(np.array([i]), np.flatnonzero(scores[i] >= bound[i])) for i in np.flatnonzero(tied)]
-            for i, chosen in some:
-                at = np.argpartition(scores[i], -width, axis=1)[:, -width:] if chosen is None else chosen[None]
-                exact = np.zeros(at.shape)
-                for j in range(dim):
-                    exact += q[i, j, None] * v[at, j]
-                best = np.lexsort((rep[at], -exact))[:, :k]
-                out_q.append(np.repeat(i, best.shape[1]))
-                out_row.append(np.take_along_axis(at, best, 1).ravel())
-                out_score.append(np.take_along_axis(exact, best, 1).ravel())
-        row = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0), kind)
-        at = row(out_row, pa.int64())
-        return pa.table({"q": asked["q"].take(row(out_q, pa.int64())), "rep": held["rep"].take(at), "ids": held["ids"].take(at), "score": row(out_score, pa.float64())})
+            rep, lists = held["rep"].to_numpy(), held["list"].to_numpy() % SHELF
+            wanted = asked["lists"].combine_chunks()
+            read = np.zeros((len(q), SHELF), bool)
+            read[np.repeat(np.arange(len(q)), wanted.value_lengths().to_numpy()), wanted.flatten().to_numpy() % SHELF] = True
+            step = max(1, SCORES // len(v))
+            for i in range(0, len(q), step):
+                row, at, score = best_of(q[i : i + step], read[i : i + step], v, lists, rep)
+                out.append((row + i, at, score))
+        row, at, score = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
+        return pa.table({"q": asked["q"].take(pa.array(row)), "rep": held["rep"].take(pa.array(at)), "ids": held["ids"].take(pa.array(at)), "score": score})
 
     return compare
 
 
 def _parts(sizes: DataFrame, name: str, most: int) -> DataFrame:
-    return sizes.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / most)).cast("int").alias(name))
+    return sizes.groupBy("shelf").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / most)).cast("int").alias(name))
 
 
 def neighbours(vectors: DataFrame, queries: F.Column, k: int = K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -324,13 +347,13 @@ def neighbours(vectors: DataFrame, queries: F.Column, k: int = K, key: str = "ve
         holds[r["list"]] = r["n"]
     sought = stored(probes(asked, lists, holds, k + 1, dim))
 
-    # a long list, or one that many queries read, is compared in a grid of parts of bounded size
-    grid = F.broadcast(_parts(sought, "q_parts", QUERY_PART).join(_parts(held, "parts", PART), "list"))  # a row a list
+    # a long shelf, or one that many queries read, is compared in a grid of parts of bounded size
+    grid = F.broadcast(_parts(sought, "q_parts", QUERY_PART).join(_parts(held, "parts", max(1, PART_VALUES // dim)), "shelf"))  # a row a shelf
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda c, n: F.pmod(F.xxhash64(c, F.lit(2)), F.col(n)).cast("int")
-    left = sought.join(grid, "list").select("list", dealt("q", "q_parts").alias("q_part"), spread("parts").alias("part"), "q", "v")
-    right = held.join(grid, "list").select("list", spread("q_parts").alias("q_part"), dealt("rep", "parts").alias("part"), "rep", "ids", "v")
-    by = ["list", "q_part", "part"]
+    left = sought.join(grid, "shelf").select("shelf", dealt("q", "q_parts").alias("q_part"), spread("parts").alias("part"), "q", "lists", "v")
+    right = held.join(grid, "shelf").select("shelf", spread("q_parts").alias("q_part"), dealt("rep", "parts").alias("part"), "list", "rep", "ids", "v")
+    by = ["shelf", "q_part", "part"]
     met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(nearest_in_part(k + 1, dim), "q long, rep long, ids array<long>, score double")
 
     # one shuffle by query: a class stands in COPIES lists at most, so the best rows hold the best classes

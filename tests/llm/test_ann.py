@@ -50,7 +50,7 @@ def clusters(n, dim, seed, kind=np.float32):
 @pytest.fixture
 def small_lists(monkeypatch):
     monkeypatch.setattr(ann, "LIST", 40)
-    monkeypatch.setattr(ann, "PART", 50)
+    monkeypatch.setattr(ann, "PART_VALUES", 3200)
     monkeypatch.setattr(ann, "QUERY_PART", 8)
 
 
