@@ -21,10 +21,10 @@ SLICES = 3
 FILES = 4
 
 
-def _replay(spark, d, artefacts=None, warm: bool = False, late: bool = False) -> StreamingScorer:
+def _replay(spark, d, artefacts=None, warm: bool = False, late: bool = False, rows=None) -> StreamingScorer:
     """Write the transactions in time slices, oldest first, and stream them; with ``late`` every 17th a slice late."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    t = views.txn(spark, d)
+    t = views.txn(spark, d) if rows is None else rows
     lo, hi = t.agg(F.min("timestamp"), F.max("timestamp")).first()
     step = (hi - lo) / SLICES
     scorer = StreamingScorer(spark, root, artefacts)
@@ -77,3 +77,18 @@ def _scoring(spark, d):
     t = views.txn(spark, d)
     scorer = _replay(spark, d, scoring.fit_artefacts(t))
     return scorer.results("scored").select("transaction_id", "rule_score", "ensemble_anomaly_score", "gnn_anomaly_score", "transaction_risk_score", "risk_level")
+
+
+_GAPS = {"txn": f"""SELECT t.* REPLACE (t.timestamp + CASE WHEN g.k = 1 THEN INTERVAL 40 DAY WHEN g.k = 2 THEN INTERVAL 80 DAY ELSE INTERVAL 0 DAY END AS timestamp)
+FROM ({views.TXN_SQL}) t JOIN (SELECT event_id, least({SLICES - 1}, CAST(floor((epoch(ts) - lo) * {SLICES} / span) AS INT)) AS k
+  FROM events, (SELECT min(epoch(ts)) AS lo, max(epoch(ts)) - min(epoch(ts)) + 1 AS span FROM events)) g ON t.transaction_id = 'T' || lpad(CAST(g.event_id AS VARCHAR), 10, '0')"""}
+
+
+@register("stream_retention", with_ctes(FEAT, f"SELECT transaction_id, {_ROUNDED} FROM feat", _GAPS), nudge=True)
+def _retention(spark, d):
+    """Three bursts 40 days apart: rows leave the keyed state by event-time timers before the next one comes, and features are those of the whole history."""
+    t = views.txn(spark, d)
+    lo, hi = t.agg(F.min(F.unix_seconds("timestamp")), F.max(F.unix_seconds("timestamp"))).first()
+    k = F.least(F.lit(SLICES - 1), F.floor((F.unix_seconds("timestamp") - lo) * SLICES / (hi - lo + 1))).cast("int")
+    late = t.withColumn("timestamp", F.col("timestamp") + F.make_dt_interval(40 * k))
+    return _replay(spark, d, rows=late).results("features").select("transaction_id", *schemas.FEATURES)

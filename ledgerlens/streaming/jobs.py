@@ -1,7 +1,7 @@
 """Structured Streaming jobs: features, graph vectors, scores and alerts.
 
-The batch operators run unchanged inside ``foreachBatch`` on the new rows plus
-the state of the accounts and devices they touch.
+Features come from keyed state (``keyed``), which a micro-batch reads only for its own senders and devices. Graph vectors, scores
+and alerts are computed by the batch operators inside ``foreachBatch``, on the new rows plus the state tables.
 """
 
 from __future__ import annotations
@@ -14,18 +14,16 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.operators import fusion, graph
-from ledgerlens.operators.rolling import FeatureConfig, rolling_features, with_defaults
+from ledgerlens.operators.rolling import FeatureConfig, finish, with_defaults
 from ledgerlens.plans.scoring import Artefacts, score_rows
 from ledgerlens.session import cut_lineage
-from ledgerlens.streaming.state import BatchTable, fold_pairs, record_scores, retained
+from ledgerlens.streaming.keyed import LAST_ROWS, RETENTION_DAYS, with_state
+from ledgerlens.streaming.state import BatchTable, fold_pairs, record_scores, remove_folders, retained
 
-_HISTORY = ("transaction_id string, timestamp timestamp, amount double, sender_account string, receiver_account string, "
-            "device_id string, ip_address string, sender_country string, receiver_country string, sender_bank string, "
-            "receiver_bank string, transaction_type string, payment_channel string, transaction_status string, "
-            "geo_latitude double, geo_longitude double, kyc_level int, sender_balance_before double, is_international boolean")
 _PAIRS = "src string, dst string, timestamp timestamp, transaction_id string"
 _PEAKS = "community_id long, timestamp timestamp, transaction_id string, transaction_risk_score double"
 _MARK = "newest timestamp"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _schema(ddl: str) -> T.StructType:
@@ -48,10 +46,13 @@ class StreamingScorer:
     cfg: FeatureConfig = field(default_factory=FeatureConfig)
     lateness: str = "0 seconds"
     compact_every: int = 50
+    retention_days: int = RETENTION_DAYS
+    last_rows: int = LAST_ROWS
+    history: DataFrame | None = None
 
     def __post_init__(self) -> None:
         table = lambda name, ddl: BatchTable(self.spark, f"{self.root}/state/{name}", _schema(ddl))
-        self.history, self.pairs, self.edges = table("history", _HISTORY), table("pairs", _PAIRS), table("edges", _PAIRS)
+        self.pairs, self.edges = table("pairs", _PAIRS), table("edges", _PAIRS)
         self.peaks, self.marks = table("peaks", _PEAKS), table("marks", _MARK)
 
     def output(self, name: str) -> str:
@@ -61,12 +62,17 @@ class StreamingScorer:
         df.write.mode("overwrite").parquet(f"{self.output(name)}/batch_id={batch_id}")
 
     def warm_start(self, history: DataFrame) -> None:
-        """Load past transactions as the state before the first batch."""
-        self._remember(with_defaults(history), -1)
+        """Past transactions as the state before the first batch; call it before the first ``start``.
+
+        Senders start with what later features can depend on, written once as a snapshot that the keyed state takes over.
+        """
+        rows = with_defaults(history).dropDuplicates(["transaction_id"])
+        retained(rows, self.retention_days, self.last_rows).write.mode("overwrite").parquet(f"{self.root}/state/history")
+        self.history = self.spark.read.schema(rows.schema).parquet(f"{self.root}/state/history")
+        self._remember(rows, -1)
 
     def _remember(self, rows: DataFrame, batch_id: int) -> None:
         edges = graph.build_edges(rows)
-        self.history.write(rows, batch_id)
         self.edges.write(edges, batch_id)
         self.pairs.write(fold_pairs(edges), batch_id)
         self.marks.write(rows.agg(F.max("timestamp").alias("newest")), batch_id)
@@ -78,23 +84,6 @@ class StreamingScorer:
             return rows.limit(0)
         return rows.where(F.col("timestamp") < F.lit(newest) - F.expr(f"INTERVAL {self.lateness}"))
 
-    def features(self, rows: DataFrame, batch_id: int) -> DataFrame:
-        """Rolling features of the new rows from the state of their senders and devices.
-
-        Of the other users of a device only the first use counts, so a hot device
-        brings in one row per sender.
-        """
-        past = self.history.before(batch_id)
-        mine = past.join(rows.select("sender_account").distinct(), "sender_account", "left_semi")
-        devices = rows.where("device_id <> ''").select("device_id").distinct()
-        first = (past.join(devices, "device_id", "left_semi").groupBy("sender_account", "device_id")
-                 .agg(F.min(F.struct("timestamp", "transaction_id")).alias("f"))
-                 .select(F.col("f.transaction_id").alias("transaction_id")))
-        touched = (mine.unionByName(past.join(first, "transaction_id", "left_semi"))
-                   .dropDuplicates(["transaction_id"]))
-        both = cut_lineage(touched.select(*rows.columns).unionByName(rows))
-        return rolling_features(both, self.cfg, only=rows)
-
     def graph_vectors(self, rows: DataFrame, batch_id: int) -> DataFrame:
         """Degrees of the new edges from the dated edges of their ends, cycles from the earliest edge of each pair."""
         edges = graph.build_edges(rows)
@@ -125,32 +114,40 @@ class StreamingScorer:
         return every.join(new.select("transaction_id"), "transaction_id", "left_semi")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch: dedupe, list late rows, score all, emit, remember."""
-        unique = with_defaults(batch).dropDuplicates(["transaction_id"])
-        fresh = unique.join(self.history.before(batch_id).select("transaction_id"), "transaction_id", "left_anti")
-        rows = cut_lineage(fresh)
-        self._emit(self._late(rows, batch_id), "late", batch_id)
-        feats = cut_lineage(self.features(rows, batch_id))
+        """One micro-batch of rows with their window aggregates: list late rows, score all, emit, remember."""
+        # the stateful plan runs once, for this folder
+        self._emit(batch, "arrived", batch_id)
+        rows = self.spark.read.schema(batch.schema).parquet(f"{self.output('arrived')}/batch_id={batch_id}")
+        self._emit(self._late(with_defaults(rows), batch_id), "late", batch_id)
+        self._emit(finish(rows, self.cfg), "features", batch_id)
         vectors = cut_lineage(self.graph_vectors(rows, batch_id))
-        self._emit(feats, "features", batch_id)
         self._emit(vectors, "vectors", batch_id)
         if self.artefacts is not None:
-            scored = cut_lineage(score_rows(rows, feats, vectors, self.artefacts))
+            feats = self.spark.read.parquet(f"{self.output('features')}/batch_id={batch_id}")
+            scored = cut_lineage(score_rows(with_defaults(rows), feats, vectors, self.artefacts))
             self._emit(scored, "scored", batch_id)
             alerts = cut_lineage(self._alerts(scored, batch_id))
             self._emit(alerts, "alerts", batch_id)
             self.peaks.write(alerts, batch_id)
         self._remember(rows, batch_id)
+        remove_folders(self.spark, self.output("arrived"), batch_id)
         if self.compact_every and batch_id % self.compact_every == self.compact_every - 1:
-            self.history.compact(batch_id, retained)
             self.pairs.compact(batch_id, fold_pairs)
+            self.edges.compact(batch_id, lambda edges: edges)
             self.peaks.compact(batch_id, record_scores)
             self.marks.compact(batch_id, lambda marks: marks.agg(F.max("newest").alias("newest")))
 
     def start(self, stream: DataFrame, *, available_now: bool = False, every: str = "5 seconds") -> StreamingQuery:
-        writer = (stream.writeStream.foreachBatch(self.process)
-                  .option("checkpointLocation", f"{self.root}/checkpoint"))
-        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+        """Start, or go on from the checkpoint under ``root``."""
+        conf = self.spark.conf
+        before = conf.get(_PROVIDER)
+        conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # read when a query starts
+        try:
+            writer = (with_state(stream, self.history, self.retention_days, self.last_rows).writeStream.outputMode("append").foreachBatch(self.process)
+                      .option("checkpointLocation", f"{self.root}/checkpoint"))
+            return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+        finally:
+            conf.set(_PROVIDER, before)
 
     def results(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.output(name)).drop("batch_id")

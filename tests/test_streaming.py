@@ -8,7 +8,8 @@ from ledgerlens.plans import scoring
 from ledgerlens.schemas import FEATURES
 from ledgerlens.sources.readers import replay_stream
 from ledgerlens.streaming.jobs import StreamingScorer, ordered_stream, result_feed
-from ledgerlens.streaming.state import retained
+from ledgerlens.streaming.keyed import window_values
+from ledgerlens.streaming.state import batch_folders, retained
 from make import frame, tx
 from test_rolling import mixed_rows
 
@@ -33,6 +34,24 @@ def art(spark, rows):
     return scoring.fit_artefacts(frame(spark, rows), trees=20, dim=6, als_iterations=3)
 
 
+@pytest.fixture
+def no_empty_batches(spark):
+    """No last batch without rows that only moves the watermark on."""
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def fed(spark, job, *slices):
+    """Run the job over the slices, a file and a micro-batch each, after those it has seen."""
+    seen = len(batch_folders(spark, f"{job.root}/features"))
+    for i, rows in enumerate(slices):
+        frame(spark, rows).coalesce(1).write.parquet(f"{job.root}/in/part={seen + i}")
+    job.start(replay_stream(spark, f"{job.root}/in/*", schema=frame(spark, [tx(0)]).schema), available_now=True).awaitTermination()
+    return job
+
+
 def close(a, b, cols):
     left, right = ({r["transaction_id"]: r for r in df.select("transaction_id", *cols).collect()} for df in (a, b))
     assert left.keys() == right.keys()
@@ -41,16 +60,11 @@ def close(a, b, cols):
             assert left[k][c] == pytest.approx(right[k][c], rel=1e-6, abs=1e-6), (k, c)
 
 
-def test_micro_batches_equal_batch_scoring(spark, rows, art, tmp_path):
+def test_micro_batches_equal_batch_scoring(spark, rows, art, tmp_path, no_empty_batches):
     """Three files, three micro-batches, compaction after each; then a repeat of the last."""
-    root = str(tmp_path / "s")
-    cuts = [0, 50, 100, len(rows)]
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        # ties across a cut would be late or early depending on their ids
-        frame(spark, rows[a:b]).coalesce(1).write.parquet(f"{root}/in/part={i}")
-    job = StreamingScorer(spark, root, art, lateness="1 hour", compact_every=1)
-    q = job.start(replay_stream(spark, f"{root}/in/*", schema=frame(spark, rows[:1]).schema), available_now=True)
-    q.awaitTermination()
+    job = StreamingScorer(spark, str(tmp_path / "s"), art, lateness="1 hour", compact_every=1)
+    # ties across a cut would be late or early depending on their ids
+    fed(spark, job, rows[:50], rows[50:100], rows[100:])
     assert job.results("late").count() == 0
     all_rows = frame(spark, rows)
     close(job.results("features"), rolling_features(all_rows), FEATURES)
@@ -59,30 +73,79 @@ def test_micro_batches_equal_batch_scoring(spark, rows, art, tmp_path):
     batch = scoring.score_transactions(all_rows, art)
     close(job.results("scored"), batch, SCORES)
     close(job.results("alerts"), scoring.alerts_of(batch), ["transaction_risk_score", "group_risk_score"])
+    # the files of the state do not grow with the batches: the last two snapshots, no log below them
+    for table in ("pairs", "edges", "peaks", "marks"):
+        assert len(batch_folders(spark, f"{job.root}/state/{table}/snapshot")) == 2
+        assert batch_folders(spark, f"{job.root}/state/{table}/log") == [2]
+    assert batch_folders(spark, f"{job.root}/arrived") == [2]
 
     before = sorted(map(tuple, job.results("scored").select("transaction_id", *SCORES).collect()))
-    job.process(frame(spark, rows[100:]), 2)
-    assert sorted(map(tuple, job.results("scored").select("transaction_id", *SCORES).collect())) == before
+    for name in ("2", ".2.crc"):  # as if the driver had died before the last commit was written
+        (tmp_path / "s" / "checkpoint" / "commits" / name).unlink()
+    again = StreamingScorer(spark, job.root, art, lateness="1 hour", compact_every=1)
+    fed(spark, again)
+    assert sorted(map(tuple, again.results("scored").select("transaction_id", *SCORES).collect())) == before
 
 
 def test_late_and_repeated_rows(spark, tmp_path):
     job = StreamingScorer(spark, str(tmp_path / "l"), lateness="10 minutes")
     job.warm_start(frame(spark, [tx(0, 0), tx(1, 3600)]))
-    job.process(frame(spark, [tx(1, 3600), tx(2, 100), tx(3, 3300), tx(4, 4000), tx(4, 4000)]), 0)
-    assert {r["transaction_id"] for r in job.results("late").collect()} == {"T00002"}
-    assert {r["transaction_id"]: r["tx_velocity_6h"] for r in job.results("features").collect()} == {"T00002": 1, "T00003": 2, "T00004": 4}
+    fed(spark, job, [tx(1, 3600), tx(2, 100), tx(3, 3300), tx(4, 4000), tx(4, 4000)], [tx(4, 4000), tx(5, 50), tx(6, 4100)])
+    assert {r["transaction_id"] for r in job.results("late").collect()} == {"T00002", "T00005"}
+    assert {r["transaction_id"]: r["tx_velocity_6h"] for r in job.results("features").collect()} == {
+        "T00002": 1, "T00003": 2, "T00004": 4, "T00005": 1, "T00006": 6}
 
 
 def test_late_rows_see_only_what_precedes_them(spark, tmp_path):
-    job = StreamingScorer(spark, str(tmp_path / "d"))
     edge = lambda i, s, a, b: tx(i, s, sender_account=a, receiver_account=b)
-    job.process(frame(spark, [edge(0, 0, "a", "b"), edge(1, 3600, "a", "c"), edge(2, 7200, "c", "a")]), 0)
-    job.process(frame(spark, [edge(3, 1800, "a", "d"), edge(4, 9000, "a", "b")]), 1)
+    job = fed(spark, StreamingScorer(spark, str(tmp_path / "d")), [edge(0, 0, "a", "b"), edge(1, 3600, "a", "c"), edge(2, 7200, "c", "a")],
+              [edge(3, 1800, "a", "d"), edge(4, 9000, "a", "b")])
     got = {r["transaction_id"]: r for r in job.results("vectors").collect()}
     assert (got["T00003"]["sender_out_degree"], got["T00003"]["sender_in_degree"], got["T00003"]["cycle_length"]) == (2, 0, 0)
     assert (got["T00004"]["sender_out_degree"], got["T00004"]["sender_in_degree"], got["T00004"]["sender_out_degree_unique"]) == (4, 1, 3)
 
 
+def test_shared_devices_and_late_first_uses(spark, tmp_path):
+    """A late row may turn out to be a sender's first use; empty devices are shared by nobody."""
+    use = lambda i, at, s, d="X": tx(i, at, s, device_id=d)
+    job = fed(spark, StreamingScorer(spark, str(tmp_path / "v")), [use(0, 0, "A"), use(1, 100, "B"), use(2, 7300, "C"), use(3, 7400, "A", "")],
+              [use(4, 50, "C"), use(5, 7350, "D"), use(6, 7500, "B"), use(7, 7600, "D", "")])
+    got = {r["transaction_id"]: (r["shared_device_count"], r["new_device_flag"]) for r in job.results("features").collect()}
+    assert got == {"T00000": (0, 1), "T00001": (1, 1), "T00002": (2, 1), "T00003": (0, 1), "T00004": (1, 1), "T00005": (3, 1), "T00006": (4, 0), "T00007": (0, 1)}
+
+
+def test_old_rows_leave_the_state(spark, tmp_path):
+    """Event-time timers: rows over 35 days old go, but for the last ones; features of what comes later are those of the whole history."""
+    day = 86_400
+    slices = [[tx(20 * m + i, m * 40 * day + i * 3000, "AB"[i % 2], device_id=f"D{i % 3}", amount=1000 * (i + m)) for i in range(20)] for m in range(4)]
+    job = fed(spark, StreamingScorer(spark, str(tmp_path / "o"), last_rows=6), *slices)
+    every = frame(spark, [r for part in slices for r in part])
+    close(job.results("features"), rolling_features(every), [f for f in FEATURES if f != "benford_chi2_score"])
+    state = spark.read.format("statestore").option("operatorId", 1).option("stateVarName", "rows").option("flattenCollectionTypes", True).load(f"{job.root}/checkpoint")
+    kept = {r[0]: r[1] for r in state.groupBy("key.sender_account").count().collect()}
+    # a timer fires in the batch after the one that moved the watermark past it
+    assert set(kept) == {"A", "B"} and all(n <= 6 + 10 for n in kept.values())
+
+
+def test_window_values_equal_a_plain_scan():
+    rnd = random.Random(5)
+    country, us = ["IN", "AE"], 1_000_000
+    rows = sorted((rnd.randrange(0, 40 * 86_400, 500) * us, f"T{i:04d}", rnd.choice([5.0, 7.5, 1e6]), rnd.randint(1, 9), rnd.randint(0, 1), rnd.randint(0, 1),
+                   rnd.randint(0, 1), rnd.choice("xyz"), rnd.choice("de"), rnd.choice("pq"), rnd.choice(country), 1.0, 2.0) for i in range(300))
+    got = window_values(rows, {i: "IN" for i in range(300)}, set())
+    for i, r in enumerate(rows):
+        w = lambda days: [x for x in rows[:i] if x[0] >= r[0] - days * 86_400 * us]
+        seven, thirty = w(7), w(30)
+        mean = sum(x[2] for x in seven) / len(seven) if seven else None
+        assert got[i][3:5] == (len(seven), len(thirty))
+        assert got[i][5] == (pytest.approx(mean) if seven else None)
+        assert got[i][7:9] == ((max(x[2] for x in seven), min(x[2] for x in seven)) if seven else (None, None))
+        assert got[i][13:17] == (len({x[7] for x in seven}), len({x[7] for x in thirty}), len({x[8] for x in seven}), len({x[9] for x in w(1)}))
+        assert got[i][17] == (sum(a[10] != b[10] for a, b in zip(seven, seven[1:])) if seven else None)
+        assert got[i][19] == sum(x[10] != "IN" for x in thirty)
+        assert got[i][23:32] == tuple(sum(x[3] == d for x in rows[max(0, i - 200) : i]) for d in range(1, 10))
+
+
 def test_retention_keeps_what_features_need(spark):
     rows = rows_of(200)
     kept = retained(frame(spark, rows[:150]), last_rows=20)
