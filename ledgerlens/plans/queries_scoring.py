@@ -36,16 +36,29 @@ def _knn(spark, d):
     return anomaly.knn(v, v, 20, skip_self=True).select("id", "rank", "dist")
 
 
-@register("lof_scores", with_ctes(["dd"], """, q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS r FROM dd),
+_LOF = """, q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS r FROM dd),
 rr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nb) AS r FROM dd WHERE id <> nb),
 kd AS (SELECT id AS nb, max(dist) AS k FROM rr WHERE r <= 50 GROUP BY 1),
-den AS (SELECT id AS nb, 1 / (avg(greatest(k, dist)) + 1e-10) AS lrd FROM rr JOIN kd USING (nb) WHERE r <= 50 GROUP BY 1)
-SELECT id, round(-avg(lrd) / (1 / (avg(greatest(k, dist)) + 1e-10)), 4) AS lof_raw FROM q JOIN kd USING (nb) JOIN den USING (nb) WHERE r <= 50 GROUP BY id"""))
+den AS (SELECT id AS nb, 1 / (avg(greatest(k, dist)) + 1e-10) AS lrd FROM rr JOIN kd USING (nb) WHERE r <= 50 GROUP BY 1),
+raw AS (SELECT id, -avg(lrd) / (1 / (avg(greatest(k, dist)) + 1e-10)) AS lof_raw FROM q JOIN kd USING (nb) JOIN den USING (nb) WHERE r <= 50 GROUP BY id)"""
+
+
+@register("lof_scores", with_ctes(["dd"], f"{_LOF} SELECT id, round(lof_raw, 4) AS lof_raw FROM raw"))
 def _lof(spark, d):
     v = vectors(spark, d)
     return anomaly.lof_score_samples(v, anomaly.fit_lof(v, 50))
 
 
+@register("lof_score_bands", with_ctes(["dd"], f"""{_LOF}, c AS (SELECT quantile_cont(lof_raw, 0.5) AS p50, quantile_cont(lof_raw, 0.05) AS p05 FROM raw)
+SELECT id, round(least(100, greatest(0, (p50 - lof_raw) / coalesce(nullif(p50 - p05, 0), 1e-9) * 100)), 3) AS lof_score FROM raw, c"""), digits=3)
+def _lof_score(spark, d):
+    """The outlier factor as 0 to 100, calibrated on its own percentiles."""
+    v = vectors(spark, d)
+    raw = cut_lineage(anomaly.lof_score_samples(v, anomaly.fit_lof(v, 50)))
+    c = anomaly.calibration_percentiles(raw, "lof_raw").first()
+    return raw.select("id", anomaly.lof_score(F.col("lof_raw"), c["p50"], c["p05"]).alias("lof_score"))
+
+
 @register("calibration_percentiles", """SELECT round(quantile_cont(value, 0.05), 4) AS p05, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95,
  round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM events""")
 def _calibration(spark, d):

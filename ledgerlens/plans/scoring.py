@@ -26,6 +26,9 @@ class Artefacts:
     projection: anomaly.Projection
     ae_p50: float
     ae_p95: float
+    lof: anomaly.LofModel
+    lof_p50: float
+    lof_p05: float
 
 
 def model_rows(matrix: DataFrame, scaler: profiles.Scaler) -> DataFrame:
@@ -34,11 +37,12 @@ def model_rows(matrix: DataFrame, scaler: profiles.Scaler) -> DataFrame:
 
 
 def fit_artefacts(history: DataFrame, cfg: FeatureConfig = FeatureConfig(), *, sample_rows: int | None = None, trees: int = 200,
-                  dim: int = 64, als_iterations: int = 10) -> Artefacts:
+                  dim: int = 64, als_iterations: int = 10, lof_rows: int | None = 10_000, lof_k: int = 50) -> Artefacts:
     """Offline pass over the history: graph tables, detectors and account vectors.
 
     Scaler, projection and percentiles are fitted on all normal rows, or with ``sample_rows`` on so many of
-    them, drawn by hash; the forest's trees draw their own small samples in either case.
+    them, drawn by hash; the forest's trees draw their own small samples in either case. The outlier factor compares with
+    ``lof_rows`` training rows drawn by hash (None: with all) and is calibrated on as many held-out ones.
     """
     edges = graph.build_edges(history)
     gf = cut_lineage(graph_features(edges))
@@ -57,21 +61,27 @@ def fit_artefacts(history: DataFrame, cfg: FeatureConfig = FeatureConfig(), *, s
     projection = anomaly.fit_pca(train)
     errors = held_out.select(anomaly.reconstruction_error(projection).alias("e"))
     cal = anomaly.calibration_percentiles(errors, "e").first()
+    few = (lambda df: df) if lof_rows is None else (lambda df: cut_lineage(profiles.sample_transactions(df, lof_rows)))
+    lof = anomaly.fit_lof(few(train), lof_k, "transaction_id")
+    tail = anomaly.calibration_percentiles(anomaly.lof_score_samples(few(held_out), lof, "transaction_id"), "lof_raw").first()
     return Artefacts(
         gf, cut_lineage(communities.normalised_community_risk(prof)), prof,
         cut_lineage(pairs.account_embeddings(edges, dim, als_iterations)), scaler, forest,
-        anomaly.isolation_offset(train, forest), projection, cal["p50"] or 0.0, cal["p95"] or 0.0)
+        anomaly.isolation_offset(train, forest), projection, cal["p50"] or 0.0, cal["p95"] or 0.0,
+        lof, tail["p50"] or 0.0, tail["p05"] or 0.0)
 
 
 def behavioural_scores(features: DataFrame, art: Artefacts) -> DataFrame:
-    rows = model_rows(profiles.training_matrix(features, art.graph_features), art.scaler)
+    rows = cut_lineage(model_rows(profiles.training_matrix(features, art.graph_features), art.scaler))
+    near = anomaly.lof_score_samples(rows, art.lof, "transaction_id").withColumnRenamed("id", "transaction_id")
     raw = rows.select("transaction_id", profiles.top_drivers(profiles.MODEL_COLUMNS).alias("anomaly_drivers"),
                       anomaly.isolation_score_samples(art.forest).alias("iso_raw"),
-                      anomaly.reconstruction_error(art.projection).alias("autoencoder_recon_error"))
+                      anomaly.reconstruction_error(art.projection).alias("autoencoder_recon_error")).join(near, "transaction_id", "left")
     iso = anomaly.isolation_score(F.col("iso_raw"), art.iso_offset)
     ae = anomaly.reconstruction_score(F.col("autoencoder_recon_error"), art.ae_p50, art.ae_p95)
-    return raw.select("transaction_id", "anomaly_drivers", iso.alias("iso_forest_score"), "autoencoder_recon_error",
-                      ae.alias("autoencoder_score"), anomaly.ensemble_score(iso, F.lit(0.0), ae).alias("ensemble_anomaly_score"))
+    lof = F.coalesce(anomaly.lof_score(F.col("lof_raw"), art.lof_p50, art.lof_p05), F.lit(0.0))
+    return raw.select("transaction_id", "anomaly_drivers", iso.alias("iso_forest_score"), "autoencoder_recon_error", "lof_raw",
+                      lof.alias("lof_score"), ae.alias("autoencoder_score"), anomaly.ensemble_score(iso, lof, ae).alias("ensemble_anomaly_score"))
 
 
 def score_rows(txn: DataFrame, feats: DataFrame, vector: DataFrame, art: Artefacts) -> DataFrame:
