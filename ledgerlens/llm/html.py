@@ -3,16 +3,19 @@
 A page is read into a tree of block and inline elements (unclosed and misplaced tags as
 browsers treat them, roughly). Chrome - scripts, styles, menus, headers, footers, sidebars, forms,
 notices, adverts, reader comments - is recognised by tag, role or class and left out. A class or
-id is a hint only: an article, a main element and what holds most of the page's points (with no
+id is a hint only, and so are a form, a dialog and a header: an article, a main element and what holds most of the page's points (with no
 article's text outside) stay, and a name of several words must begin or end with a word of chrome,
-without has-, no- or the like, and its element have few points or many links. Each
+without has-, no- or the like, and its element have few points or many links. Of a header inside an article its headings stay. Each
 paragraph passes points, one and more for its length and commas, to its ancestors: all to the
 parent, less with each level; a container's points are discounted by the share of its
 text inside links. The best container is kept with those siblings that read like its text;
-inside an article (or main) element the whole element is the container.
+inside an article (or main) element the whole element is the container. Beside it stay, unless mostly links, other articles that are not
+named as chrome, and, in a main element or where there is no article at all, paragraphs, lists, tables, sections and
+whatever has enough points. Of containers of equal worth the first is the best.
 
 The text has one line per block, in page order; character references are decoded and white
-space inside a block becomes one space. Null, empty and textless pages give the empty text.
+space inside a block becomes one space. Null, empty and textless pages give the empty text; repeated rows give the same
+text each; an empty table gives an empty one; other columns are ignored.
 Pages are read whole; nesting of any depth is handled without recursion.
 """
 
@@ -41,8 +44,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tr": {"table"}, "option": {"select"}}
 
 #: What is never main text: by tag, by role, by a word of class or id.
-CHROME_TAGS = set("script style noscript template head title nav header footer aside form button select textarea input iframe svg canvas object dialog menu noembed noframes xmp".split())
-CHROME_ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
+CHROME_TAGS = set("script style noscript template head title nav footer aside button select textarea input iframe svg canvas object menu noembed noframes xmp".split())
+CHROME_ROLES = set("navigation banner contentinfo complementary search alert menu menubar toolbar".split())
+#: Chrome, unless most of the page's text is in it.
+MOSTLY_TAGS, MOSTLY_ROLES = set("form dialog header".split()), set("form dialog".split())
 CHROME_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent notice popup modal overlay subscribe newsletter signup login share sharing social related recommended widget comment comments commentlist disqus replies respond".split())
 #: A name with one of these speaks of chrome that is elsewhere or absent.
 ABOUT = set("has no not with without".split())
@@ -52,6 +57,9 @@ WHOLE = ("article", "main")
 PER_CHARS, MOST_FOR_LENGTH = 100, 3
 #: Blocks that give no points.
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "th", "dt")
+TITLES = HEADINGS[:6]
+#: Siblings that stay whatever their points.
+RUNNING = {*TITLES, "p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure", "section", "hgroup"}
 #: Share of the best container's points from which a sibling is kept.
 SIBLING_SHARE = 0.2
 MAX_LINK_SHARE = 0.5
@@ -62,13 +70,14 @@ MOST_LEVELS = 64
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chrome", "hint", "points", "chars", "linked", "article")
+    __slots__ = ("tag", "parent", "items", "chrome", "hint", "points", "chars", "linked", "article", "named")
 
     def __init__(self, tag: str, parent: Node | None, chrome: bool):
         self.tag, self.parent, self.chrome, self.hint = tag, parent, chrome, ""
         self.items: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
         self.article = tag if tag in WHOLE else None
+        self.named = ""
 
 
 def named_chrome(value: str) -> str:
@@ -89,16 +98,18 @@ def chrome_of(tag: str, attributes: str) -> tuple[bool, str]:
     """Whether an element is chrome whatever it holds, and else what its names hint at."""
     if tag in CHROME_TAGS:
         return True, ""
+    hint = "whole" if tag in MOSTLY_TAGS else ""
     if tag in ("html", "body") or not attributes.strip():
-        return False, ""
-    hint = ""
+        return False, hint
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True, ""
         if name == "role" and value in CHROME_ROLES:
             return True, ""
-        if name in ("class", "id") and tag not in WHOLE:
+        if name == "role" and value in MOSTLY_ROLES:
+            hint = "whole"
+        if name in ("class", "id"):
             hint = max(hint, named_chrome(value))  # "whole" is the greater
     return False, hint
 
@@ -106,7 +117,7 @@ def chrome_of(tag: str, attributes: str) -> tuple[bool, str]:
 def is_chrome(tag: str, attributes: str) -> bool:
     """Whether an element's tag or attributes speak of chrome."""
     sure, hint = chrome_of(tag, attributes)
-    return sure or hint != ""
+    return sure or (hint != "" and tag not in WHOLE)
 
 
 def parse(page: str) -> Node:
@@ -153,7 +164,7 @@ def parse(page: str) -> Node:
             continue
         sure, hint = chrome_of(tag, m[3] or "")
         node = Node(tag, here, here.chrome or sure)
-        node.hint = hint
+        node.hint, node.named = ("", hint) if tag in WHOLE else (hint, hint)
         here.items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
@@ -215,6 +226,27 @@ def points_of(text: str) -> int:
     return 1 + text.count(",") + min(MOST_FOR_LENGTH, len(text) // PER_CHARS)
 
 
+def within(node: Node, tags: tuple[str, ...]) -> bool:
+    """Whether an element stands inside one of these."""
+    up = node.parent
+    while up is not None and up.tag not in tags:
+        up = up.parent
+    return up is not None
+
+
+def titles(top: Node) -> list[Node]:
+    """Headings inside an element that no chrome holds, in page order."""
+    out, stack = [], [*reversed(top.items)]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, Node) and not node.chrome:
+            if node.tag in TITLES:
+                out.append(node)
+            else:
+                stack += reversed(node.items)
+    return out
+
+
 def settle(root: Node) -> None:
     """Mark the elements that their names make chrome, as their points and links allow."""
     sums: dict[int, list] = {}  # element, points, those in articles, characters, those inside links
@@ -240,6 +272,8 @@ def settle(root: Node) -> None:
         if points > total * MOST_SHARE and inside == in_articles:
             continue
         node.chrome = node.hint == "whole" or points <= FEW or linked > MAX_LINK_SHARE * chars
+        if node.chrome and node.tag == "header" and within(node, WHOLE):
+            node.items, node.chrome = titles(node), False
 
 
 def extract(page: str) -> str:
@@ -275,14 +309,18 @@ def extract(page: str) -> str:
         if up.article == "article" or (up.article and top is None):
             top = up
         up = up.parent
-    kept = [top] if top is not None else [best]
-    if top is None and best.parent is not None:
-        for item in best.parent.items:
-            if isinstance(item, Node) and item is not best and not item.chrome and item.chars:
-                share = item.linked / item.chars
-                heading = item.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-                if share <= MAX_LINK_SHARE and (heading or item.tag in ("p", "pre", "blockquote") or worth(item) >= SIBLING_SHARE * worth(best)):
-                    kept.append(item)
+    base = top or best
+    kept = [base]
+    beside = top is None or (base.tag == "article" and within(base, ("main",)))
+    for item in base.parent.items if base.parent is not None else []:
+        if not isinstance(item, Node) or item is base or item.chrome or not item.chars or item.linked > MAX_LINK_SHARE * item.chars:
+            continue
+        if item.tag in WHOLE:
+            keep = not item.named
+        else:
+            keep = beside and (item.tag in RUNNING or worth(item) >= SIBLING_SHARE * worth(best))
+        if keep:
+            kept.append(item)
     inside = below(kept)
     return "\n".join(text for block, text, _ in found if id(block) in inside)
 

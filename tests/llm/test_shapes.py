@@ -200,6 +200,62 @@ def test_layout_classes_keep_the_article():
         assert html.extract(f"<article>{body}</article>{chrome}") == text, chrome
 
 
+def test_text_is_not_lost_with_its_wrapper():
+    """Forms and dialogs around the text, headings of an article's header, sibling articles, leads and short sections."""
+    line = lambda i: f"Line {i} of the text, with commas, and long enough to count for more than a word or two, as it is prose, not a menu."
+    menu = "<nav><a href=1>one</a> <a href=2>two</a></nav>"
+    body = "".join(f"<p>{line(i)}</p>" for i in range(3))
+    text = "\n".join(line(i) for i in range(3))
+    for opening in ("form action=x", "div role=dialog", "dialog open", "div role=form", "header"):
+        assert html.extract(f"<body>{menu}<{opening}>{body}</{opening.split()[0]}></body>") == text, opening
+    assert html.extract(f"<body><header><h1>Site</h1></header><article><header><h1>Head</h1><p>by me, today</p></header>{body}</article>") == "Head\n" + text
+    two = f"<article>{body}</article><article><p>{line(8)}</p></article>"
+    for parent in ("main", "div", "body"):
+        assert html.extract(f"<{parent}>{menu}{two}</{parent}>") == text + "\n" + line(8), parent
+    assert html.extract(f"<main><p>A lead.</p><article>{body}</article></main>") == "A lead.\n" + text
+    assert html.extract(f"<div><section>{body}</section><section><p>Short.</p></section></div>") == text + "\nShort."
+    # what is no part of the text goes as before
+    assert html.extract(f"<main><article>{body}</article><article class=comment>{body}</article><article><a href=1>{line(9)}</a></article><form><p>mail, please</p></form></main>") == text
+    assert html.extract(f"<body><article>{body}</article><p>(c) us</p></body>") == text
+
+
+def plain_scores(page):
+    """Points of every element by walking the tree from each paragraph up, and the containers in order of worth."""
+    root = html.parse(page)
+    html.settle(root)
+    points, chars, linked, seen = {}, {}, {}, []
+    for block, words, inside in html.blocks(root):
+        path, node = [], block
+        while node is not None:
+            path.append(node)
+            node = node.parent
+        for node in path:
+            chars[id(node)] = chars.get(id(node), 0) + len(words)
+            linked[id(node)] = linked.get(id(node), 0) + inside
+        if block.tag not in html.HEADINGS:
+            skip = block.tag in ("p", "pre", "blockquote", "td", "li", "dd") and block.parent is not None
+            for level, node in enumerate(path[skip:][:7]):
+                points[id(node)] = points.get(id(node), 0) + html.points_of(words) / 2**level
+                seen.append(node)
+    worth = lambda n: points[id(n)] * (1 - linked[id(n)] / max(1, chars[id(n)]))
+    return seen, worth
+
+
+def test_best_container_equals_a_plain_scorer():
+    """Random pages without articles: the text holds the best container's, found by a plain walk."""
+    r = random.Random(9)
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(2, 6)):
+            inner = "".join(f"<{t}>{'word, ' * r.randint(1, 60)}{'<a href=1>link text</a>' * r.randint(0, 3)}</{t}>" for t in r.choices(["p", "li", "h2", "blockquote"], k=r.randint(1, 5)))
+            parts.append(f"<div><div>{inner}</div></div>" if r.random() < 0.5 else f"<div>{inner}</div>")
+        page = f"<body>{''.join(parts)}</body>"
+        seen, worth = plain_scores(page)
+        best = max(seen, key=worth)
+        if sum(worth(n) == worth(best) for n in {id(n): n for n in seen}.values()) == 1:
+            assert "\n".join(t for _, t, _ in html.blocks(best)) in html.extract(page)
+
+
 def test_unpaired_quotes_take_linear_time():
     assert html.extract("<p>text</p><a " + "\"' " * 20_000) == "text"
     assert html.extract("<a title=\"x>" * 2_000 + "<p>text</p>") in ("text", "")
