@@ -227,22 +227,55 @@ def earliest_returns(edges: DataFrame) -> DataFrame:
     return hop1.union(hop2).union(hop3).groupBy("src", "dst").agg(at(1), at(2), at(3))
 
 
+def deep_returns(known: DataFrame, wanted: DataFrame, max_depth: int) -> DataFrame:
+    """(src, dst, hops, t) for return paths of 4 to ``max_depth`` edges: when a path dst -> ... -> src of that many edges first exists.
+
+    ``wanted`` (src, dst, timestamp, transaction_id) are the transactions that no shorter path closes. From the receivers of those alone a
+    frontier moves on along collapsed edges, one hop a round; a label is the earliest time at which its path is complete. Only labels that
+    have become earlier move on, and none that is later than the last wanted transaction of its start.
+    """
+    pairs = cut_lineage(known.where("src <> dst").groupBy("src", "dst").agg(F.min(_key()).alias("f")))
+    ends = wanted.select("src", "dst").distinct()
+    starts = wanted.groupBy(F.col("dst").alias("start")).agg(F.max(_key()).alias("latest"))
+    frontier = cut_lineage(pairs.join(starts, F.col("src") == F.col("start")).where("f < latest")
+                           .select("start", "latest", F.col("dst").alias("node"), F.col("f").alias("t")))
+    best, found = frontier, None
+    for hops in range(2, max_depth + 1):
+        step = (frontier.join(pairs, F.col("node") == F.col("src")).where("dst <> start")
+                .select("start", "latest", F.col("dst").alias("node"), F.greatest("t", "f").alias("t")).where("t < latest")
+                .groupBy("start", "latest", "node").agg(F.min("t").alias("t")))
+        old = best.select("start", "node", F.col("t").alias("before"))
+        frontier = cut_lineage(step.join(old, ["start", "node"], "left").where("before IS NULL OR t < before").drop("before"))
+        best = cut_lineage(best.unionByName(frontier).groupBy("start", "latest", "node").agg(F.min("t").alias("t")))
+        if hops > 3:
+            hit = frontier.select(F.col("start").alias("dst"), F.col("node").alias("src"), F.lit(hops).alias("hops"), "t").join(ends, ["src", "dst"], "left_semi")
+            found = hit if found is None else found.unionByName(hit)
+    return found
+
+
 def cycle_closure(edges: DataFrame, max_depth: int = 3, earlier: DataFrame | None = None) -> DataFrame:
     """Per transaction: does its edge close a path of at most ``max_depth`` earlier
     edges, and the cycle length (hops + 1; 1 for a self-transfer; 0 for none).
 
-    ``earlier`` adds edges of the past that may lie on the path.
+    ``earlier`` adds edges of the past that may lie on the path. Paths of up to three edges are joined from half paths; longer ones are
+    looked for only where no shorter one closes the transaction.
     """
-    if not 1 <= max_depth <= 3:
-        raise ValueError("max_depth must be 1, 2 or 3")
+    if max_depth < 1:
+        raise ValueError("max_depth must be at least 1")
     cols = ["transaction_id", "timestamp", "src", "dst"]
     known = edges.select(*cols) if earlier is None else edges.select(*cols).unionByName(earlier.select(*cols))
     j = edges.select(*cols).join(earliest_returns(known), ["src", "dst"], "left")
     length = F.when(F.col("src") == F.col("dst"), 1)
-    for h in range(1, max_depth + 1):
+    for h in range(1, min(max_depth, 3) + 1):
         length = length.when(F.col(f"t{h}") < _key(), h + 1)
-    length = length.otherwise(0)
-    return j.select("transaction_id", (length > 0).alias("edge_creates_cycle"), length.alias("cycle_length"))
+    short = j.withColumn("cycle_length", length.otherwise(0))
+    if max_depth > 3:
+        short = cut_lineage(short.select(*cols, "cycle_length"))
+        left = short.where("cycle_length = 0")
+        deep = deep_returns(known, left, max_depth)
+        closed = left.join(deep, ["src", "dst"]).where(F.col("t") < _key()).groupBy("transaction_id").agg((F.min("hops") + 1).alias("longer"))
+        short = short.join(closed, "transaction_id", "left").withColumn("cycle_length", F.coalesce("longer", "cycle_length"))
+    return short.select("transaction_id", (F.col("cycle_length") > 0).alias("edge_creates_cycle"), "cycle_length")
 
 
 def as_of_degrees(edges: DataFrame, slot_seconds: int = HOUR, earlier: DataFrame | None = None) -> DataFrame:
@@ -278,16 +311,60 @@ def as_of_degrees(edges: DataFrame, slot_seconds: int = HOUR, earlier: DataFrame
         r(F.col("o")).alias("receiver_out_degree"))
 
 
+def as_of_neighbourhoods(edges: DataFrame, max_nodes: int = 20, max_edges: int = 30) -> DataFrame:
+    """Per transaction, right after its edge is added: the first ``max_nodes`` accounts that came within two undirected hops of
+    its sender (``two_hop_neighborhood``), and the first ``max_edges`` edges at the sender, outgoing before incoming
+    (``two_hop_edge_list``: u, v, ts, amount).
+
+    An account comes within two hops when the later edge of its earliest path appears; ties go by that path's second edge, then by
+    id. In this order what was there at any time is a prefix of what is there in the end, so one short list per account answers
+    every transaction: no range join, and an account passes on only its first ``max_nodes + 1`` neighbours. A hub's lists are cut before
+    its rows meet.
+    """
+    sent = edges.select(F.col("src").alias("account_id")).distinct()
+    of = lambda df: df.join(sent, "account_id", "left_semi")
+
+    e = F.struct(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("timestamp").alias("ts"), "amount")
+    side = lambda key, d: edges.select(F.col(key).alias("account_id"), F.lit(d).alias("dir"), _key().alias("k"), e.alias("e"))
+    w = Window.partitionBy("account_id", "dir").orderBy("k")
+    few = of(side("src", 0).unionByName(side("dst", 1))).withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_edges)
+    near_edges = few.groupBy("account_id").agg(F.sort_array(F.collect_list(F.struct("dir", "k", "e"))).alias("near_edges"))
+
+    both = edges.where("src <> dst").select(F.explode(F.array(
+        F.struct(F.col("src").alias("node"), F.col("dst").alias("nb")), F.struct(F.col("dst").alias("node"), F.col("src").alias("nb")))).alias("x"), _key().alias("k"))
+    pairs = cut_lineage(both.groupBy("x.node", "x.nb").agg(F.min("k").alias("f")))
+    by_time = Window.partitionBy("mid").orderBy("f2", "nb")
+    heads = (pairs.select(F.col("node").alias("mid"), "nb", F.col("f").alias("f2")).withColumn("r", F.row_number().over(by_time))
+             .where(F.col("r") <= max_nodes + 1).drop("r"))
+    mine = of(pairs.withColumnRenamed("node", "account_id"))
+    reach = lambda at, then: F.struct(at.alias("reach"), then.alias("then"), F.col("nb"))
+    one = mine.select("account_id", "nb", reach(F.col("f"), F.col("f")).alias("k"))
+    two = (mine.select("account_id", F.col("nb").alias("mid"), "f").join(heads, "mid").where("nb <> account_id")
+           .select("account_id", "nb", reach(F.greatest("f", "f2"), F.col("f2")).alias("k")))
+    ranked = (one.unionByName(two).groupBy("account_id", "nb").agg(F.min("k").alias("k"))
+              .withColumn("r", F.row_number().over(Window.partitionBy("account_id").orderBy("k"))).where(F.col("r") <= max_nodes))
+    near_nodes = ranked.groupBy("account_id").agg(F.sort_array(F.collect_list("k")).alias("near_nodes"))
+
+    now = edges.select("transaction_id", F.col("src").alias("account_id"), _key().alias("now"))
+    known = now.join(near_edges, "account_id").join(near_nodes, "account_id", "left")
+    upto = lambda items, at: F.filter(items, lambda x: x[at] <= F.col("now"))
+    nodes = F.transform(upto("near_nodes", "reach"), lambda x: x["nb"])
+    return known.select(
+        "transaction_id", F.coalesce(nodes, F.array().cast("array<string>")).alias("two_hop_neighborhood"),
+        F.transform(F.slice(upto("near_edges", "k"), 1, max_edges), lambda x: x["e"]).alias("two_hop_edge_list"))
+
+
 def live_graph_vector(txn: DataFrame, graph_features: DataFrame | None = None,
-                      community_risk: DataFrame | None = None) -> DataFrame:
+                      community_risk: DataFrame | None = None, neighbourhoods: bool = False) -> DataFrame:
     """Graph vector of every transaction as of its own time.
 
     Degrees and cycles come from earlier edges; centralities, communities and
     community risk are looked up in the offline tables, with the defaults of an
-    unknown account when absent.
+    unknown account when absent. ``neighbourhoods`` adds the lists of ``as_of_neighbourhoods``.
     """
     edges = build_edges(txn)
-    return look_up_graph(edges, as_of_degrees(edges), cycle_closure(edges), graph_features, community_risk)
+    vector = look_up_graph(edges, as_of_degrees(edges), cycle_closure(edges), graph_features, community_risk)
+    return vector.join(as_of_neighbourhoods(edges), "transaction_id") if neighbourhoods else vector
 
 
 def look_up_graph(edges: DataFrame, degrees_now: DataFrame, cycles: DataFrame, graph_features: DataFrame | None,

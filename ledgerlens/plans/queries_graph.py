@@ -419,3 +419,66 @@ def _paths_of(spark, d):
     top = C.list_communities(profiles, 40.0, 1).first()
     found = C.suspicious_paths(e, gf, profiles, max_paths=20, entry_nodes=5)
     return C.paths_of(found, top["community_id"] if top else None)
+
+
+# ---------------------------------------------------------------- the whole live vector
+
+# Positions in the total order of edges; accounts by when they came within two hops; edges at the sender, outgoing first.
+CTES["placed"] = "SELECT *, row_number() OVER (ORDER BY timestamp, transaction_id) AS k FROM edges"
+CTES["firsts"] = "SELECT node, nb, min(k) AS f FROM (SELECT src AS node, dst AS nb, k FROM placed WHERE src <> dst UNION ALL SELECT dst, src, k FROM placed WHERE src <> dst) GROUP BY 1, 2"
+CTES["reached"] = """SELECT v, w, min({'a': t1, 'b': t2}) AS o FROM (SELECT node AS v, nb AS w, f AS t1, f AS t2 FROM firsts
+ UNION ALL SELECT a.node, b.nb, greatest(a.f, b.f), b.f FROM firsts a JOIN firsts b ON a.nb = b.node WHERE a.node <> b.nb) GROUP BY 1, 2"""
+CTES["around"] = """SELECT transaction_id, string_agg(w, '|' ORDER BY r) FILTER (WHERE r <= 20) AS two_hop_neighborhood FROM (
+ SELECT p.transaction_id, q.w, row_number() OVER (PARTITION BY p.transaction_id ORDER BY q.o, q.w) AS r FROM placed p JOIN reached q ON q.v = p.src AND q.o.a <= p.k) GROUP BY 1"""
+CTES["beside"] = """SELECT transaction_id, string_agg(e, '|' ORDER BY r) AS two_hop_edge_list, sum(amount) AS amounts FROM (
+ SELECT p.transaction_id, q.src || '>' || q.dst || '@' || epoch_us(q.timestamp) AS e, q.amount, row_number() OVER (PARTITION BY p.transaction_id ORDER BY q.d, q.k) AS r
+ FROM placed p JOIN (SELECT *, src AS a, 0 AS d FROM placed UNION ALL SELECT *, dst, 1 FROM placed) q ON q.a = p.src AND q.k <= p.k) WHERE r <= 30 GROUP BY 1"""
+_LISTS = ["placed", "firsts", "reached", "around", "beside"]
+
+
+def _listed(df):
+    item = lambda x: F.concat(x["u"], F.lit(">"), x["v"], F.lit("@"), F.unix_micros(x["ts"]))
+    return df.withColumns({"amounts": F.aggregate("two_hop_edge_list", F.lit(0.0), lambda s, x: s + x["amount"]),
+                           "two_hop_edge_list": F.array_join(F.transform("two_hop_edge_list", item), "|")})
+
+
+@register("as_of_neighbourhoods", with_ctes(E + _LISTS, "SELECT transaction_id, coalesce(two_hop_neighborhood, '') AS two_hop_neighborhood, two_hop_edge_list, round(amounts, 2) AS amounts FROM beside LEFT JOIN around USING (transaction_id)"), amounts=2)
+def _neighbourhoods(spark, d):
+    return _listed(G.as_of_neighbourhoods(edges(spark, d)))
+
+
+_KNOWN = {"sender_2hop_cycle_count": "s.c2", "sender_3hop_cycle_count": "s.c3", "sender_pagerank": "round(s.r, 6)", "sender_betweenness": "round(s.b, 6)", "sender_community_id": "s.c",
+          "sender_community_size": "s.n", "sender_community_density": "round(s.dn, 4)", "sender_community_risk_score": "round(ks.nr, 4)", "sender_benford_chi2_community": "round(s.chi, 4)",
+          "volume_asymmetry": "round((s.vo - s.vi) / (s.vo + s.vi + 1), 4) + 0.0", "receiver_community_id": "t.c", "receiver_community_risk_score": "round(kt.nr, 4)", "shared_community": "s.c = t.c"}
+_WITH_FRAUD = {"edges": CTES["edges"].replace("amount FROM", "amount, false AS is_fraud FROM")}
+
+
+@register("live_graph_vector_known", with_ctes(["txn"] + [n for n in PROF if n != "ledger"] + CYCLE + ["as_of"] + _LISTS, f"""
+, q AS (SELECT c, round(risk, 2) AS rs FROM risk), known AS (SELECT c, least(100, greatest(0, 33 * (rs - (SELECT avg(rs) FROM q)) / greatest(1, coalesce((SELECT stddev_samp(rs) FROM q), 0)))) AS nr FROM q)
+SELECT transaction_id, {', '.join(_AS_OF)}, cycle_length, {', '.join(f'{v} AS {k}' for k, v in _KNOWN.items())}, coalesce(two_hop_neighborhood, '') AS two_hop_neighborhood, two_hop_edge_list, round(amounts, 2) AS amounts
+FROM as_of JOIN cycle USING (transaction_id) LEFT JOIN around USING (transaction_id) JOIN beside USING (transaction_id)
+JOIN gfeat s ON s.a = as_of.src JOIN gfeat t ON t.a = as_of.dst JOIN known ks ON ks.c = s.c JOIN known kt ON kt.c = t.c""", _WITH_FRAUD),
+    sender_pagerank=6, sender_betweenness=6, amounts=2)
+def _live_known(spark, d):
+    """All columns of the vector, with the offline tables of the same transactions."""
+    t = views.txn(spark, d)
+    e = G.build_edges(t)
+    gf = cut_lineage(GF.graph_features(e))
+    risk = C.normalised_community_risk(cut_lineage(C.community_profiles(e, gf)))
+    return _listed(G.live_graph_vector(t, gf, risk, neighbourhoods=True)).select(
+        "transaction_id", *_AS_OF, "cycle_length", *_KNOWN, "two_hop_neighborhood", "two_hop_edge_list", "amounts")
+
+
+# ---------------------------------------------------------------- cycles of any length
+
+CTES["leads"] = "SELECT src AS a, dst AS b, min(k) AS t FROM placed WHERE src <> dst GROUP BY 1, 2"
+_DEEPEST = 5
+_WALKS = {"walk1": "SELECT * FROM leads"} | {
+    f"walk{h}": f"SELECT w.a, l.b, min(greatest(w.t, l.t)) AS t FROM walk{h - 1} w JOIN leads l ON w.b = l.a GROUP BY 1, 2" for h in range(2, _DEEPEST + 1)}
+
+
+@register("cycle_closure_deep", with_ctes(["ledger", "edges", "placed", "leads", *_WALKS], f"""SELECT p.transaction_id, CASE WHEN p.src = p.dst THEN 1 {' '.join(f'WHEN w{h}.t < p.k THEN {h + 1}' for h in range(1, _DEEPEST + 1))} ELSE 0 END AS cycle_length
+FROM placed p {' '.join(f'LEFT JOIN walk{h} w{h} ON w{h}.a = p.dst AND w{h}.b = p.src' for h in range(1, _DEEPEST + 1))}""", PAY | _WALKS))
+def _deep(spark, d):
+    """Return paths of up to five earlier edges."""
+    return G.cycle_closure(payments(spark, d), max_depth=_DEEPEST).select("transaction_id", "cycle_length")

@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict, deque
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import communities as C
 from ledgerlens.operators import graph as G
 from ledgerlens.operators import graph_features as GF
-from make import edge_frame
+from make import T0, edge_frame
 
 TRIANGLE = [("a", "b"), ("b", "c"), ("c", "a")]
 SHAPES = TRIANGLE + [("h", "x"), ("h", "y"), ("p", "q"), ("q", "p"), ("s", "s"), ("1", "2"), ("2", "3"), ("3", "4"), ("4", "5"), ("m", "n"), ("m", "n")]
@@ -245,3 +246,47 @@ def test_edge_rows_are_numbered_like_the_lists(spark):
     assert {a: sorted(x) for a, x in rows.items()} == want
     plan = catalog.REGISTRY["one_hop_edge_list"].query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+def test_as_of_lists_equal_a_replay(spark):
+    """Both lists after every edge, with a hub, self-transfers, equal times and short caps."""
+    rnd = random.Random(8)
+    e = [(rnd.choice("habcdefg" if i % 3 else "hh"), rnd.choice("habcdefgz"), f"E{i:03d}", T0 + timedelta(seconds=i // 2 * 60), float(i), False) for i in range(90)]
+    df = spark.createDataFrame(e, "src string, dst string, transaction_id string, timestamp timestamp, amount double, is_fraud boolean")
+    got = {r["transaction_id"]: r for r in G.as_of_neighbourhoods(df, max_nodes=4, max_edges=5).collect()}
+    order = sorted(e, key=lambda x: (x[3], x[2]))
+    assert len(got) == len(e)
+    for i, now in enumerate(order):
+        first = {}
+        for k, (a, b, *_) in enumerate(order[: i + 1]):
+            if a != b:
+                first.setdefault((a, b), k)
+                first.setdefault((b, a), k)
+        reach = {}
+        for (v, u), f in first.items():
+            if v == now[0]:
+                reach[u] = min(reach.get(u, (f, f)), (f, f))
+                for (m, w), g in first.items():
+                    if m == u and w != v:
+                        reach[w] = min(reach.get(w, (i + 1, 0)), (max(f, g), g))
+        near = sorted(reach, key=lambda w: (*reach[w], w))[:4]
+        beside = [x for x in order[: i + 1] if x[0] == now[0]] + [x for x in order[: i + 1] if x[1] == now[0]]
+        assert got[now[2]]["two_hop_neighborhood"] == near, i
+        assert [tuple(x) for x in got[now[2]]["two_hop_edge_list"]] == [(x[0], x[1], x[3], x[4]) for x in beside[:5]], i
+
+
+def test_cycles_of_any_length_equal_a_breadth_first_search(spark):
+    rnd = random.Random(4)
+    pairs = [(f"n{a}", f"n{(a + 1 + rnd.randrange(2)) % 14}") for a in (rnd.randrange(14) for _ in range(70))] + [("n1", "n1")]
+    for depth in (2, 4, 6):
+        got = {r["transaction_id"]: r["cycle_length"] for r in G.cycle_closure(edge_frame(spark, pairs), max_depth=depth).collect()}
+        for i, (a, b) in enumerate(pairs):
+            out = {}
+            for x, y in pairs[:i]:
+                out.setdefault(x, set()).add(y)
+            level, length = {b}, 1 if a == b else 0
+            for h in range(1, depth + 1):
+                level = {y for x in level for y in out.get(x, ())}
+                if not length and a in level:
+                    length = h + 1
+            assert got[f"E{i:04d}"] == length, (depth, i)
