@@ -1,18 +1,19 @@
 """Secret scans: fixed base patterns, and formats inferred from the credentials that those label.
 
 The base patterns find assignments, access keys and long hexadecimal runs. Their values are
-labelled credentials: from a sample of at most ``SAMPLE`` distinct values a kind a prefix
+labelled credentials: from a sample of at most ``SAMPLE`` distinct values a kind (of ``LONGEST`` characters at most) a prefix
 tree over character classes is built, and states whose futures do not differ
 significantly are merged (red-blue merging with Hoeffding bounds). The outcome per kind is
-a probabilistic automaton; a candidate's score is the mean log-likelihood ratio per character
-of its best automaton against a background of ordinary long tokens. Every candidate of
-every document is scored; the bound on the sample touches only the fit.
+a probabilistic automaton; a candidate's score is the log-likelihood ratio of its best automaton
+against a background of ordinary text.
 
-A candidate is a maximal run of credential characters with a letter and a digit,
-``LEAST`` characters or more, outside the base spans. It is added as kind ``format`` if it
-scores at least as high as the lowest of 99 % of the labelled credentials.
+Candidates are all maximal runs of ``LEAST`` or more credential characters, whatever their shape, that base spans leave: of a run
+that a base span lies in, what stands before and after it is scored on its own. The background is the chain of character classes in
+all candidates of all documents, counted by Spark. A candidate is added as kind ``format`` if its score reaches that of
+``REACHED`` of all labelled credentials and its evidence is one in ``1 / CHANCE`` for ordinary text. Only the automata look at a sample.
 
-Null and empty texts have no spans. Offsets are code points, end exclusive. Without any
+Null and empty texts have no spans; repeated rows have the same spans each and count as often in the fit; an empty table gives
+an empty one; other columns are ignored. Offsets are code points, end exclusive. Kinds of equal score make no difference. Without any
 labelled credential no format is known and nothing is added.
 """
 
@@ -20,14 +21,15 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.batches import arrow_udf
+from ledgerlens.llm.stored import stored
 
 #: The base kinds in their order, their patterns and least lengths.
 KINDS = ["assign", "access", "hex", "format"]
@@ -36,18 +38,41 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # 20 characters or more
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGNED = 6
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-LEAST = 16
-#: Distinct labelled credentials of a kind, and ordinary tokens, that the fit looks at.
+#: Shortest candidate: that of an assigned value.
+LEAST = LEAST_ASSIGNED
+#: Distinct labelled credentials of a kind that automata are inferred from, and the longest of them; nothing else has these bounds.
 SAMPLE = 1_000
-#: Longest value that the fit looks at; scans have no such bound.
 LONGEST = 256
 #: Confidence of the merge test, and the share of labelled credentials that must reach the threshold.
 ALPHA = 0.05
 REACHED = 0.99
+#: Weight, in characters, of the frequencies of single classes in those of pairs.
+PRIOR = 100
+#: Chance of ordinary text to look as much like a format.
+CHANCE = 1e-6
 
 CLASSES = {"digit": "0123456789", "hex": "abcdef", "low": "ghijklmnopqrstuvwxyz", "HEX": "ABCDEF", "UP": "GHIJKLMNOPQRSTUVWXYZ", "mark": "+/_.=-"}
 CLASS_OF = {c: name for name, chars in CLASSES.items() for c in chars}
+#: A character of one class each, for whole texts at a time; all else is a space.
+CODES = dict(zip(CLASSES, "dhlHUm"))
+NAMES = list(CLASSES)
+RUN = re.compile(f"[{''.join(CODES.values())}]{{{LEAST},}}")
+_PLACE = np.zeros(256, np.int64)
+_PLACE[[ord(c) for c in CODES.values()]] = np.arange(1, len(CODES) + 1)
+#: Class strings whose scores a worker remembers, and the longest of them.
+REMEMBERED, REMEMBERED_LONG = 300_000, 48
+
+
+class _Coded(dict):
+    """A translation table that learns that a character is no credential's."""
+
+    def __missing__(self, key: int) -> str:
+        if len(self) < 100_000:
+            self[key] = " "
+        return " "
+
+
+_CODED = _Coded({ord(c): CODES[name] for c, name in CLASS_OF.items()})
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, int]]:
@@ -60,17 +85,40 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
     return out + [("hex", m.start(), m.end(), m.start()) for m in HEX.finditer(text)]
 
 
-def candidates(text: str, taken: list[tuple[str, int, int, int]]) -> list[tuple[int, int]]:
-    """Runs that may be credentials and touch no base span."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if s.isalpha() or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
-            continue
-        a, b = m.span()
-        if not any(a < end and start < b for _, start, end, _ in taken):
-            out.append((a, b))
-    return out
+def outside(text: str, base: list[tuple[str, int, int, int]]) -> str:
+    """The text as classes, a character for each, with base spans blanked."""
+    coded = text.translate(_CODED)
+    if base:
+        parts, at = [], 0
+        for a, b in sorted((a, b) for _, a, b, _ in base):
+            if b > at:
+                parts += [coded[at:a], " " * (b - max(a, at))] if a >= at else [" " * (b - at)]
+                at = b
+        coded = "".join([*parts, coded[at:]])
+    return coded
+
+
+def chain_counts(coded: str) -> np.ndarray:
+    """How often each class follows each other class (0: the start) in the candidates of a coded text."""
+    total = np.zeros((len(NAMES) + 1) ** 2, np.int64)
+    data, at = np.frombuffer(coded.encode("ascii"), np.uint8), 0
+    while at < len(data):
+        stop = min(len(data), at + (1 << 20))
+        if stop < len(data):  # a piece ends where no candidate is
+            gap = np.flatnonzero(data[stop:] == 32)
+            stop = stop + int(gap[0]) if len(gap) else len(data)
+        now = _PLACE[data[at:stop]]
+        edge = np.diff(now > 0, prepend=False, append=False).nonzero()[0]
+        starts, ends = edge[::2], edge[1::2]
+        keep = ends - starts >= LEAST
+        before = np.concatenate([[0], now[:-1]])
+        before[starts] = 0
+        inside = np.zeros(len(now) + 1, np.int8)
+        inside[starts[keep]], inside[ends[keep]] = 1, -1
+        chosen = np.cumsum(inside)[:-1] > 0
+        total += np.bincount((before * (len(NAMES) + 1) + now)[chosen], minlength=len(total))
+        at = stop
+    return total
 
 
 class Automaton:
@@ -147,67 +195,98 @@ class Automaton:
 class Formats:
     """The automata of all kinds with the background and the threshold; small and picklable."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
-        self.tables = [Automaton(words).table() for _, words in sorted(labelled.items()) if words]
-        seen = Counter(CLASS_OF.get(c, "mark") for w in ordinary for c in w)
-        total = seen.total() + len(CLASSES)
-        self.ground = {x: math.log((seen[x] + 1) / total) - math.log(len(chars)) for x, chars in CLASSES.items()}
-        scores = sorted(self.score(w) for words in labelled.values() for w in words)
-        self.threshold = max(scores[int(len(scores) * (1 - REACHED))], 0.0) if scores else math.inf
-
-    def score(self, word: str) -> float:
-        """Mean log-likelihood ratio per character of the best automaton."""
-        classes = [CLASS_OF[c] for c in word]
-        ground, best = sum(map(self.ground.__getitem__, classes)), -math.inf
-        for table in self.tables:
-            s, total = 0, 0.0
+    def __init__(self, labelled: dict[str, list[str]], chain: np.ndarray, threshold: float = math.inf):
+        tables = [Automaton(words).table() for _, words in sorted(labelled.items()) if words]
+        self.tables = [{s: {CODES[x]: row[x] for x in NAMES} for s, row in t.items()} for t in tables]
+        counts = np.asarray(chain).reshape(len(NAMES) + 1, -1)[:, 1:]
+        # a class that hardly occurs is followed as any other
+        single = counts.sum(axis=0) + 1.0
+        counts = counts + PRIOR * single / single.sum()
+        size = np.log([len(CLASSES[x]) for x in NAMES])
+        logs = np.log(counts / counts.sum(axis=1, keepdims=True)) - size
+        self.ground = {p: dict(zip(CODES.values(), row)) for p, row in zip(["", *CODES.values()], logs.tolist())}
+        self.threshold = threshold
+        self.known: dict[str, float] = {}
+
+    def evidence(self) -> float:
+        """The least score that ordinary text reaches with a chance of ``CHANCE`` at most, whichever automaton is the best."""
+        return math.log(max(1, len(self.tables)) / CHANCE)
+
+    def score(self, classes: str) -> float:
+        """Log-likelihood ratio of the best automaton for a string of classes."""
+        score = self.known.get(classes)
+        if score is None:
+            before, ground = "", 0.0
             for x in classes:
-                p, to = table[s][x]
-                total += p
-                if to < 0:  # never seen here: pay for it and go on in the same state
-                    total -= 3.0
-                    continue
-                s = to
-            best = max(best, total)
-        return (best - ground) / max(1, len(word))
+                ground += self.ground[before][x]
+                before = x
+            best = -math.inf
+            for table in self.tables:
+                s, total = 0, 0.0
+                for x in classes:
+                    p, to = table[s][x]
+                    total += p
+                    if to < 0:  # never seen here: pay for it and go on in the same state
+                        total -= 3.0
+                        continue
+                    s = to
+                best = max(best, total)
+            score = best - ground
+            if len(classes) <= REMEMBERED_LONG:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[classes] = score
+        return score
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """All spans by start, then kind."""
         base = base_spans(text)
         out = [(k, a, b) for k, a, b, _ in base]
         if self.tables:
-            out += [("format", a, b) for a, b in candidates(text, base) if self.score(text[a:b]) >= self.threshold]
+            out += [("format", *m.span()) for m in RUN.finditer(outside(text, base)) if self.score(m[0]) >= self.threshold]
         return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
-
-def examples(text: str) -> list[tuple[str, str]]:
-    """(kind, value) of the labelled credentials of a text, and with kind "" the ordinary long token of the smallest checksum."""
-    base = base_spans(text)
-    found = {(k, text[v:b]) for k, _, b, v in base if b - v <= LONGEST}
-    others = [m[0] for m in CANDIDATE.finditer(text) if m.end() - m.start() <= LONGEST and not any(a < m.end() and m.start() < b for _, a, b, _ in base)]
-    if others:
-        found.add(("", min(others, key=lambda w: (zlib.crc32(w.encode()), w))))
-    return sorted(found)
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Formats:
-    """Infer the formats from at most ``sample`` distinct values of each kind, those with the smallest hashes."""
-    @arrow_udf("array<struct<kind: string, word: string>>")
-    def found_in(texts: pa.Array) -> pa.Array:
-        rows = [[{"kind": k, "word": w} for k, w in examples(t.as_py() or "")] for t in texts]
-        return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("word", pa.string())])))
-
-    found = docs.select(F.explode(found_in(F.col(text))).alias("x")).select("x.kind", "x.word")
-    found = found.select("kind", "word", F.xxhash64("kind", "word").alias("h")).distinct()
+    """Infer the formats: automata from at most ``sample`` distinct values of each kind, those with the smallest hashes; background and
+    threshold from all documents. Texts are read once; labelled values and counts are written in between."""
+    words = pa.list_(pa.struct([("kind", pa.string()), ("word", pa.string())]))
+
+    @arrow_udf("struct<words: array<struct<kind: string, word: string>>, chain: array<bigint>>")
+    def gathered(texts: pa.Array) -> pa.Array:
+        found, chains = [], []
+        for t in (x.as_py() or "" for x in texts):
+            base = base_spans(t)
+            found.append([{"kind": k, "word": t[v:b]} for k, _, b, v in base])
+            chains.append(chain_counts(outside(t, base)))
+        return pa.StructArray.from_arrays([pa.array(found, words), pa.array(chains, pa.list_(pa.int64()))], ["words", "chain"])
+
+    found = stored(docs.select(gathered(F.col(text)).alias("x")).select("x.words", "x.chain"))
+    places = (len(NAMES) + 1) ** 2
+    chain = np.array([x or 0 for x in found.agg(*[F.sum(F.get("chain", i)).alias(f"c{i}") for i in range(places)]).first()], np.int64)
+    every = found.select(F.inline("words"))
+    distinct = every.filter(F.length("word") <= LONGEST).select("kind", "word", F.xxhash64("kind", "word").alias("h")).distinct()
     labelled: dict[str, list[str]] = {}
-    picked = None
-    for kind in ["", *KINDS[:3]]:
-        part = found.filter(F.col("kind") == kind).orderBy("h", "word").limit(sample)
-        picked = part if picked is None else picked.unionAll(part)
-    for row in picked.collect():  # at most 4 * sample short strings
-        labelled.setdefault(row.kind, []).append(row.word)
-    ordinary = labelled.pop("", [])
-    return Formats(labelled, ordinary)
+    for kind in KINDS[:3]:
+        rows = distinct.filter(F.col("kind") == kind).orderBy("h", "word").limit(sample).collect()  # short strings, sample at most
+        labelled[kind] = [r.word for r in rows]
+    formats = Formats(labelled, chain)
+    if formats.tables:
+        @arrow_udf("int")
+        def tenths(values: pa.Array) -> pa.Array:
+            scores = [formats.score(v.translate(_CODED)) for v in values.to_pylist()]
+            return pa.array([max(-10_000, min(10_000, math.floor(10 * x))) for x in scores], pa.int32())
+
+        counts = sorted((r.t, r.n) for r in every.select(tenths("word").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect())
+        below, total = 0, sum(n for _, n in counts)
+        for t, n in counts:
+            if (below := below + n) > total * (1 - REACHED):
+                formats.threshold = max(t / 10, formats.evidence())
+                break
+    return formats
 
 
 def scan(text: Column, formats: Formats) -> Column:
