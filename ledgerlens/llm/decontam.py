@@ -10,7 +10,8 @@ neighbouring pairs all occur in some item are given to the automaton; no match
 can cross another pair, so this loses nothing.
 
 Items are sent to the workers in blocks of at most ``BLOCK_WORDS`` words (counted
-first); every document meets every block in one narrow pass, without a shuffle.
+first); every document meets up to ``BLOCKS_A_PASS`` blocks in one narrow pass, without a shuffle. With more blocks each
+further pass reads what the one before has written, so that a worker builds each automaton once and holds few.
 
 Null, empty and wordless texts have no words and no hits; items without words have no
 windows; equal items are all reported; a null item id is reported as the empty string. Any extra
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.batches import arrow_udf
+from ledgerlens.llm.stored import stored
 
 WINDOW = 10
 #: Most words of items in one automaton; about 60 MB a worker.
@@ -181,16 +183,18 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+#: Blocks scanned in one pass over the documents, and automata that a worker keeps; all of a pass are kept while it lasts.
+BLOCKS_A_PASS = 4
 _built: dict[tuple[str, int], Automaton] = {}
 
 
 def automaton(digest: str, block: Broadcast, window: int) -> Automaton:
-    """The automaton of one block of items, built once per worker; ``digest`` names the block's content."""
-    if (digest, window) not in _built:
-        if len(_built) >= 4:
-            _built.clear()
-        _built[digest, window] = Automaton(block.value, window)
-    return _built[digest, window]
+    """The automaton of one block of items, built once per worker and pass; ``digest`` names the block's content."""
+    own = _built.pop((digest, window), None) or Automaton(block.value, window)
+    _built[digest, window] = own  # the last used stands last
+    while len(_built) > BLOCKS_A_PASS:
+        _built.pop(next(iter(_built)))
+    return own
 
 
 #: Spans in words (a, b) and in characters (c, d), ends exclusive.
@@ -223,17 +227,27 @@ def find(docs: DataFrame, items: DataFrame, out: str, text: str = "text", item_i
     n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("words") + 2), F.lit(0))).first()[0]
     n_blocks = max(1, -(-n_bytes // (2 * block_words)))
     block = F.pmod(F.xxhash64("name", "words"), F.lit(n_blocks))
-    parts = []
-    for k in range(n_blocks):
+
+    def scanned(k: int) -> Column:
         rows = sorted((r[0], r[1]) for r in items.filter(block == k).collect())  # bounded by block_words
-        digest = hashlib.sha256(repr(rows).encode()).hexdigest()
-        parts.append(scan_block(F.col(text), digest, spark.sparkContext.broadcast(rows), window))
-    if len(parts) == 1:
-        return docs.withColumn(out, parts[0])
-    return docs.withColumn(out, F.struct(
-        F.greatest(*[p["n_words"] for p in parts]).alias("n_words"),
-        F.concat(*[p["spans"] for p in parts]).alias("spans"),
-        F.array_distinct(F.concat(*[p["items"] for p in parts])).alias("items")))
+        return scan_block(F.col(text), hashlib.sha256(repr(rows).encode()).hexdigest(), spark.sparkContext.broadcast(rows), window)
+
+    if n_blocks == 1:
+        return docs.withColumn(out, scanned(0))
+    columns, found = docs.columns, []
+    for at in range(0, n_blocks, BLOCKS_A_PASS):
+        if at:  # a pass ends: what it found is written beside the documents, and its automata can go
+            docs = stored(docs)
+        for k in range(at, min(at + BLOCKS_A_PASS, n_blocks)):
+            found.append(f"{out}{k}")
+            while found[-1] in columns:
+                found[-1] += "_"
+        docs = docs.withColumns({name: scanned(k) for k, name in enumerate(found[at:], at)})
+    whole = F.struct(
+        F.greatest(*[F.col(f"`{p}`")["n_words"] for p in found]).alias("n_words"),
+        F.concat(*[F.col(f"`{p}`")["spans"] for p in found]).alias("spans"),
+        F.array_distinct(F.concat(*[F.col(f"`{p}`")["items"] for p in found])).alias("items"))
+    return docs.withColumn(out, whole).drop(*found)
 
 
 def hit_words(spans: Column) -> Column:

@@ -87,6 +87,28 @@ def test_contamination_query(spark, sf_of, block_words):
     assert rows == want
 
 
+def test_automata_are_built_once_a_pass(monkeypatch):
+    """Batch after batch of a pass uses the same automata, however many blocks there are in all."""
+    built = []
+
+    class Counted(decontam.Automaton):
+        def __init__(self, rows, window):
+            built.append(rows)
+            super().__init__(rows, window)
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    monkeypatch.setattr(decontam, "Automaton", Counted)
+    blocks = [Sent([(str(k), f"item number {k} of the test")]) for k in range(12)]
+    for at in range(0, 12, decontam.BLOCKS_A_PASS):
+        for _ in range(5):
+            for k in range(at, at + decontam.BLOCKS_A_PASS):
+                assert decontam.automaton(f"once{k}", blocks[k], 10).scan(f"item number {k} of the test")[2] == {str(k)}
+    assert len(built) == 12 and len(decontam._built) <= decontam.BLOCKS_A_PASS
+
+
 def test_passages_are_cut_and_clean_documents_stay(spark, sf_of):
     sf = sf_of(documents=documents([*leaky(), (20, "before text one two three four. Alpha beta gamma delta epsilon zeta eta theta iota kappa! after, and more of its own words")]), benchmark=benchmark(ITEMS))
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
