@@ -11,7 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.profiles import exact_quantiles, value_slot
+from ledgerlens.operators.profiles import exact_quantiles
 from ledgerlens.operators.scans import running
 
 COMPONENTS = ("rule", "behavioral", "gnn", "graph_boost")
@@ -119,7 +119,7 @@ def _by_score(df: DataFrame, keys: list[str]) -> DataFrame:
 def roc_auc(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve with average ranks on ties (null for one class)."""
     keys = keys or []
-    scores = running(_by_score(df, keys), keys, ["y_score"], value_slot(F.col("y_score")), {"before": ("sum", F.col("p") + F.col("n"))})
+    scores = running(_by_score(df, keys), keys, ["y_score"], None, {"before": ("sum", F.col("p") + F.col("n"))})
     rank = F.col("before") + (F.col("p") + F.col("n") + 1) / 2.0
     p, n = F.sum("p"), F.sum("n")
     auc = (F.sum(F.col("p") * rank) - p * (p + 1) / 2.0) / (p * n)
@@ -128,7 +128,7 @@ def roc_auc(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def pr_curve(frame: DataFrame) -> DataFrame:
     """Precision and recall at every distinct score, highest first."""
-    up = running(_by_score(frame, []), [], ["y_score"], value_slot(F.col("y_score")),
+    up = running(_by_score(frame, []), [], ["y_score"], None,
                  {"tp": ("sum", F.col("p")), "fp": ("sum", F.col("n"))}, inclusive=True, descending=True)
     pos = frame.agg(F.sum(F.col("y_true").cast("bigint"))).scalar()
     return up.select("y_score", "p", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
@@ -292,7 +292,7 @@ def tune_weights(labelled: DataFrame, parts: int = 20, decimals: int | None = No
     counts = rows.groupBy(*keys, score.alias("y_score")).agg(
         F.sum(F.when(F.col("y_true") == 1, F.col("m")).otherwise(0)).alias("p"),
         F.sum(F.when(F.col("y_true") == 1, 0).otherwise(F.col("m"))).alias("n"))
-    ranked = running(counts, keys, ["y_score"], value_slot(F.col("y_score")), {"before": ("sum", F.col("p") + F.col("n"))}, store=True)
+    ranked = running(counts, keys, ["y_score"], None, {"before": ("sum", F.col("p") + F.col("n"))}, store=True)
     p, n = F.sum("p"), F.sum("n")
     rank = F.col("before") + (F.col("p") + F.col("n") + 1) / 2.0
     return ranked.groupBy(*keys).agg(((F.sum(F.col("p") * rank) - p * (p + 1) / 2.0) / (p * n)).alias("roc_auc"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import clip
-from ledgerlens.operators.scans import HOUR, running, time_slot
+from ledgerlens.operators.scans import running
 
 # Fusion weights, alert threshold and level bounds.
 WEIGHTS = {"rule": 0.02, "behavioral": 0.18, "gnn": 0.78, "graph": 0.02}
@@ -73,12 +73,10 @@ def create_alerts(fused: DataFrame, threshold: float = ALERT_THRESHOLD, created_
         "created_at": F.current_timestamp() if created_at is None else created_at})
 
 
-def group_risk(alerts: DataFrame, community: str = "community_id", score: str = "transaction_risk_score",
-               slot_seconds: int = HOUR) -> DataFrame:
-    """Running maximum per community over earlier alerts and this one."""
+def group_risk(alerts: DataFrame, community: str = "community_id", score: str = "transaction_risk_score") -> DataFrame:
+    """Running maximum per community over earlier alerts and this one; an hour with most of the alerts is cut into several ranges."""
     base = alerts.drop("group_risk_score", "risk_level_group")
-    out = running(base, [community], ["timestamp", "transaction_id"], time_slot(F.col("timestamp"), slot_seconds),
-                  {"group_risk_score": ("max", F.col(score))}, inclusive=True)
+    out = running(base, [community], ["timestamp", "transaction_id"], None, {"group_risk_score": ("max", F.col(score))}, inclusive=True)
     return out.withColumn("risk_level_group", risk_level(F.col("group_risk_score")))
 
 

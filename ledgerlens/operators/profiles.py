@@ -139,16 +139,11 @@ def feature_drift_report(scaled: DataFrame, bucket: str, cols: list[str]) -> Dat
     ).withColumn("blows_up", F.greatest(F.coalesce("normal", F.lit(0.0)), F.coalesce("fraud", F.lit(0.0))) > 5)
 
 
-def value_slot(col: Column) -> Column:
-    """Coarse bucket that never decreases with the value; bounded for any double."""
-    return F.floor(F.signum(col) * F.log2(1 + F.abs(col)) * 32).cast("bigint")
-
-
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: list[str] | None = None) -> DataFrame:
     """Linearly interpolated quantiles from value counts and a running count."""
     keys = keys or []
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    cum = running(hist, keys, ["_v"], value_slot(F.col("_v")), {"_before": ("sum", F.col("_c"))})
+    cum = running(hist, keys, ["_v"], None, {"_before": ("sum", F.col("_c"))})
     totals = hist.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:
         cum = cum.join(totals, keys)

@@ -20,11 +20,19 @@ def time_slot(ts: Column, seconds: int = HOUR) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+def range_slots(df: DataFrame, order: list[str], name: str = "_slot") -> DataFrame:
+    """Rows with the number of their range of ``order``; the bounds are sampled, ranges hold about equally many rows.
+
+    Rows equal in ``order`` share a range. The result is checkpointed, as another run would draw other bounds.
+    """
+    return cut_lineage(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id().cast("bigint")))
+
+
 def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    slot: Column,
+    slot: Column | None,
     specs: dict[str, tuple[str, Column]],
     *,
     inclusive: bool = False,
@@ -36,15 +44,19 @@ def running(
     ``specs`` maps an output name to (kind, row expression); kinds are ``sum``,
     ``max``, ``min``, ``last`` (latest earlier non-null value) and ``next``
     (nearest later non-null value). ``slot`` must not decrease as ``order``
-    increases. Exclusive scans leave the row itself out. Empty prefixes give 0
+    increases; None draws the slots from the rows themselves (``range_slots``), so that they
+    hold about as many rows each wherever the rows crowd. Exclusive scans leave the row itself out. Empty prefixes give 0
     for sums and null otherwise. ``descending`` scans from the end.
 
     The input is read twice (rows and slot totals); ``store`` checkpoints it
     first, for chains of scans and other costly inputs.
     """
-    slotted = df.withColumn("_slot", slot)
-    if store:
-        slotted = cut_lineage(slotted)
+    if slot is None:
+        slotted = range_slots(df, [*keys, *order])
+    else:
+        slotted = df.withColumn("_slot", slot)
+        if store:
+            slotted = cut_lineage(slotted)
     by = [*keys, "_slot"]
 
     def frames(backwards: bool):

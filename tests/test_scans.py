@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.profiles import exact_quantiles, value_slot
-from ledgerlens.operators.scans import global_index, running
+from ledgerlens.operators.profiles import exact_quantiles
+from ledgerlens.operators.scans import global_index, range_slots, running
 
 
 @pytest.fixture(scope="module")
@@ -42,5 +42,20 @@ def test_quantiles_and_slots(spark, rows):
     x = spark.range(-50, 151).select((F.col("id") * 1.37).alias("v"), (F.col("id") % 2).alias("g"))
     got = exact_quantiles(x, "v", {"a": 0.05, "b": 0.5, "c": 0.99}).first()
     assert tuple(got) == pytest.approx(tuple(np.percentile([i * 1.37 for i in range(-50, 151)], [5, 50, 99])))
-    slots = [r[0] for r in x.orderBy("v").select(value_slot(F.col("v"))).collect()]
-    assert slots == sorted(slots)
+
+
+def test_slots_drawn_from_the_rows(spark, rows):
+    """Crowded values, and an hour with most of a key's rows, are cut into ranges of about equal size."""
+    crowded = spark.range(8000).select((-0.5 + F.pow(F.col("id") / 8000.0, 9) / 50).alias("v"), "id")
+    for df, order in ((crowded, ["v", "id"]), (crowded.select(F.lit("c").alias("key"), F.lit(7).alias("t"), "id"), ["key", "t", "id"])):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            slots = [tuple(r) for r in range_slots(df, order).groupBy("_slot").agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("a")).orderBy("_slot").collect()]
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(slots) == 4 and max(n for _, n, _ in slots) <= 2 * 8000 / 4
+        assert [a for _, _, a in slots] == sorted(a for _, _, a in slots)
+    for inclusive in (False, True):
+        by_range = running(rows, ["key"], ["t", "id"], None, {"s": ("sum", F.col("v")), "n": ("next", F.col("v"))}, inclusive=inclusive)
+        by_slot = running(rows, ["key"], ["t", "id"], F.floor(F.col("t") / 9), {"s": ("sum", F.col("v")), "n": ("next", F.col("v"))}, inclusive=inclusive)
+        assert sorted(map(tuple, by_range.collect()), key=str) == sorted(map(tuple, by_slot.collect()), key=str)
