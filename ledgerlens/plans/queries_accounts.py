@@ -71,6 +71,16 @@ _OUT = ["transaction_id", "timestamp", "amount", "transaction_type", "payment_ch
         "device_id", "kyc_level", "is_international", "amount_leading_digit"]
 
 
+@register("quarantined_events", f"""SELECT 'out of contract' AS why, count(*) AS n FROM ({_NORMALISED}) WHERE kyc_level > 3
+UNION ALL SELECT 'parsed', count(*) FROM ({_NORMALISED}) WHERE kyc_level <= 3""")
+def _quarantined(spark, d):
+    """Both sides of the JSON reader: every payload is on one of them."""
+    payloads = _raw(spark, d).select(F.to_json(F.struct("*")).alias("value"))
+    good, bad = ingest.parse_json_events(payloads)
+    count = lambda df, why: df.groupBy().agg(F.lit(why).alias("why"), F.count(F.lit(1)).alias("n"))
+    return count(bad, "out of contract").unionByName(count(good, "parsed"))
+
+
 @register("normalise_events", _NORMALISED)
 def _normalise(spark, d):
     return ingest.normalise(_raw(spark, d)).select(*_OUT)

@@ -13,14 +13,14 @@ from ledgerlens.plans.registry import CTES, register, with_ctes
 CTES["lvl_alerts"] = "SELECT *, CASE WHEN transaction_risk_score < 45 THEN 'Low' WHEN transaction_risk_score < 47 THEN 'Medium' WHEN transaction_risk_score < 49 THEN 'High' ELSE 'Critical' END AS risk_level FROM alerts"
 CTES["frame"] = """SELECT transaction_id, 1 AS y_true, CASE WHEN coalesce(a.transaction_risk_score, 0) = 0 AND s.y_score IS NOT NULL THEN 0 WHEN a.transaction_id IS NOT NULL THEN 1 ELSE 0 END AS y_pred,
  CASE WHEN coalesce(a.transaction_risk_score, 0) = 0 THEN coalesce(s.y_score, 0) ELSE a.transaction_risk_score END AS y_score, a.risk_level, fraud_ring_id, synthetic_pattern_type, scenario_severity
-FROM truth LEFT JOIN lvl_alerts a USING (transaction_id) LEFT JOIN scored s USING (transaction_id)
-UNION ALL SELECT transaction_id, 0, 0, y_score, NULL, NULL, NULL, NULL FROM scored WHERE transaction_id NOT IN (SELECT transaction_id FROM truth)"""
-FRAME = ["txn", "truth", "scored", "alerts", "lvl_alerts", "frame"]
+FROM truth LEFT JOIN lvl_alerts a USING (transaction_id) LEFT JOIN stored s USING (transaction_id)
+UNION ALL SELECT transaction_id, 0, 0, y_score, NULL, NULL, NULL, NULL FROM stored WHERE transaction_id NOT IN (SELECT transaction_id FROM truth)"""
+FRAME = ["txn", "truth", "scored", "stored", "alerts", "lvl_alerts", "frame"]
 
 
 def frame(spark, d):
     a = views.alerts(spark, d).withColumn("risk_level", risk_level(F.col("transaction_risk_score")))
-    return V.eval_frame(views.truth(spark, d), a, views.scored(spark, d))
+    return V.eval_frame(views.truth(spark, d), a, views.stored_scores(spark, d))
 
 
 def labelled_scores(spark, d):

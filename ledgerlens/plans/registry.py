@@ -61,6 +61,7 @@ CTES: dict[str, str] = {
     "ledger": views.LEDGER_SQL,
     "truth": views.TRUTH_SQL,
     "scored": views.SCORED_SQL,
+    "stored": views.STORED_SQL,
     "alerts": views.ALERTS_SQL,
 }
 
