@@ -7,12 +7,14 @@ neither the rows nor the scores pass through one task.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.profiles import exact_quantiles
 from ledgerlens.operators.scans import running
+from ledgerlens.session import cut_lineage
 
 COMPONENTS = ("rule", "behavioral", "gnn", "graph_boost")
 # Labelled typologies and published comparison numbers.
@@ -329,6 +331,45 @@ def merge_scored(fraud: DataFrame, normal: DataFrame, threshold: float = 45.0) -
     return first.select("transaction_id", "r.*").withColumn("y_pred", F.when(F.col("y_score") >= threshold, 1).otherwise(0))
 
 
+def _metrics(df: DataFrame, section: str, key: str | None = None) -> DataFrame:
+    """(section, name, metric, value): a row for each number of each row."""
+    cols = [c for c in df.columns if c != key]
+    name = F.lit("all") if key is None else F.col(key).cast("string")
+    long = df.select(name.alias("name"), *[F.col(c).cast("double").alias(c) for c in cols]).unpivot("name", cols, "metric", "value")
+    return long.where("value IS NOT NULL").select(F.lit(section).alias("section"), "name", "metric", "value")
+
+
+def evaluation_table(frame: DataFrame, alerts: DataFrame | None = None, truth: DataFrame | None = None, txn: DataFrame | None = None,
+                     communities: DataFrame | None = None, threshold: float = 45.0) -> DataFrame:
+    """The whole evaluation as rows (section, name, metric, value).
+
+    Sections are the dataset's counts, ranking and threshold metrics, rings, typologies, published benchmarks and, where their inputs
+    are given, rules (``alerts`` with patterns, ``truth``), latency (``alerts`` with times, ``txn``) and how well rings match
+    communities (``truth``, ``communities`` with transaction_id and community_id).
+    """
+    frame = cut_lineage(frame)
+    sweep = cut_lineage(threshold_sweep(frame))
+    best, auc = best_f1(sweep), roc_auc(frame)
+    count = lambda cond: F.count(F.when(cond, 1))
+    y = F.col("y_true")
+    parts = [
+        _metrics(frame.agg(F.count(F.lit(1)).alias("n_total"), count(y == 1).alias("n_fraud"), count(y == 0).alias("n_normal"),
+                           count(F.col("y_pred") == 1).alias("n_alerted")), "dataset"),
+        _metrics(auc, "ranking"), _metrics(average_precision(frame), "ranking"),
+        _metrics(confusion_at(frame, threshold), "operational"), _metrics(best, "best_f1"), _metrics(sweep, "threshold", "threshold"),
+        _metrics(ring_detection(frame), "rings"), _metrics(group_risk_precision(frame), "rings"),
+        _metrics(overall_detection_rate(frame), "typology"), _metrics(typology_coverage(frame), "typology", "typology"),
+        _metrics(benchmark_comparison(auc, best), "benchmark", "name"),
+    ]
+    if alerts is not None and truth is not None:
+        parts.append(_metrics(rule_precision(alerts, truth), "rule", "pattern"))
+    if alerts is not None and txn is not None:
+        parts.append(_metrics(latency_stats(alerts, txn), "latency"))
+    if truth is not None and communities is not None:
+        parts.append(_metrics(community_match_score(truth.join(communities, "transaction_id")), "rings"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def evaluation_report(frame: DataFrame, alerts: DataFrame | None = None, truth: DataFrame | None = None,
                       threshold: float = 45.0) -> dict:
     """All metrics as one JSON-ready dict; only aggregates reach the driver."""

@@ -8,7 +8,7 @@ from ledgerlens.operators import evaluation as V
 from ledgerlens.operators.fusion import risk_level
 from ledgerlens.plans import views
 from ledgerlens.plans.queries_scoring import ALERTED, alerted
-from ledgerlens.plans.registry import CTES, register, with_ctes
+from ledgerlens.plans.registry import CTES, REGISTRY, register, with_ctes
 
 CTES["lvl_alerts"] = "SELECT *, CASE WHEN transaction_risk_score < 45 THEN 'Low' WHEN transaction_risk_score < 47 THEN 'Medium' WHEN transaction_risk_score < 49 THEN 'High' ELSE 'Critical' END AS risk_level FROM alerts"
 CTES["frame"] = """SELECT transaction_id, 1 AS y_true, CASE WHEN coalesce(a.transaction_risk_score, 0) = 0 AND s.y_score IS NOT NULL THEN 0 WHEN a.transaction_id IS NOT NULL THEN 1 ELSE 0 END AS y_pred,
@@ -227,3 +227,27 @@ def _merge(spark, d):
     lab = labelled_scores(spark, d)
     fraud = lab.where("y_true = 1").select("transaction_id", "y_score", F.lit("labelled").alias("source"))
     return V.merge_scored(fraud, lab.select("transaction_id", (F.col("y_score") / 2).alias("y_score"), F.lit("all").alias("source")))
+
+
+# ---------------------------------------------------------------- the whole report
+
+def _long(section: str, sql: str, key: str | None = None) -> str:
+    name, rest = ("'all'", "*") if key is None else (f"{key}::VARCHAR", f"* EXCLUDE ({key})")
+    return f"SELECT '{section}' AS section, name, metric, round(value, 4) AS value FROM (UNPIVOT (SELECT {name} AS name_, COLUMNS({rest})::DOUBLE FROM ({sql})) ON COLUMNS(* EXCLUDE (name_)) INTO NAME metric VALUE value) u(name, metric, value)"
+
+
+_of = lambda name: REGISTRY[name].sql
+_REPORT = [
+    ("dataset", with_ctes(FRAME, "SELECT count(*) AS n_total, count(*) FILTER (WHERE y_true = 1) AS n_fraud, count(*) FILTER (WHERE y_true = 0) AS n_normal, count(*) FILTER (WHERE y_pred = 1) AS n_alerted FROM frame"), None),
+    ("ranking", _of("roc_auc"), None), ("ranking", _of("average_precision"), None), ("operational", _of("confusion_at_45"), None), ("best_f1", _of("best_f1"), None),
+    ("threshold", _of("threshold_sweep"), "threshold"), ("rings", _of("ring_detection"), None), ("rings", _of("group_risk_precision"), None), ("rings", _of("community_match_score"), None),
+    ("typology", _of("overall_detection_rate"), None), ("typology", _of("typology_coverage"), "typology"), ("benchmark", _of("benchmark_comparison"), "name"), ("rule", _of("rule_precision"), "pattern"),
+    ("latency", with_ctes(ALERTED, "SELECT 0.0 AS mean_ms, 0.0 AS median_ms, 0.0 AS p95_ms, 0.0 AS p99_ms, 0.0 AS min_ms, 0.0 AS max_ms, count(*) AS n FROM alerted"), None)]
+
+
+@register("evaluation_report", " UNION ALL ".join(_long(*part) for part in _REPORT))
+def _report(spark, d):
+    """Every metric as a row; alerts are created at transaction time here, so latencies are 0."""
+    t = views.txn(spark, d)
+    a = alerted(spark, d).withColumn("triggered_patterns", F.array_join("triggered_patterns", "|"))
+    return V.evaluation_table(frame(spark, d), a, views.truth(spark, d), t, t.select("transaction_id", F.col("kyc_level").alias("community_id")))

@@ -357,6 +357,20 @@ def _replay(spark, d):
     return readers.replay_batch(views.txn(spark, d), 2500).select("transaction_id", "timestamp")
 
 
+@register("alert_file", with_ctes(ALERTED, """SELECT alert_id, transaction_id, community_id, score AS transaction_risk_score, level AS risk_level, patterns AS triggered_patterns, 'R01: "quoted", text' AS rule_explanations,
+ '' AS anomaly_drivers, epoch_us(timestamp) AS created_at, status AS alert_status, 2 AS copies FROM alerted"""), transaction_risk_score=2)
+def _alert_file(spark, d):
+    """Written, appended to and read back."""
+    path = f"{shared_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    none = F.array().cast("array<string>")
+    rows = cut_lineage(fusion.group_risk(alerted(spark, d)).withColumns({
+        "anomaly_drivers": none, "structural_anomaly_explanations": none, "rule_explanations": F.array(F.lit('R01: "quoted", text'))}))
+    for _ in range(2):
+        sinks.write_alerts_csv(rows, path)
+    cols = ["alert_id", "transaction_id", "community_id", "transaction_risk_score", "risk_level", "triggered_patterns", "rule_explanations", "anomaly_drivers", "created_at", "alert_status"]
+    return readers.read_alerts_csv(spark, path).groupBy(*cols).agg(F.count(F.lit(1)).cast("int").alias("copies"))
+
+
 @register("alert_file_rows", with_ctes(ALERTED, f"""SELECT alert_id, transaction_id, community_id, score AS transaction_risk_score, level AS risk_level, patterns AS triggered_patterns, 'R01: first text' AS rule_explanations, status AS alert_status FROM alerted"""), transaction_risk_score=2)
 def _csv(spark, d):
     none = F.array().cast("array<string>")

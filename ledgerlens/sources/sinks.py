@@ -23,8 +23,20 @@ def alerts_csv_rows(alerts: DataFrame) -> DataFrame:
     return _flatten(alerts.select(*schemas.ALERT_COLUMNS), lambda c: F.array_join(c, "|"))
 
 
+#: Texts may hold quotes and line ends; times keep their microseconds.
+CSV = {"header": True, "multiLine": True, "escape": '"', "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def write_alerts_csv(alerts: DataFrame, path: str) -> None:
-    alerts_csv_rows(alerts).write.mode("append").option("header", True).csv(path)
+    """Append to the alert file, after a check that what is there has the same columns in the same order."""
+    rows = alerts_csv_rows(alerts)
+    jvm, spark = alerts.sparkSession._jvm, alerts.sparkSession
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        known = spark.read.options(**CSV).csv(path).columns
+        if known and known != rows.columns:
+            raise ValueError(f"{path} has other columns: {known}")
+    rows.write.mode("append").options(**CSV).csv(path)
 
 
 def alerts_table_rows(alerts: DataFrame) -> DataFrame:

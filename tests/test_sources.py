@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import evaluation as V
@@ -88,12 +89,23 @@ def test_pattern_texts(spark):
     assert got == {"R01": (2, 1), "R02": (1, 1), "cycle_closure": (1, 0), "R09": (1, 1)}
 
 
+def test_alert_file_refuses_other_columns(spark, tmp_path):
+    path = str(tmp_path / "other")
+    spark.createDataFrame([("x", "y")], "alert_id string, note string").write.option("header", True).csv(path)
+    rows = spark.range(1).select(*[F.lit("a").alias(c) for c in sinks.schemas.ALERT_COLUMNS])
+    with pytest.raises(ValueError, match="other columns"):
+        sinks.write_alerts_csv(rows, path)
+
+
 def test_eval_frame_priorities(spark):
     t = spark.createDataFrame([(x, "r", "fan_in", "High") for x in ("a", "b", "c")], "transaction_id string, fraud_ring_id string, synthetic_pattern_type string, scenario_severity string")
     al = spark.createDataFrame([("a", 50.0, "Critical"), ("a", 70.0, "Critical"), ("x", 46.0, "Medium"), ("y", 47.0, "High")], "transaction_id string, transaction_risk_score double, risk_level string")
     sc = spark.createDataFrame([("a", 10.0, 0), ("b", 44.0, 1), ("x", 12.0, 0), ("z", 9.0, 0)], "transaction_id string, y_score double, y_pred int")
     got = {r["transaction_id"]: (r["y_true"], r["y_pred"], r["y_score"], r["risk_level"]) for r in V.eval_frame(t, al, sc).collect()}
     assert got == {"a": (1, 1, 70.0, "Critical"), "b": (1, 1, 44.0, None), "c": (1, 0, 0.0, None), "x": (0, 0, 12.0, None), "y": (0, 1, 47.0, "High"), "z": (0, 0, 9.0, None)}
+    table = {(r["section"], r["name"], r["metric"]): r["value"] for r in V.evaluation_table(V.eval_frame(t, al, sc)).collect()}
+    assert [table["dataset", "all", m] for m in ("n_total", "n_fraud", "n_normal", "n_alerted")] == [6, 3, 3, 3]
+    assert table["operational", "all", "TP"] == 1 and table["threshold", "45.0", "TP"] == 1 and ("latency", "all", "n") not in table
     report = V.evaluation_report(V.eval_frame(t, al, sc), al.withColumn("triggered_patterns", F.lit("R01|R02")), t)
     assert report["operational_metrics"]["TP"] == 1 and len(report["threshold_sweep"]) == 101 and len(report["per_typology"]) == 10
 
