@@ -5,7 +5,8 @@ symbols by (rank, position); an entry whose symbols have changed meanwhile is
 stale and skipped. Decoding looks every id up in the vocabulary and joins the
 strings as the vocabulary file asks for: without a decoder section, by one space.
 
-Null and empty texts have no ids; no ids decode to the empty text. Texts are never
+Null and empty texts have no ids; no ids decode to the empty text. Repeated rows have equal ids each; an empty table gives an
+empty one; other columns are left alone, whatever their names, as only the text column is read. Texts are never
 cut. Work is one narrow Arrow step per partition, so a lost executor costs only
 its partitions. A worker remembers at most ``CACHE_RUNS`` runs between white space.
 """

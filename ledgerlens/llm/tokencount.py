@@ -15,7 +15,8 @@ size: what precedes its first such border (still to be run from the incoming sta
 counted after it, and its last state. Maps compose associatively; a text's maps are
 composed pairwise in rounds, as a prefix scan does.
 
-Null and empty texts have 0 tokens. Texts are read whole. Special strings inside a
+Null and empty texts have 0 tokens. Repeated rows have equal counts each; an empty table gives an empty one; other columns are left
+alone, whatever their names, as only the text column is read. Texts are read whole. Special strings inside a
 text are ordinary characters; characters outside the vocabulary count one token per UTF-8
 byte. A worker keeps at most ``MAX_STATES`` states and ``MAX_WORDS`` counts; beyond
 those states are compiled anew and words counted each time, with equal results.
