@@ -87,7 +87,7 @@ class StreamingScorer:
     def graph_vectors(self, rows: DataFrame, batch_id: int) -> DataFrame:
         """Degrees of the new edges from the dated edges of their ends, cycles from the earliest edge of each pair."""
         edges = graph.build_edges(rows)
-        past = cut_lineage(fold_pairs(self.pairs.before(batch_id)))
+        past = self.pairs.before(batch_id)  # a pair may stand in several folders; its earliest edge counts in the end
         ends = edges.select(F.col("src").alias("a")).union(edges.select(F.col("dst").alias("a"))).distinct()
         at = lambda df, key, ids: df.join(ids, F.col(key) == F.col("a"), "left_semi")
         log = self.edges.before(batch_id)
@@ -100,7 +100,7 @@ class StreamingScorer:
         heads = firsts.select(F.col("dst").alias("a")).union(edges.select(F.col("dst").alias("a"))).distinct()
         tails = lasts.select(F.col("src").alias("a")).union(edges.select(F.col("src").alias("a"))).distinct()
         middle = at(at(past, "src", heads), "dst", tails)
-        around = firsts.union(lasts).union(middle).union(at(past, "src", ends)).union(at(past, "dst", ends)).distinct()
+        around = cut_lineage(fold_pairs(firsts.union(lasts).union(middle).union(at(past, "src", ends)).union(at(past, "dst", ends))))
         art = self.artefacts
         return graph.look_up_graph(
             edges, graph.as_of_degrees(edges, self.cfg.slot_seconds, near), graph.cycle_closure(edges, earlier=around),
