@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import clip
 from ledgerlens.operators.graph import simple_edges
+from ledgerlens.operators.scans import running
 from ledgerlens.session import cut_lineage
 
 CHAIN_IF_CYCLIC = 8
@@ -47,30 +48,93 @@ def fraud_node_counts(edges: DataFrame, members: DataFrame) -> DataFrame:
             .agg(F.count("bad").alias("num_fraud_nodes")))
 
 
+# So many rounds of a job each come before runs of accounts are contracted.
+PLAIN_ROUNDS = 16
+
+
+def _peeled(links: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Links that leave accounts with incoming links; with ``left_anti`` the others."""
+    return links.join(links.select(F.col("dst").alias("src")).distinct(), "src", how)
+
+
+def _longest(*tables: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables).groupBy("account_id", "community_id").agg(F.max("best").alias("best"))
+
+
+def _contracted(links: DataFrame, best: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs of accounts with one link in and one out become one link as long as the run.
+
+    Every such account knows the next one and how far it is; each round it takes over what that one knows, so
+    a run of n accounts needs log2(n) rounds. Returns the links, the longest paths known to end at accounts,
+    and the communities with a run that closes on itself, whose links are gone.
+    """
+    outs = links.groupBy(F.col("src").alias("v")).agg(
+        F.count(F.lit(1)).alias("outs"), F.min("dst").alias("next"), F.min("w").alias("dist"), F.min("community_id").alias("community_id"))
+    ins = links.groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("ins"))
+    start = best.select(F.col("account_id").alias("v"), "best")
+    run = cut_lineage(outs.join(ins, "v").where("outs = 1 AND ins = 1").join(start, "v", "left").select(
+        "v", "community_id", "next", "dist", (F.coalesce("best", F.lit(0)) + F.col("dist")).alias("gain")))
+    going = -1
+    while True:
+        ahead = run.select(F.col("v").alias("next"), F.col("next").alias("far"), F.col("dist").alias("more"), F.col("gain").alias("ahead"))
+        more = F.coalesce("more", F.lit(0))
+        run = cut_lineage(run.join(ahead, "next", "left").select(
+            "v", "community_id", F.coalesce("far", "next").alias("next"), (F.col("dist") + more).alias("dist"),
+            F.greatest(F.col("gain") + more, "ahead").alias("gain"), F.col("far").isNotNull().alias("going")))
+        still = run.where("going").count()
+        if still in (0, going):
+            break
+        run, going = run.drop("going"), still
+    done = run.where("NOT going")
+    reached = done.select(F.col("next").alias("account_id"), "community_id", F.col("gain").alias("best"))
+    kept = (links.join(run.select(F.col("v").alias("src")), "src", "left_anti")
+            .join(done.select(F.col("v").alias("dst"), "next", "dist"), "dst", "left")
+            .groupBy("src", F.coalesce("next", "dst").alias("dst"), "community_id")
+            .agg(F.max(F.col("w") + F.coalesce("dist", F.lit(0))).alias("w")))
+    return cut_lineage(kept), cut_lineage(_longest(best, reached)), run.where("going").select("community_id")
+
+
 def max_chain_length(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Accounts on the longest path inside each community, 8 when it has a cycle.
 
     Round by round the links leaving accounts without incoming links are removed.
     A community whose last link goes in round i has a longest path of i + 1
     accounts; one that keeps links when nothing can be removed any more is cyclic.
+    Where links outlast ``PLAIN_ROUNDS`` rounds, each further round contracts runs
+    of accounts first and carries path lengths along, so that the number of jobs
+    grows with the logarithm of a run.
     """
     inside = _label(_label(edges.select("src", "dst").distinct(), members, "src", "cs"), members, "dst", "cd")
     links = cut_lineage(inside.where("cs = cd").select("src", "dst", F.col("cs").alias("community_id")))
-    alive, depth, size = [], 0, links.count()
-    while size:
+    found, depth, size, moved = [], 0, links.count(), True
+    while size and moved and depth < PLAIN_ROUNDS:
         depth += 1
-        alive.append(links.select("community_id", F.lit(depth).alias("d")).distinct())
-        entered = links.select(F.col("dst").alias("src")).distinct()
-        links = cut_lineage(links.join(entered, "src", "left_semi").select("src", "dst", "community_id"))
+        found.append(links.select("community_id", F.lit(depth).cast("bigint").alias("d")).distinct())
+        links = cut_lineage(_peeled(links))
         size, last = links.count(), size
-        if size == last:
-            break
-    stuck = links.select("community_id", F.lit(True).alias("cyclic")).distinct()
+        moved = size < last
+    stuck = []
+    if size and moved:
+        # every account without incoming links now ends a path of ``depth`` links
+        links = links.withColumn("w", F.lit(1).cast("bigint"))
+        best = links.select(F.col("src").alias("account_id"), "community_id", F.lit(depth).cast("bigint").alias("best")).distinct()
+        while size and moved:
+            links, best, closed = _contracted(links, best)
+            stuck.append(closed)
+            ends = _peeled(links, "left_anti").join(best.select(F.col("account_id").alias("src"), "best"), "src", "left").select(
+                F.col("dst").alias("account_id"), "community_id", (F.coalesce("best", F.lit(0)) + F.col("w")).alias("best"))
+            best = cut_lineage(_longest(best, ends))
+            links = cut_lineage(_peeled(links))
+            size, last = links.count(), size
+            moved = size < last
+        found.append(best.select("community_id", F.col("best").alias("d")))
+    stuck.append(links.select("community_id"))
+    cyclic = reduce(DataFrame.union, stuck).distinct().withColumn("cyclic", F.lit(True))
     every = members.select("community_id").distinct()
-    rounds = reduce(DataFrame.union, alive) if alive else every.select("community_id", F.lit(0).alias("d"))
+    rounds = reduce(DataFrame.union, found) if found else every.select("community_id", F.lit(0).alias("d"))
     longest = rounds.groupBy("community_id").agg(F.max("d").alias("d"))
-    value = F.when(F.col("cyclic"), CHAIN_IF_CYCLIC).otherwise(F.coalesce("d", F.lit(0)) + 1)
-    return (every.join(longest, "community_id", "left").join(stuck, "community_id", "left")
+    value = F.when(F.col("cyclic"), CHAIN_IF_CYCLIC).otherwise(F.coalesce("d", F.lit(0)) + 1).cast("int")
+    return (every.join(longest, "community_id", "left").join(cyclic, "community_id", "left")
             .select("community_id", value.alias("max_chain_length")))
 
 
@@ -124,6 +188,31 @@ def community_profiles(edges: DataFrame, features: DataFrame) -> DataFrame:
         r("avg_benford_chi2", "avg_benford_chi2", 4), "top_accounts")
 
 
+def _whole_paths(step: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
+    """Every simple path of 2..``max_hops`` hops from the seeds.
+
+    Paths of up to half the hops are built hop by hop from all accounts; longer ones join two of them at their
+    common account, so rows are spread by that account and not by community.
+    """
+    half = (max_hops + 1) // 2
+    last, size = F.element_at("path", -1), F.size("path")
+    level = cut_lineage(step.select(F.array("src", "dst").alias("path"), F.col("amount").alias("total_amount")))
+    levels = [level]
+    for _ in range(2, half + 1):
+        level = cut_lineage(level.join(step.select("src", "dst", "amount"), last == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+                            .select(F.concat("path", F.array("dst")).alias("path"), (F.col("total_amount") + F.col("amount")).alias("total_amount")))
+        levels.append(level)
+    entered = lambda df: df.withColumn("src", F.element_at("path", 1)).join(seeds, "src")
+    cols = ["community_id", "entry", "path", "total_amount"]
+    front = entered(levels[-1]).withColumn("middle", last)
+    back = reduce(DataFrame.union, levels[: max_hops - half]) if max_hops > half else levels[0].where("false")
+    back = back.select(F.element_at("path", 1).alias("middle"), F.slice("path", 2, size - 1).alias("rest"), F.col("total_amount").alias("more"))
+    joined = front.join(back, "middle").where(~F.arrays_overlap("path", "rest")).select(
+        "community_id", "entry", F.concat("path", "rest").alias("path"), (F.col("total_amount") + F.col("more")).alias("total_amount"))
+    short = [entered(level).select(*cols) for level in levels[1:]]
+    return reduce(DataFrame.union, short, joined).where(size > 2)
+
+
 def suspicious_paths(edges: DataFrame, members: DataFrame, profiles: DataFrame, *, max_paths: int | None = None,
                      entry_nodes: int | None = None, max_hops: int = 8, min_risk: float = 40.0) -> DataFrame:
     """Simple paths of 2..8 hops per risky community; with ``max_paths`` the first so many of each.
@@ -131,7 +220,8 @@ def suspicious_paths(edges: DataFrame, members: DataFrame, profiles: DataFrame,
     Paths are listed entry by entry (highest out-degree first), depth first, in
     id order. Every prefix of two or more hops is itself listed before its
     extensions, so keeping the first ``max_paths`` partial paths of each length
-    loses none of the listed ones.
+    loses none of the listed ones. Without ``max_paths`` all paths are met in the
+    middle and numbered over slots, so no task holds a community.
     """
     risky = profiles.where(
         (F.col("risk_score") >= min_risk) & (F.col("size") >= 3)
@@ -142,14 +232,26 @@ def suspicious_paths(edges: DataFrame, members: DataFrame, profiles: DataFrame,
     links = cut_lineage(inside.select("src", "dst", "amount", F.col("cs").alias("community_id")))
 
     out_deg = links.groupBy("community_id", "src").agg(F.count(F.lit(1)).alias("deg"))
-    by_deg = Window.partitionBy("community_id").orderBy(F.col("deg").desc(), "src")
-    seeds = out_deg.withColumn("entry", F.row_number().over(by_deg))
-    if entry_nodes is not None:
-        seeds = seeds.where(F.col("entry") <= entry_nodes)
+    if entry_nodes is None:
+        ranked = running(out_deg.withColumn("fewer", -F.col("deg")), ["community_id"], ["fewer", "src"], None, {"before": ("sum", F.lit(1))})
+        seeds = ranked.select("community_id", "src", (F.col("before") + 1).alias("entry"))
+    else:
+        by_deg = Window.partitionBy("community_id").orderBy(F.col("deg").desc(), "src")
+        seeds = out_deg.withColumn("entry", F.row_number().over(by_deg)).where(F.col("entry") <= entry_nodes).drop("deg")
     step = links.where("src <> dst")
-    listed = Window.partitionBy("community_id").orderBy("entry", "path")
-    first = lambda df: df if max_paths is None else df.withColumn("_r", F.row_number().over(listed)).where(F.col("_r") <= max_paths).drop("_r")
+    if max_paths is None:
+        every = running(_whole_paths(step, seeds, max_hops), ["community_id"], ["entry", "path"], None, {"i": ("sum", F.lit(1))})
+    else:
+        every = _first_paths(step, seeds, max_hops, max_paths)
+    return every.join(risky, "community_id").select(
+        F.format_string("PATH_%d_%04d", "community_id", "i").alias("path_id"), "community_id", "path", (F.size("path") - 1).alias("num_hops"),
+        "total_amount", "dominant_pattern")
+
 
+def _first_paths(step: DataFrame, seeds: DataFrame, max_hops: int, max_paths: int) -> DataFrame:
+    """The first ``max_paths`` paths of each community with their numbers; every map task cuts before the shuffle."""
+    listed = Window.partitionBy("community_id").orderBy("entry", "path")
+    first = lambda df: df.withColumn("_r", F.row_number().over(listed)).where(F.col("_r") <= max_paths).drop("_r")
     paths = seeds.select("community_id", "entry", F.array("src").alias("path"), F.lit(0.0).alias("total_amount"))
     found = []
     for hops in range(1, max_hops + 1):
@@ -164,11 +266,8 @@ def suspicious_paths(edges: DataFrame, members: DataFrame, profiles: DataFrame,
             nxt = nxt.join(more, (F.element_at("path", -1) == F.col("a")) & (F.element_at("path", 1) != F.col("b")), "left_semi")
         paths = cut_lineage(first(nxt))
         if hops >= 2:
-            found.append(paths.withColumn("num_hops", F.lit(hops)))
-    every = first(reduce(DataFrame.union, found)).withColumn("i", F.row_number().over(listed) - 1)
-    return every.join(risky, "community_id").select(
-        F.format_string("PATH_%d_%04d", "community_id", "i").alias("path_id"), "community_id", "path", "num_hops",
-        "total_amount", "dominant_pattern")
+            found.append(paths)
+    return first(reduce(DataFrame.union, found)).withColumn("i", F.row_number().over(listed) - 1)
 
 
 def normalised_community_risk(profiles: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Per-account graph features, computed by joins and grouped aggregates.
 
 Iterative algorithms keep one row per account (or per pivot and account),
-checkpoint every round and bring back only scalar convergence measures.
+checkpoint every round and bring back only scalar convergence measures. The
+links lie in buckets of the joined account, so that rounds do not move them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import scalars as S
 from ledgerlens.operators.graph import degrees, ranked_pairs, undirected_pairs
 from ledgerlens.operators.scans import global_index
-from ledgerlens.session import cut_lineage
+from ledgerlens.session import bucketed, cut_lineage
 
 
 def accounts(edges: DataFrame) -> DataFrame:
@@ -29,24 +30,25 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: fl
     """
     pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     out = pairs.groupBy("src").agg(F.sum("n").alias("total"))
-    links = cut_lineage(pairs.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("p")))
+    links = pairs.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("p"))
     nodes = accounts(edges).join(out.select(F.col("src").alias("account_id"), F.lit(False).alias("d")), "account_id", "left")
     ranks = nodes.select("account_id", F.coalesce("d", F.lit(True)).alias("dangling"))
     n = ranks.count()
     ranks = cut_lineage(ranks.withColumn("pagerank", F.lit(1.0 / max(n, 1))))
     lost = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("pagerank")))).first()[0] or 0.0
-    for _ in range(max_iter):
-        flow = (links.join(ranks, F.col("src") == F.col("account_id"))
-                .groupBy("dst").agg(F.sum(F.col("p") * F.col("pagerank")).alias("flow")))
-        base = alpha * lost / n + (1 - alpha) / n
-        new = cut_lineage(ranks.join(flow, F.col("account_id") == F.col("dst"), "left").select(
-            "account_id", "dangling", F.col("pagerank").alias("old"),
-            (F.lit(alpha) * F.coalesce("flow", F.lit(0.0)) + base).alias("pagerank")))
-        step = new.agg(F.sum(F.abs(F.col("pagerank") - F.col("old"))).alias("err"),
-                       F.sum(F.when(F.col("dangling"), F.col("pagerank"))).alias("lost")).first()
-        ranks, lost = new.drop("old"), step["lost"] or 0.0
-        if step["err"] < n * tol:
-            break
+    with bucketed(links, "src") as links:
+        for _ in range(max_iter):
+            flow = (links.join(ranks, F.col("src") == F.col("account_id"))
+                    .groupBy("dst").agg(F.sum(F.col("p") * F.col("pagerank")).alias("flow")))
+            base = alpha * lost / n + (1 - alpha) / n
+            new = cut_lineage(ranks.join(flow, F.col("account_id") == F.col("dst"), "left").select(
+                "account_id", "dangling", F.col("pagerank").alias("old"),
+                (F.lit(alpha) * F.coalesce("flow", F.lit(0.0)) + base).alias("pagerank")))
+            step = new.agg(F.sum(F.abs(F.col("pagerank") - F.col("old"))).alias("err"),
+                           F.sum(F.when(F.col("dangling"), F.col("pagerank"))).alias("lost")).first()
+            ranks, lost = new.drop("old"), step["lost"] or 0.0
+            if step["err"] < n * tol:
+                break
     return ranks.select("account_id", "pagerank")
 
 
@@ -60,35 +62,35 @@ def betweenness(edges: DataFrame, pivots: int = 100, seed: int = 42) -> DataFram
     """
     ids = cut_lineage(accounts(edges))
     n = ids.count()
-    links = cut_lineage(edges.where("src <> dst").select("src", "dst").distinct())
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("account_id")))
     chosen = ids.orderBy(order, "account_id").limit(pivots)
     k = min(pivots, n)
     frontier = cut_lineage(chosen.select(F.col("account_id").alias("pivot"), F.col("account_id").alias("node"),
                                          F.lit(1.0).alias("sigma")))
     levels = [frontier]
-    while True:
-        # the levels are stored already: what has been met is their union
-        seen = reduce(DataFrame.union, [level.select("pivot", "node") for level in levels])
-        step = (frontier.join(links, F.col("node") == F.col("src"))
-                .groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
-                .join(seen, ["pivot", "node"], "left_anti"))
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-
     zero = F.lit(0.0)
-    below = levels[-1].select("pivot", "node", "sigma", zero.alias("delta"))
-    totals = []
-    for depth in range(len(levels) - 2, -1, -1):
-        totals.append(below.groupBy("node").agg(F.sum("delta").alias("delta")))
-        share = below.select("pivot", F.col("node").alias("dst"), ((F.col("delta") + 1) / F.col("sigma")).alias("share"))
-        up = levels[depth]
-        gained = (up.join(links, F.col("node") == F.col("src")).join(share, ["pivot", "dst"])
-                  .groupBy("pivot", "node").agg(F.sum(F.col("sigma") * F.col("share")).alias("delta")))
-        below = cut_lineage(up.join(gained, ["pivot", "node"], "left").select(
-            "pivot", "node", "sigma", F.coalesce("delta", zero).alias("delta")))
+    with bucketed(edges.where("src <> dst").select("src", "dst").distinct(), "src") as links:
+        while True:
+            # the levels are stored already: what has been met is their union
+            seen = reduce(DataFrame.union, [level.select("pivot", "node") for level in levels])
+            step = (frontier.join(links, F.col("node") == F.col("src"))
+                    .groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
+                    .join(seen, ["pivot", "node"], "left_anti"))
+            frontier = cut_lineage(step)
+            if frontier.isEmpty():
+                break
+            levels.append(frontier)
+
+        below = levels[-1].select("pivot", "node", "sigma", zero.alias("delta"))
+        totals = []
+        for depth in range(len(levels) - 2, -1, -1):
+            totals.append(below.groupBy("node").agg(F.sum("delta").alias("delta")))
+            share = below.select("pivot", F.col("node").alias("dst"), ((F.col("delta") + 1) / F.col("sigma")).alias("share"))
+            up = levels[depth]
+            gained = (up.join(links, F.col("node") == F.col("src")).join(share, ["pivot", "dst"])
+                      .groupBy("pivot", "node").agg(F.sum(F.col("sigma") * F.col("share")).alias("delta")))
+            below = cut_lineage(up.join(gained, ["pivot", "node"], "left").select(
+                "pivot", "node", "sigma", F.coalesce("delta", zero).alias("delta")))
     # level 0 holds the sources themselves, which do not count
     scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 else 1.0
     summed = (reduce(DataFrame.union, totals).groupBy("node").agg(F.sum("delta").alias("delta"))
@@ -176,17 +178,17 @@ def _components(edges: DataFrame) -> DataFrame:
 def _label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
     """Each account takes the most frequent label around it (own label included;
     smallest on ties), all accounts at once, for at most ``rounds`` rounds."""
-    und = cut_lineage(undirected_pairs(edges))
     labels = cut_lineage(accounts(edges).withColumn("label", F.col("account_id")))
-    for _ in range(rounds):
-        votes = (und.join(labels.withColumnRenamed("account_id", "nb"), "nb").select(F.col("node").alias("account_id"), "label")
-                 .union(labels.select("account_id", "label"))
-                 .groupBy("account_id", "label").agg(F.count(F.lit(1)).alias("n")))
-        new = cut_lineage(votes.groupBy("account_id").agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("label")))
-        settled = new.join(labels.withColumnRenamed("label", "was"), "account_id").where("label <> was").isEmpty()
-        labels = new
-        if settled:
-            break
+    with bucketed(undirected_pairs(edges), "nb") as und:
+        for _ in range(rounds):
+            votes = (und.join(labels.withColumnRenamed("account_id", "nb"), "nb").select(F.col("node").alias("account_id"), "label")
+                     .union(labels.select("account_id", "label"))
+                     .groupBy("account_id", "label").agg(F.count(F.lit(1)).alias("n")))
+            new = cut_lineage(votes.groupBy("account_id").agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("label")))
+            settled = new.join(labels.withColumnRenamed("label", "was"), "account_id").where("label <> was").isEmpty()
+            labels = new
+            if settled:
+                break
     return labels
 
 

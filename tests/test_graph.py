@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import communities as C
 from ledgerlens.operators import graph as G
 from ledgerlens.operators import graph_features as GF
+from ledgerlens.session import bucketed
 from make import T0, edge_frame
 
 TRIANGLE = [("a", "b"), ("b", "c"), ("c", "a")]
@@ -172,7 +173,62 @@ def test_chain_length_and_patterns(spark):
     assert [got[ids[x]] for x in ("1", "h", "a", "p", "s", "m")] == [5, 2, 8, 8, 8, 2]
 
 
-def dfs_paths(edges, nodes, limit=20):
+def test_chain_length_of_long_runs(spark, monkeypatch):
+    """Contraction from the second round on, and a chain longer than all plain rounds."""
+    link = lambda name, order: [(f"{name}{a:02d}", f"{name}{b:02d}") for a, b in order]
+    line = lambda n: [(i, i + 1) for i in range(n - 1)]
+    pairs = (link("a", line(40)) + link("b", line(30) + [(50, 20), (20, 51), (4, 25)]) + link("c", line(25) + [(24, 10)])
+             + link("d", line(12) + [(11, 3), (40, 41), (41, 11)]) + link("e", [(0, 1), (1, 2), (0, 3), (3, 4), (4, 2), (2, 5), (5, 6)]) + [("f", "f")])
+    e = edge_frame(spark, pairs)
+    m = GF.communities(e)
+    ids = asdict(m, "account_id", "community_id")
+    want = {"a00": 40, "b00": 30, "c00": 8, "d00": 8, "e00": 6, "f": 8}
+    for plain in (C.PLAIN_ROUNDS, 1):
+        monkeypatch.setattr(C, "PLAIN_ROUNDS", plain)
+        got = asdict(C.max_chain_length(e, m), "community_id", "max_chain_length")
+        assert {x: got[ids[x]] for x in want} == want
+
+
+def test_chain_length_of_random_graphs(spark, monkeypatch):
+    rnd = random.Random(21)
+    pairs = []
+    for g in range(30):
+        nodes = rnd.randrange(4, 16)
+        for _ in range(rnd.randrange(3, 18)):
+            a, b = sorted(rnd.sample(range(nodes), 2))
+            pairs.append((f"{g:02d}-{a:02d}", f"{g:02d}-{b:02d}"))
+    e = edge_frame(spark, pairs)
+    m = GF.communities(e)
+    depth = defaultdict(int)
+    for a, b in sorted(set(pairs)):
+        depth[b] = max(depth[b], depth[a] + 1)
+    want = defaultdict(int)
+    for a, c in asdict(m, "account_id", "community_id").items():
+        want[c] = max(want[c], depth[a] + 1)
+    for plain in (1, 2):
+        monkeypatch.setattr(C, "PLAIN_ROUNDS", plain)
+        assert asdict(C.max_chain_length(e, m), "community_id", "max_chain_length") == want
+
+
+def test_rounds_leave_links_in_place(spark):
+    """Only the other side of a join with bucketed links moves, and nothing is left behind."""
+    e = edge_frame(spark, random_pairs())
+    links = e.select("src", "dst").distinct()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with bucketed(links, "src") as stored:
+            ranks = GF.accounts(e).select(F.col("account_id").alias("src"))
+            plan = stored.join(ranks, "src")._jdf.queryExecution().executedPlan().toString()
+            scan = plan[: plan.index("Bucketed: true")].splitlines()
+            sides = [x for x in scan if "FileScan" in x or "Exchange" in x]
+            assert len(sides) == 1 and stored.count() == links.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
+def dfs_paths(edges, nodes, limit=20, entries=5, hops=8):
     """Depth first over id-ordered successors, entries by out-degree."""
     succ = defaultdict(dict)
     for s, r, amount in edges:
@@ -185,13 +241,13 @@ def dfs_paths(edges, nodes, limit=20):
             return
         if len(path) >= 3:
             found.append((tuple(path), round(total, 2)))
-        if len(path) == 9:
+        if len(path) == hops + 1:
             return
         for nxt in sorted(succ[path[-1]]):
             if nxt not in path:
                 go([*path, nxt], total + succ[path[-1]][nxt])
 
-    for start in sorted(nodes, key=lambda x: (-len(succ[x]), x))[:5]:
+    for start in sorted(nodes, key=lambda x: (-len(succ[x]), x))[:entries]:
         if succ[start]:
             go([start], 0.0)
     return found
@@ -216,6 +272,24 @@ def test_suspicious_paths_equal_dfs(spark):
         assert all(len(r["path"]) == r["num_hops"] + 1 for r in rows)
 
 
+@pytest.mark.parametrize("hops,entries", [(8, None), (5, None), (2, None), (6, 3)])
+def test_all_suspicious_paths_equal_dfs(spark, hops, entries):
+    rnd = random.Random(13)
+    pairs = [(f"d{rnd.randrange(9)}", f"d{rnd.randrange(9)}") for _ in range(26)] + [(f"k{i:02d}", f"k{i + 1:02d}") for i in range(12)] + [("t1", "t2"), ("t2", "t3"), ("t3", "t1")]
+    e = edge_frame(spark, pairs)
+    m = GF.communities(e)
+    p = m.groupBy("community_id").agg(F.count(F.lit(1)).alias("size")).withColumns({"risk_score": F.lit(50.0), "dominant_pattern": F.lit("mixed")})
+    rows = C.suspicious_paths(e, m, p, max_hops=hops, entry_nodes=entries).collect()
+    simple = [tuple(r) for r in G.simple_edges(e).select("src", "dst", "amount").collect()]
+    members = defaultdict(set)
+    for a, c in asdict(m, "account_id", "community_id").items():
+        members[c].add(a)
+    for c, nodes in members.items():
+        got = sorted((int(r["path_id"].split("_")[2]), tuple(r["path"]), round(r["total_amount"], 2)) for r in rows if r["community_id"] == c)
+        assert [x[0] for x in got] == list(range(len(got)))
+        assert [x[1:] for x in got] == dfs_paths(simple, nodes, 10 ** 6, entries, hops)
+
+
 def test_two_hop_cap_is_exact_around_a_hub(spark):
     pairs = [("hub", f"x{i:02d}") for i in range(40)] + [("x00", "y"), ("y", "z")]
     e = edge_frame(spark, pairs)
